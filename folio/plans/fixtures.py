@@ -81,3 +81,15 @@ def open_qa_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def question_vectors(questions: DataFrame, text_col: str = "question") -> DataFrame:
     return with_hashed_embedding(questions, text_col, "vec")
+
+
+def mcq_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """QASC-shaped rows from ``benchmark``: the text is the fact and the question; the key letter
+    is ``A``..``H`` by item id."""
+    b = read_table(spark, sf, "benchmark", "item_id", "text")
+    return b.select(
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"),
+        F.array().cast("array<string>").alias("choices"),
+        F.substring(F.lit("ABCDEFGH"), (F.pmod("item_id", F.lit(8)) + 1).cast("int"), 1).alias("answerKey"),
+        F.col("text").alias("fact1"), F.lit("").alias("fact2"), F.col("text").alias("combinedfact"),
+        F.col("text").alias("formatted_question"))

@@ -36,6 +36,25 @@ def embedding(counts: str) -> str:
     return f"CASE WHEN {ss} > 0 THEN list_transform({counts}, lambda v: CAST(v / sqrt({ss}) AS FLOAT)) END"
 
 
+def embed_ctes(name: str, src: str, text: str, with_vec: bool = True) -> str:
+    """CTEs ``<name>`` = ``src`` rows + ``counts`` (+ ``vec``), computed in stages so that no
+    list expression is re-evaluated inside a lambda."""
+    slots = f"list_transform({tokens(text)}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {DIM})"
+    out = f"""
+{name}_s AS MATERIALIZED (SELECT *, {slots} AS __slots FROM {src}),
+{name}_c AS MATERIALIZED (
+  SELECT * EXCLUDE (__slots), list_transform(range({DIM}), lambda i: len(list_filter(__slots, lambda s: s = i))) AS counts
+  FROM {name}_s)"""
+    if not with_vec:
+        return out.replace(f"{name}_c AS MATERIALIZED", f"{name} AS MATERIALIZED")
+    return out + f""",
+{name}_q AS (SELECT *, CAST(list_sum(list_transform(counts, lambda v: v * v)) AS BIGINT) AS __ss FROM {name}_c),
+{name} AS MATERIALIZED (
+  SELECT * EXCLUDE (__ss),
+         CASE WHEN __ss > 0 THEN list_transform(counts, lambda v: CAST(v / sqrt(__ss) AS FLOAT)) END AS vec
+  FROM {name}_q)"""
+
+
 def cosine(a: str, b: str) -> str:
     return (f"(1 - list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / "
             f"(sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * "
@@ -63,18 +82,17 @@ doc_pages AS (
 
 def source_corpus_cte() -> str:
     return pages_cte("source") + f""",
-corpus AS (
+corpus_src AS (
   SELECT collection, doc_id, page_number, 'doc_' || doc_id || '_page_' || page_number AS chunk_id,
-         text AS document, {embedding(slot_counts('text'))} AS vec
-  FROM doc_pages WHERE {not_blank('text')})"""
+         text AS document
+  FROM doc_pages WHERE {not_blank('text')}),""" + embed_ctes("corpus", "corpus_src", "document")
 
 
 def questions_cte() -> str:
     return f"""
-questions AS (
-  SELECT conv_id, turn, text AS question, 'src' || (conv_id % {NSRC}) AS collection,
-         {embedding(slot_counts('text'))} AS vec
-  FROM conversations WHERE role = 'user')"""
+questions_src AS (
+  SELECT conv_id, turn, text AS question, 'src' || (conv_id % {NSRC}) AS collection
+  FROM conversations WHERE role = 'user'),""" + embed_ctes("questions", "questions_src", "question")
 
 
 def chat_retrieve_cte(k: int = 3) -> str:
@@ -97,8 +115,7 @@ ORACLE["page_split"] = "WITH " + pages_cte() + """
 SELECT collection, doc_id, page_number, text FROM doc_pages"""
 
 ORACLE["embed_pages"] = "WITH " + pages_cte() + f""",
-cnt AS (SELECT collection, page_number, text, {slot_counts('text')} AS counts
-        FROM doc_pages WHERE {not_blank('text')})
+nb AS (SELECT collection, page_number, text FROM doc_pages WHERE {not_blank('text')}),""" + embed_ctes("cnt", "nb", "text", False) + f"""
 SELECT collection, 'page_' || page_number AS chunk_id, page_number,
        CAST(len({tokens('text')}) AS INTEGER) AS n_tokens,
        CAST(list_sum(list_transform(counts, lambda v: v * v)) AS BIGINT) AS sumsq,
@@ -344,8 +361,9 @@ SELECT collection, topic, question_pos, id, type, question, option_a, option_b,
        correct_answer, page_number, explanation FROM q_rows"""
 
 LEVEL_2 = TOPICS + f""",
-chunk_vecs AS (SELECT collection, page_number, document, {embedding(slot_counts('document'))} AS vec FROM doc_chunks),
-topic_vecs AS (SELECT collection, topic, {embedding(slot_counts('topic'))} AS vec FROM topics),
+l2_chunks AS (SELECT collection, page_number, document FROM doc_chunks),
+l2_topics AS (SELECT collection, topic FROM topics),""" + embed_ctes("chunk_vecs", "l2_chunks", "document") + "," \
+    + embed_ctes("topic_vecs", "l2_topics", "topic") + f""",
 tp_pairs AS (
   SELECT t.collection, t.topic, c.page_number, c.document, {cosine('t.vec', 'c.vec')} AS distance
   FROM topic_vecs t JOIN chunk_vecs c ON c.collection = t.collection
@@ -393,3 +411,181 @@ FROM q_rows GROUP BY collection"""
 
 ORACLE["quiz_quarantine"] = "WITH " + TOPICS + """
 SELECT collection, 'fewer than 4 topics' AS reason FROM topic_arrays WHERE len(topics) < 4"""
+
+
+# ---------------------------------------------------------------- prompts, JSON parsing
+
+from folio.functions.prompts import CHAT_TEMPLATE, QUESTION_TEMPLATE, TOPICS_TEMPLATE, render_sql  # noqa: E402
+
+CTX = """
+ctx AS (SELECT collection, string_agg(document, ' ' ORDER BY page_number) AS context FROM doc_chunks GROUP BY collection)"""
+
+ORACLE["prompt_mcq"] = "WITH " + TOPICS + "," + CTX + f""",
+p AS (SELECT t.collection, t.topic, {render_sql(QUESTION_TEMPLATE, n='5', topic='t.topic', context='c.context')} AS prompt
+      FROM topics t JOIN ctx c USING (collection))
+SELECT collection, topic, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_length FROM p"""
+
+ORACLE["prompt_topics"] = "WITH " + DOC_CHUNKS + "," + CTX + f""",
+p AS (SELECT collection, {render_sql(TOPICS_TEMPLATE, context='context')} AS prompt FROM ctx)
+SELECT collection, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_length FROM p"""
+
+CHAT_CTX = """,
+chat_ctx AS (
+  SELECT conv_id, turn, string_agg(document || ' Page number: ' || page_number || chr(10), '' ORDER BY rank) AS context,
+         count(*) AS n_docs
+  FROM retrieved GROUP BY conv_id, turn)"""
+
+ORACLE["prompt_chat"] = "WITH " + chat_retrieve_cte(3) + CHAT_CTX + f""",
+p AS (SELECT q.conv_id, q.turn,
+             {render_sql(CHAT_TEMPLATE, question='q.question', context="coalesce(c.context, '')")} AS prompt
+      FROM questions q LEFT JOIN chat_ctx c USING (conv_id, turn))
+SELECT conv_id, turn, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_length FROM p"""
+
+ORACLE["parse_questions"] = "WITH " + LEVEL_1 + """
+SELECT collection, topic, id, type, question, option_a, option_b, option_c, option_d,
+       correct_answer, page_number, explanation FROM q_rows"""
+
+ORACLE["parse_topics"] = "WITH " + TOPICS + """
+SELECT collection, book_title, total_topics, topic_rank, topic FROM topics"""
+
+
+# ---------------------------------------------------------------- chat
+
+WS_SPLIT = rf"[{BLANK_CLASS}]+"
+NON_WORD_OR_SPACE = rf"[^\p{{L}}\p{{N}}_{BLANK_CLASS}]"
+
+GREETING_ROWS = """
+greetings(greeting_key, reply) AS (VALUES
+  ('hi', '👋 Hello! How can I assist you today?'),
+  ('hello', '👋 Hello! What can I do for you?'),
+  ('hey', '👋 Hey there! How can I help?'),
+  ('good morning', '🌅 Good morning! What can I assist you with?'),
+  ('good afternoon', '☀️ Good afternoon! How can I help you today?'),
+  ('good evening', '🌙 Good evening! How may I assist you?'))"""
+
+
+def normalized(x: str) -> str:
+    return strip(f"lower(regexp_replace({x}, '{NON_WORD_OR_SPACE}', '', 'g'))")
+
+
+ORACLE["validate_requests"] = f"""
+SELECT conv_id, turn,
+       (text IS NOT NULL AND {not_blank('text')}) AS accepted,
+       CASE WHEN text IS NULL OR NOT {not_blank('text')} THEN 'Question cannot be empty.' END AS error
+FROM conversations"""
+
+ORACLE["normalize_text"] = f"SELECT conv_id, turn, {normalized('text')} AS normalized FROM conversations"
+
+ORACLE["route_greetings"] = f"WITH {GREETING_ROWS}" + f"""
+SELECT c.conv_id, c.turn, g.greeting_key IS NOT NULL AS is_greeting, g.reply
+FROM conversations c LEFT JOIN greetings g ON g.greeting_key = {normalized('c.text')}
+WHERE c.role = 'user'"""
+
+CHAT_ANSWERS = chat_retrieve_cte(3) + "," + GREETING_ROWS + f""",
+a_sents AS (
+  SELECT conv_id, turn, rank, unnest(regexp_split_to_array(document, '{SENT_SPLIT}')) AS sentence,
+         unnest(range(0, len(regexp_split_to_array(document, '{SENT_SPLIT}')))) AS pos
+  FROM retrieved),
+a_ov AS (
+  SELECT s.conv_id, s.turn, s.rank, s.pos, s.sentence,
+         len(list_intersect(list_distinct({tokens('s.sentence')}), list_distinct({tokens('q.question')}))) AS overlap
+  FROM a_sents s JOIN questions q USING (conv_id, turn)
+  WHERE {not_blank('s.sentence')}),
+a_best AS (
+  SELECT conv_id, turn, sentence, overlap FROM a_ov
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY overlap DESC, rank, pos) = 1),
+a_n AS (SELECT conv_id, turn, count(*) AS n FROM retrieved GROUP BY conv_id, turn),
+answers AS (
+  SELECT q.conv_id, q.turn, q.question,
+         CASE WHEN g.greeting_key IS NOT NULL THEN g.reply
+              WHEN b.overlap > 0 THEN b.sentence ELSE 'No answer provided.' END AS answer,
+         CAST(CASE WHEN g.greeting_key IS NOT NULL THEN 0 ELSE coalesce(n.n, 0) END AS INTEGER) AS n_segments
+  FROM questions q
+  LEFT JOIN greetings g ON g.greeting_key = {normalized('q.question')}
+  LEFT JOIN a_best b USING (conv_id, turn)
+  LEFT JOIN a_n n USING (conv_id, turn))"""
+
+ORACLE["chat_answer"] = "WITH " + CHAT_ANSWERS + " SELECT conv_id, turn, answer, n_segments FROM answers"
+
+ORACLE["parse_chat"] = "WITH " + CHAT_ANSWERS + " SELECT conv_id, turn, question, answer FROM answers"
+
+ORACLE["chat_log"] = "WITH " + CHAT_ANSWERS + """
+SELECT conv_id, turn, question AS input, answer AS output, n_segments FROM answers"""
+
+ORACLE["answer_tokens"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, list_filter(regexp_split_to_array({strip('text')}, '{WS_SPLIT}'), lambda x: x <> '') AS toks
+  FROM conversations WHERE role = 'assistant'),
+u AS (SELECT conv_id, turn, unnest(toks) AS token, unnest(range(0, len(toks))) AS pos FROM t)
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, token || ' ' AS token FROM u"""
+
+
+# ---------------------------------------------------------------- instruction data
+
+OPEN_INSTR = "Given the following context create me open ended question-answer pair"
+MCQ_INSTR = "Given the following context create me MCQ questions with options and answer pair"
+
+OPEN_ROWS = """
+qa AS (
+  SELECT u.conv_id, u.turn, u.text, n.role AS next_role, n.text AS next_text
+  FROM conversations u LEFT JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1
+  WHERE u.role = 'user')"""
+
+INSTRUCT_OPEN = OPEN_ROWS + f""",
+open_rows AS (
+  SELECT '{OPEN_INSTR}' AS instruction,
+         'Title: ' || conv_id || chr(10) || 'Context: ' || text AS input,
+         chr(10) || 'question: ' || text || ' ' || chr(10) || chr(10) || 'answer: ' || next_text || chr(10) AS output,
+         conv_id || ':' || turn AS id
+  FROM qa WHERE next_role = 'assistant')"""
+
+INSTRUCT_MCQ = f"""
+mcq_rows AS (
+  SELECT '{MCQ_INSTR}' AS instruction, text AS input,
+         chr(10) || 'question: ' || text || ' ' || chr(10) || chr(10) || 'answer: '
+           || substr('ABCDEFGH', CAST(item_id % 8 + 1 AS INTEGER), 1) || chr(10) AS output,
+         CAST(item_id AS VARCHAR) AS id
+  FROM benchmark)"""
+
+ORACLE["load_split"] = "SELECT * FROM conversations WHERE role = 'user'"
+ORACLE["instruct_open"] = "WITH " + INSTRUCT_OPEN + " SELECT * FROM open_rows"
+ORACLE["instruct_quarantine"] = "WITH " + OPEN_ROWS + """
+SELECT conv_id || ':' || turn AS id, 'no answer' AS reason FROM qa WHERE next_role IS DISTINCT FROM 'assistant'"""
+ORACLE["instruct_mcq"] = "WITH " + INSTRUCT_MCQ + " SELECT * FROM mcq_rows"
+ORACLE["preview_instruct"] = "WITH " + INSTRUCT_OPEN + " SELECT * FROM open_rows ORDER BY id LIMIT 5"
+ORACLE["merge_instruct"] = "WITH " + INSTRUCT_OPEN + "," + INSTRUCT_MCQ + """
+SELECT * FROM mcq_rows UNION ALL SELECT * FROM open_rows"""
+
+
+# ---------------------------------------------------------------- JSON round trips, raw retrieval shape, distances
+
+ORACLE["read_results"] = "WITH " + LEVEL_1 + """,
+lists AS (SELECT DISTINCT collection, book_title FROM topics),
+cnt AS (SELECT collection, count(*) AS n FROM q_rows GROUP BY collection)
+SELECT l.collection, CAST(coalesce(c.n, 0) AS INTEGER) AS total_questions, l.book_title, 'extractive' AS tool_used
+FROM lists l LEFT JOIN cnt c USING (collection)"""
+
+ORACLE["read_page_map"] = "WITH " + pages_cte() + " SELECT collection, page_number, text FROM doc_pages"
+
+ORACLE["flatten_results"] = "WITH " + chat_retrieve_cte(3) + f"""
+SELECT conv_id, turn, chunk_id, CAST(page_number AS VARCHAR) AS page_number, {confidence('distance')} AS confidence
+FROM retrieved"""
+
+ORACLE["vector_distances"] = f"""
+WITH v AS (SELECT vec_id, 'label_' || label AS collection, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE embedding IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, q.e AS a, c.e AS b,
+         {cosine('q.e', 'c.e')} AS distance
+  FROM v q JOIN v c ON q.collection = c.collection AND q.vec_id <> c.vec_id),
+top AS (SELECT * FROM pairs WHERE isfinite(distance)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), neighbor_id) <= 5)
+SELECT query_id, neighbor_id, round(distance, 6) AS cosine,
+       round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS l2sq,
+       round(1 - list_dot_product(a, b), 6) AS ip
+FROM top"""
+
+ORACLE["stream_ingest"] = "WITH " + DOC_CHUNKS + " SELECT collection, chunk_id, page_number FROM doc_chunks"
+
+ORACLE["stream_chat"] = "WITH " + chat_retrieve_cte(3) + f"""
+SELECT conv_id, turn, CAST(rank AS INTEGER) AS rank, chunk_id, {confidence('distance')} AS confidence FROM retrieved"""

@@ -301,3 +301,357 @@ def q_question_quality(spark, sf):
 @query("quiz_quarantine")
 def q_quiz_quarantine(spark, sf):
     return _level_1(spark, sf)[1]
+
+
+# ---------------------------------------------------------------- prompts, generation hook, JSON parsing
+
+from folio.functions import prompts as pr  # noqa: E402
+from folio.operators import generate as gen  # noqa: E402
+
+
+def _collection_texts(spark, sf):
+    return pages.collection_text(fx.doc_chunks(spark, sf)).select("collection", F.col("text").alias("context"))
+
+
+@query("prompt_mcq")
+def q_prompt_mcq(spark, sf):
+    t = _topics(spark, sf).select("collection", "topic").join(_collection_texts(spark, sf), "collection")
+    p = pr.render(pr.QUESTION_TEMPLATE, n=F.lit(qn.N_LEVEL_1), topic=F.col("topic"), context=F.col("context"))
+    return t.select("collection", "topic", F.md5(p).alias("prompt_md5"), F.length(p).cast("int").alias("prompt_length"))
+
+
+@query("prompt_topics")
+def q_prompt_topics(spark, sf):
+    p = pr.render(pr.TOPICS_TEMPLATE, context=F.col("context"))
+    return _collection_texts(spark, sf).select("collection", F.md5(p).alias("prompt_md5"),
+                                               F.length(p).cast("int").alias("prompt_length"))
+
+
+def _chat_prompts(spark, sf):
+    ctx = chat.chat_context(_chat_retrieved(spark, sf), keys=("conv_id", "turn"))
+    qs = fx.user_questions(spark, sf)
+    j = qs.join(ctx, ["conv_id", "turn"], "left")
+    p = pr.render(pr.CHAT_TEMPLATE, question=F.col("question"), context=F.coalesce(F.col("context"), F.lit("")))
+    return j.select("conv_id", "turn", p.alias("prompt"))
+
+
+@query("prompt_chat")
+def q_prompt_chat(spark, sf):
+    return _chat_prompts(spark, sf).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"),
+                                            F.length("prompt").cast("int").alias("prompt_length"))
+
+
+def _offline_chat_generator():
+    """Stand-in client: answers with the first context line. Deterministic, no network."""
+    import json
+
+    def fn(prompts):
+        out = []
+        for p in prompts:
+            q = p.split("Question: ", 1)[1].split("\n", 1)[0] if "Question: " in p else ""
+            ctx = p.split("Context:\n", 1)[1] if "Context:\n" in p else ""
+            out.append(json.dumps({"question": q, "answer": ctx.split("\n", 1)[0]}, ensure_ascii=False))
+        return out
+    return fn
+
+
+@query("batch_generate")
+def q_batch_generate(spark, sf):
+    p = _chat_prompts(spark, sf).select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"), "prompt")
+    return gen.batch_generate(p, _offline_chat_generator)
+
+
+def _questions_json(spark, sf):
+    """Level-1 questions exported as one JSON document per collection (the generator's output shape)."""
+    q = _level_1(spark, sf)[0]
+    item = F.struct(*[F.col(c) for c in qn.QUESTION_FIELDS])
+    return q.groupBy("collection").agg(
+        F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("topic", "question_pos", item.alias("q")))),
+                                       lambda x: x["q"]).alias("questions"))).alias("json"))
+
+
+@query("parse_questions")
+def q_parse_questions(spark, sf):
+    good, _ = gen.parse_questions(_questions_json(spark, sf), keys=("collection",))
+    return qn.flat_questions(good.withColumn("question_pos", F.lit(0))).drop("question_pos")
+
+
+@query("parse_topics")
+def q_parse_topics(spark, sf):
+    lists = tp.topic_lists(_topics(spark, sf))
+    js = lists.select("collection", F.to_json(F.struct("book_title", "total_topics",
+                                                        F.lit("").alias("extraction_timestamp"),
+                                                        "main_topics")).alias("json"))
+    p = gen.parse_topics(js, keys=("collection",))
+    return p.select("collection", "book_title", "total_topics",
+                    F.posexplode("main_topics").alias("pos", "topic")).select(
+        "collection", "book_title", "total_topics", (F.col("pos") + 1).cast("int").alias("topic_rank"), "topic")
+
+
+# ---------------------------------------------------------------- chat
+
+def _chat_answers(spark, sf):
+    qs = fx.user_questions(spark, sf).withColumn(
+        "qid", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return chat.answer_questions(spark, qs, _chat_retrieved(spark, sf).drop("conv_id", "turn"), key="qid")
+
+
+@query("validate_requests")
+def q_validate_requests(spark, sf):
+    c = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    req = c.select("conv_id", "turn", F.col("text").alias("question"),
+                   F.concat(F.lit("src"), F.pmod("conv_id", F.lit(fx.N_QUESTION_SOURCES)).cast("string")).alias("collection"))
+    v = chat.validate_requests(req)
+    return v.select("conv_id", "turn", F.col("error").isNull().alias("accepted"), "error")
+
+
+@query("normalize_text")
+def q_normalize_text(spark, sf):
+    from folio.functions.text import normalize_text
+    c = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    return c.select("conv_id", "turn", normalize_text(F.col("text")).alias("normalized"))
+
+
+@query("route_greetings")
+def q_route_greetings(spark, sf):
+    r = chat.route_greetings(spark, fx.user_questions(spark, sf))
+    return r.select("conv_id", "turn", "is_greeting", "reply")
+
+
+@query("chat_answer")
+def q_chat_answer(spark, sf):
+    a = _chat_answers(spark, sf)
+    return a.select("conv_id", "turn", F.col("final_answer").alias("answer"), F.col("n_segments").cast("int").alias("n_segments"))
+
+
+@query("parse_chat")
+def q_parse_chat(spark, sf):
+    a = _chat_answers(spark, sf)
+    js = a.select("conv_id", "turn", F.to_json(F.struct(F.lit("").alias("generated_at"), "question",
+                                                        F.col("final_answer").alias("answer"))).alias("json"))
+    return gen.parse_chat(js, keys=("conv_id", "turn"))
+
+
+@query("answer_tokens")
+def q_answer_tokens(spark, sf):
+    c = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    a = c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("answer"))
+    return chat.answer_tokens(a, keys=("conv_id", "turn"))
+
+
+def _chat_log_table(spark, sf):
+    """Chat turns appended to a log table (input, output, segments, timestamp) and read back."""
+    from folio.session import scratch_path
+    import uuid
+    a = _chat_answers(spark, sf)
+    r = _chat_retrieved(spark, sf)
+    segs = r.groupBy("conv_id", "turn").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "document", F.struct(F.col("page_number").cast("string")
+                                                                          .alias("page_number")).alias("metadata"),
+                                              "confidence"))),
+        lambda x: F.struct(x["document"].alias("document"), x["metadata"].alias("metadata"),
+                           x["confidence"].alias("confidence"))).alias("segments"))
+    log = (a.join(segs, ["conv_id", "turn"], "left")
+           .select("conv_id", "turn", F.col("question").alias("input"), F.col("final_answer").alias("output"),
+                   F.when(F.col("is_greeting"), F.array()).otherwise(F.coalesce("segments", F.array()))
+                   .cast("array<struct<document:string,metadata:struct<page_number:string>,confidence:double>>")
+                   .alias("segments"),
+                   F.current_timestamp().alias("timestamp")))
+    path = scratch_path(spark, f"chat-log-{uuid.uuid4().hex}")
+    log.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("chat_log")
+def q_chat_log(spark, sf):
+    t = _chat_log_table(spark, sf)
+    return t.select("conv_id", "turn", "input", "output", F.size("segments").cast("int").alias("n_segments"))
+
+
+@query("export_chat_log")
+def q_export_chat_log(spark, sf):
+    t = _chat_log_table(spark, sf)
+    return t.select("conv_id", "turn", F.to_json(F.struct(
+        "input", "output", "segments", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+    )).alias("json"))
+
+
+# ---------------------------------------------------------------- instruction data
+
+from folio.operators import instruct  # noqa: E402
+
+
+@query("load_split")
+def q_load_split(spark, sf):
+    return instruct.load_split(spark, f"{sf}/conversations.parquet", split="user", split_col="role")
+
+
+@query("instruct_open")
+def q_instruct_open(spark, sf):
+    return instruct.instruct_open(fx.open_qa_rows(spark, sf))[0]
+
+
+@query("instruct_quarantine")
+def q_instruct_quarantine(spark, sf):
+    return instruct.instruct_open(fx.open_qa_rows(spark, sf))[1]
+
+
+@query("instruct_mcq")
+def q_instruct_mcq(spark, sf):
+    return instruct.instruct_mcq(fx.mcq_rows(spark, sf))
+
+
+@query("preview_instruct")
+def q_preview_instruct(spark, sf):
+    return instruct.preview(instruct.instruct_open(fx.open_qa_rows(spark, sf))[0], 5)
+
+
+@query("merge_instruct")
+def q_merge_instruct(spark, sf):
+    from folio.session import scratch_path
+    import uuid
+    sets = [instruct.instruct_mcq(fx.mcq_rows(spark, sf)), instruct.instruct_open(fx.open_qa_rows(spark, sf))[0]]
+    return instruct.merge(sets, scratch_path(spark, f"train-merge-{uuid.uuid4().hex}"))
+
+
+# ---------------------------------------------------------------- JSON in/out, raw retrieval shape, distances
+
+@query("export_questions")
+def q_export_questions(spark, sf):
+    """``{metadata, questions}`` JSON per collection, written as text partitioned by collection."""
+    from folio.sinks import export_questions
+    from folio.session import scratch_path
+    import uuid
+    path = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    q = _level_1(spark, sf)[0]
+    meta = qn.quiz_metadata(q, tp.topic_lists(_topics(spark, sf)))
+    export_questions(q, meta, path)
+    return spark.read.text(path).select("collection", F.col("value").alias("json"))
+
+
+@query("read_results")
+def q_read_results(spark, sf):
+    """Exported result files read back with an explicit schema; counts from the files."""
+    from folio.sinks import RESULT_SCHEMA, export_questions
+    from folio.sources.files import read_json_results
+    from folio.session import scratch_path
+    import uuid
+    path = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    q = _level_1(spark, sf)[0]
+    export_questions(q, qn.quiz_metadata(q, tp.topic_lists(_topics(spark, sf))), path)
+    r = read_json_results(spark, path, RESULT_SCHEMA)
+    return r.select("collection", F.col("metadata.total_questions").alias("total_questions"),
+                    F.col("metadata.book_title").alias("book_title"),
+                    F.col("metadata.tool_used").alias("tool_used"))
+
+
+def _page_maps(spark, sf):
+    p = fx.doc_pages(spark, sf)
+    return p.groupBy("collection").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct(F.col("page_number").cast("string").alias("k"), F.col("text").alias("v")))))).alias("json"))
+
+
+@query("page_map_json")
+def q_page_map_json(spark, sf):
+    return _page_maps(spark, sf)
+
+
+@query("read_page_map")
+def q_read_page_map(spark, sf):
+    m = _page_maps(spark, sf)
+    return m.select("collection", F.explode(F.from_json("json", "map<string,string>")).alias("k", "text")).select(
+        "collection", F.col("k").cast("int").alias("page_number"), "text")
+
+
+@query("flatten_results")
+def q_flatten_results(spark, sf):
+    """Retrieval in the store's raw shape (lists nested per query) flattened back to rows."""
+    r = _chat_retrieved(spark, sf)
+    raw = r.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "chunk_id", "document", F.struct(F.col("page_number").cast("string").alias("page_number")).alias("m"),
+        "distance"))).alias("hits")).select(
+        "conv_id", "turn",
+        F.array(F.transform("hits", lambda h: h["chunk_id"])).alias("ids"),
+        F.array(F.transform("hits", lambda h: h["document"])).alias("documents"),
+        F.array(F.transform("hits", lambda h: h["m"])).alias("metadatas"),
+        F.array(F.transform("hits", lambda h: h["distance"])).alias("distances"))
+    flat = raw.select("conv_id", "turn", F.inline(F.arrays_zip(
+        F.col("ids")[0].alias("id"), F.col("documents")[0].alias("document"),
+        F.col("metadatas")[0].alias("metadata"), F.col("distances")[0].alias("distance"))))
+    from folio.functions.vector import confidence
+    return flat.select("conv_id", "turn", F.col("id").alias("chunk_id"),
+                       F.col("metadata.page_number").alias("page_number"),
+                       confidence(F.col("distance")).alias("confidence"))
+
+
+@query("vector_distances")
+def q_vector_distances(spark, sf):
+    """Cosine, squared L2 and inner-product distance of every vector to its 5 nearest neighbours."""
+    from folio.functions.vector import distance
+    top = q_retrieve_topk(spark, sf).select("query_id", "neighbor_id")
+    v = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    j = (top.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), "query_id")
+         .join(v.select(F.col("vec_id").alias("neighbor_id"), F.col("embedding").alias("b")), "neighbor_id"))
+    return j.select("query_id", "neighbor_id",
+                    F.round(distance("a", "b", "cosine"), 6).alias("cosine"),
+                    F.round(distance("a", "b", "l2sq"), 6).alias("l2sq"),
+                    F.round(distance("a", "b", "ip"), 6).alias("ip"))
+
+
+# ---------------------------------------------------------------- streaming, approximate search
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf):
+    """Documents arrive as files; ingest runs per micro-batch; a restart from the checkpoint
+    adds nothing. The store then equals the batch ingest."""
+    from folio.session import scratch_path
+    from folio.streaming.ingest import stream_ingest
+    import uuid
+    base = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
+    stream_ingest(spark, sf, "documents.parquet", f"{base}/store", f"{base}/checkpoint")
+    replay = stream_ingest(spark, sf, "documents.parquet", f"{base}/store", f"{base}/checkpoint")
+    if replay["added"] != 0:
+        raise AssertionError("replay from checkpoint added rows")
+    return chunks.read_store(spark, f"{base}/store").select("collection", "chunk_id", "page_number")
+
+
+@query("stream_chat")
+def q_stream_chat(spark, sf):
+    """Conversation turns arrive as a stream; each micro-batch retrieves for its user turns."""
+    from folio.session import scratch_path
+    from folio.streaming.ingest import stream_questions
+    import uuid
+    base = scratch_path(spark, f"stream-chat-{uuid.uuid4().hex}")
+    schema = read_table(spark, sf, "conversations", spread=False).schema
+    corpus = fx.source_corpus(spark, sf)
+
+    def answer(batch):
+        qs = batch.where(F.col("role") == "user").select(
+            "conv_id", "turn", F.col("text").alias("question"),
+            F.concat(F.lit("src"), F.pmod("conv_id", F.lit(fx.N_QUESTION_SOURCES)).cast("string")).alias("collection"))
+        qid = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+        r = chat.retrieve_for_questions(qs, corpus, k=chat.CHAT_K, qid=qid)
+        return r.join(qs.select(qid.alias("qid"), "conv_id", "turn"), "qid").select(
+            "conv_id", "turn", "rank", "chunk_id", "confidence")
+
+    stream_questions(spark, sf, "conversations.parquet", schema, f"{base}/out", f"{base}/checkpoint", answer)
+    return spark.read.parquet(f"{base}/out").select("conv_id", "turn", "rank", "chunk_id", "confidence")
+
+
+@query("retrieve_lsh")
+def q_retrieve_lsh(spark, sf):
+    """Approximate top 5 (random-hyperplane buckets, exact re-rank) with recall against exact."""
+    from folio.operators.lsh import lsh_knn
+    v = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    coll = F.concat(F.lit("label_"), F.col("label").cast("string"))
+    q = v.select(coll.alias("collection"), F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    c = v.select(coll.alias("collection"), F.col("vec_id").alias("cid"), F.lit(0).alias("tie1"),
+                 F.col("vec_id").alias("tie2"), F.col("embedding").alias("vec"))
+    approx = lsh_knn(q, c, retrieve.KnnConfig(k=5, exclude_self=True))
+    exact = retrieve.knn(q, c, retrieve.KnnConfig(k=5, exclude_self=True))
+    hit = approx.select("qid", "cid", F.lit(1).alias("hit"))
+    recall = exact.join(hit, ["qid", "cid"], "left").groupBy("qid").agg(
+        (F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
+    return approx.join(recall, "qid", "left").select(
+        F.col("qid").alias("query_id"), "rank", F.col("cid").alias("neighbor_id"), "confidence", "recall")
