@@ -1,7 +1,9 @@
 """Chunk store: pages -> chunks (id, metadata, embedding); dedupe; append; reset.
 
-The store is one Parquet table partitioned by ``collection``. Reading a collection is a
-partition-pruned scan; "already stored" is a left anti join, never a driver-side id set.
+The store is one Parquet table partitioned by ``bucket = pmod(xxhash64(collection), 64)``:
+a folder per collection would be one small file per document at scale, while a fixed
+number of hash buckets keeps files large and still lets a one-collection read prune to one
+bucket. "Already stored" is a left anti join, never a driver-side id set.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 from folio.functions.text import not_blank
 from folio.functions.vector import DEFAULT_DIM, sum_squares, with_hashed_embedding, with_slot_counts
 
+N_BUCKETS = 64
+
 CHUNK_SCHEMA = T.StructType([
     T.StructField("collection", T.StringType()),
     T.StructField("chunk_id", T.StringType()),
@@ -25,6 +29,17 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("metadata", T.StructType([T.StructField("page_number", T.StringType())])),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
+STORE_SCHEMA = T.StructType(CHUNK_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())])
+
+
+def bucket_of(collection: Column) -> Column:
+    return F.pmod(F.xxhash64(collection), F.lit(N_BUCKETS)).cast("int")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def chunk_id(page_number: Column) -> Column:
@@ -76,10 +91,15 @@ def new_chunks(offered: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(CHUNK_SCHEMA).parquet(path)
-    except Exception:  # no store yet: empty
-        return spark.createDataFrame([], CHUNK_SCHEMA)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], STORE_SCHEMA)
+    return spark.read.schema(STORE_SCHEMA).parquet(path)
+
+
+def scan_collection(spark: SparkSession, path: str, collection: str) -> DataFrame:
+    """One collection's chunks: the bucket predicate prunes to one partition folder."""
+    s = read_store(spark, path)
+    return s.where((F.col("bucket") == bucket_of(F.lit(collection))) & (F.col("collection") == collection))
 
 
 def ingest_append(spark: SparkSession, offered: DataFrame, path: str) -> dict:
@@ -92,11 +112,14 @@ def ingest_append(spark: SparkSession, offered: DataFrame, path: str) -> dict:
     new = new_chunks(batch, read_store(spark, path))
     obs = Observation("ingest")
     new = new.observe(obs, F.count(F.lit(1)).alias("added"))
-    new.select(*[f.name for f in CHUNK_SCHEMA.fields]).write.mode("append").partitionBy("collection").parquet(path)
+    (new.select(*[f.name for f in CHUNK_SCHEMA.fields], bucket_of(F.col("collection")).alias("bucket"))
+     # rebalance: AQE splits a bucket that holds a hot collection and merges small ones
+     .hint("rebalance", "bucket").sortWithinPartitions("bucket", "collection", "page_number")
+     .write.mode("append").partitionBy("bucket").parquet(path))
     m = obs.get
     return {"added": int(m.get("added", 0) or 0)}
 
 
 def reset(spark: SparkSession, path: str) -> None:
     """Remove all chunks of all collections: overwrite with an empty frame of the same schema."""
-    spark.createDataFrame([], CHUNK_SCHEMA).write.mode("overwrite").partitionBy("collection").parquet(path)
+    spark.createDataFrame([], STORE_SCHEMA).write.mode("overwrite").partitionBy("bucket").parquet(path)

@@ -527,7 +527,7 @@ def q_export_questions(spark, sf):
     q = _level_1(spark, sf)[0]
     meta = qn.quiz_metadata(q, tp.topic_lists(_topics(spark, sf)))
     export_questions(q, meta, path)
-    return spark.read.text(path).select("collection", F.col("value").alias("json"))
+    return spark.read.text(path).select(F.col("value").alias("json"))
 
 
 @query("read_results")

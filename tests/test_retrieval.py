@@ -12,7 +12,7 @@ def _brute(q, c, k, exclude_self=False):
     for qid, qc, qv in q:
         cands = []
         for cid, cc, t1, t2, cv in c:
-            if cc != qc or qv is None or cv is None or (exclude_self and cid == qid):
+            if cc != qc or qv is None or cv is None or (exclude_self and cid == qid) or not any(cv):
                 continue
             a, b = np.asarray(qv, float), np.asarray(cv, float)
             d = 1 - a.dot(b) / (np.linalg.norm(a) * np.linalg.norm(b))
