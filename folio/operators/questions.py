@@ -36,6 +36,12 @@ def core(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]", "")
 
 
+def cores(sentence: Column) -> Column:
+    """Cores of all space-separated words at once: one regex per sentence, not per word
+    (same result as ``transform(split(s, ' '), core)``: spaces are kept, so words align)."""
+    return F.split(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N} ]", ""), " ", -1)
+
+
 def sentences(chunks: DataFrame) -> DataFrame:
     s = chunks.select("collection", "page_number",
                       F.posexplode(F.split("document", SENTENCE_SPLIT, -1)).alias("sentence_pos", "sentence"))
@@ -53,6 +59,7 @@ def _options(topic: Column, topics: Column, sentence: Column) -> Column:
 
 
 def _question_columns(df: DataFrame) -> DataFrame:
+    """Expects ``cores`` as a column of its own (computed once per sentence)."""
     words = F.split(F.col("sentence"), " ", -1)
     opts = _options(F.col("topic"), F.col("topics"), F.col("sentence"))
     return df.select(
@@ -60,7 +67,10 @@ def _question_columns(df: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws("|", "collection", "topic", F.col("page_number").cast("string"),
                            F.col("sentence_pos").cast("string")), 256).alias("id"),
         F.lit("MCQ").alias("type"),
-        F.array_join(F.transform(words, lambda w: F.when(core(w) == F.col("topic"), F.lit("____")).otherwise(w)),
+        # words and cores zipped first: the lambda reads struct fields only, so an inlined
+        # ``cores`` expression is still evaluated once per sentence, not once per word
+        F.array_join(F.transform(F.arrays_zip(words.alias("w"), F.col("cores").alias("c")),
+                                 lambda x: F.when(x["c"] == F.col("topic"), F.lit("____")).otherwise(x["w"])),
                      " ").alias("question"),
         opts.alias("options"),
     ).withColumn("correct_answer", F.substring(F.lit(LETTERS), F.array_position("options", F.col("topic")).cast("int"), 1)) \
@@ -80,9 +90,8 @@ def generate_level_1(chunks: DataFrame, topics: DataFrame, n: int = N_LEVEL_1) -
     ok = ta.where(F.size("topics") >= 4)
     quarantine = ta.where(F.size("topics") < 4).select(
         "collection", F.lit("fewer than 4 topics").alias("reason"))
-    s = sentences(chunks).join(ok, "collection")
-    cores = F.transform(F.split(F.col("sentence"), " ", -1), core)
-    m = s.select("*", F.explode(F.filter("topics", lambda t: F.array_contains(cores, t))).alias("topic"))
+    s = sentences(chunks).withColumn("cores", cores(F.col("sentence"))).join(ok, "collection")
+    m = s.select("*", F.explode(F.filter("topics", lambda t: F.array_contains(F.col("cores"), t))).alias("topic"))
     w = Window.partitionBy("collection", "topic").orderBy("page_number", "sentence_pos")
     top = m.withColumn("question_pos", F.row_number().over(w)).where(F.col("question_pos") <= n)
     return _question_columns(top), quarantine
@@ -97,12 +106,11 @@ def generate_level_2(retrieved: DataFrame, topics: DataFrame, n: int = N_LEVEL_2
         "collection", F.lit("fewer than 4 topics").alias("reason"))
     r = retrieved.join(ok, "collection")
     sent = F.transform(F.split("document", SENTENCE_SPLIT, -1), lambda x, i: F.struct(i.alias("pos"), x.alias("s")))
-    hit = F.filter(sent, lambda x: not_blank(x["s"]) & F.array_contains(
-        F.transform(F.split(x["s"], " ", -1), core), F.col("topic")))
+    hit = F.filter(sent, lambda x: not_blank(x["s"]) & F.array_contains(cores(x["s"]), F.col("topic")))
     picked = r.select("*", F.posexplode(F.slice(hit, 1, n)).alias("qp", "hit")).select(
         "collection", "topic", "topics", "page_number", F.col("confidence").alias("source_confidence"),
         F.col("hit.pos").cast("int").alias("sentence_pos"), F.col("hit.s").alias("sentence"),
-        (F.col("qp") + 1).cast("int").alias("question_pos"))
+        (F.col("qp") + 1).cast("int").alias("question_pos")).withColumn("cores", cores(F.col("sentence")))
     return _question_columns(picked), quarantine
 
 

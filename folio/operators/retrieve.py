@@ -75,17 +75,20 @@ def _topk_index(q, cid, t1, t2, key, k):
     return order[(np.arange(len(qs)) - start) < k]
 
 
-def _block_candidates(qids, Q, cids, t1, t2, C, cfg: KnnConfig):
-    """Top-k candidates of each query against one corpus block; returns flat arrays."""
+def _block_candidates(qids, Q, cids, t1, t2, C, cfg: KnnConfig, self_ids=None):
+    """Top-k candidates of each query against one corpus block; returns flat arrays.
+
+    ``self_ids`` (default ``qids``) are compared with ``cids`` when ``exclude_self`` is set."""
     out = []
     n = C.shape[0]
+    self_ids = qids if self_ids is None else self_ids
     for s in range(0, Q.shape[0], QUERY_TILE):
         Qt = Q[s:s + QUERY_TILE]
         qt = qids[s:s + QUERY_TILE]
         D = _dist(Qt, C, cfg.metric)
         D[~np.isfinite(D)] = np.inf
         if cfg.exclude_self:
-            D[qt[:, None] == cids[None, :]] = np.inf
+            D[self_ids[s:s + QUERY_TILE][:, None] == cids[None, :]] = np.inf
         key = _round9(D)
         if n > cfg.k:
             kth = np.partition(key, cfg.k - 1, axis=1)[:, cfg.k - 1]
@@ -125,39 +128,101 @@ def _frame(c, coll) -> pd.DataFrame:
                          "distance": c[4], "dkey": c[5]})
 
 
+PAIR_MAX_Q = 32        # collections with at most this many queries take the pair path
+PAIR_BUDGET = 1 << 16  # pairs per vectorised step (bounds the gathered arrays)
+
+
+def _pair_dist(Qp: np.ndarray, Cp: np.ndarray, metric: str, qn: np.ndarray, cn: np.ndarray) -> np.ndarray:
+    dot = np.einsum("ij,ij->i", Qp, Cp)
+    if metric == "cosine":
+        return 1.0 - dot / (qn * cn)
+    if metric == "ip":
+        return 1.0 - dot
+    if metric == "l2sq":
+        return np.maximum(qn * qn + cn * cn - 2.0 * dot, 0.0)
+    raise ValueError(metric)
+
+
 def _broadcast_candidates(queries: DataFrame, corpus: DataFrame, qpdf: pd.DataFrame, cfg: KnnConfig,
                           qtype, ctype) -> DataFrame:
-    by_coll = {}
+    """Queries (checked size) are broadcast once, sorted by collection; the corpus streams.
+
+    Per Arrow batch of corpus rows: collections with few queries are handled together as
+    (query, row) index pairs with one vectorised row-wise dot product (no per-collection
+    Python loop — per-document collections are many and tiny); collections with many
+    queries get a blocked matrix product. Either way only ``k`` per query leave the task.
+    """
     qpdf = _valid(qpdf)
-    for coll, idx in qpdf.groupby("collection", sort=False).indices.items():
-        sub = qpdf.iloc[idx]
-        by_coll[coll] = (sub["qid"].to_numpy(), _matrix(sub["vec"]))
-    bc = corpus.sparkSession.sparkContext.broadcast(by_coll)
+    codes, uniques = pd.factorize(qpdf["collection"])
+    order = np.argsort(codes, kind="stable")
+    Q = _matrix(qpdf["vec"].iloc[order]) if len(order) else np.zeros((0, 1))
+    counts = np.bincount(codes, minlength=len(uniques)).astype(np.int64)
+    payload = {
+        "colls": list(uniques), "qids": qpdf["qid"].to_numpy()[order], "Q": Q,
+        "code": codes[order].astype(np.int64), "counts": counts,
+        "starts": (np.cumsum(counts) - counts).astype(np.int64),
+    }
+    bc = corpus.sparkSession.sparkContext.broadcast(payload)
 
     def kernel(batches):
-        qmap = bc.value
-        accs = {}
+        p = bc.value
+        Qa, qids, counts_, starts = p["Q"], p["qids"], p["counts"], p["starts"]
+        code_of = {c: i for i, c in enumerate(p["colls"])}
+        qnorm = np.sqrt(np.einsum("ij,ij->i", Qa, Qa)) if len(Qa) else np.zeros(0)
+        acc = None
         for pdf in batches:
-            for coll, idx in pdf.groupby("collection", sort=False).indices.items():
-                if coll not in qmap:
-                    continue
-                qids, Q = qmap[coll]
-                acc = accs.get(coll)
-                sub = _valid(pdf.iloc[idx])
-                if len(sub) == 0:
-                    continue
-                cand = _block_candidates(qids, Q, sub["cid"].to_numpy(), sub["tie1"].to_numpy(),
-                                         sub["tie2"].to_numpy(), _matrix(sub["vec"]), cfg)
-                if cand is None:
-                    continue
-                if acc is not None:
-                    cand = tuple(np.concatenate([a, b]) for a, b in zip(acc, cand))
-                # keep <= k per query across the batches of this partition
-                qi = pd.factorize(cand[0])[0]
-                keep = _topk_index(qi, cand[1], cand[2], cand[3], cand[5], cfg.k)
-                accs[coll] = tuple(a[keep] for a in cand)
-        for coll, acc in accs.items():
-            yield _frame(acc, coll)
+            cc = pdf["collection"].map(code_of)
+            sub = pdf[cc.notna().to_numpy() & pdf["vec"].notna().to_numpy()]
+            if len(sub) == 0:
+                continue
+            rcode = sub["collection"].map(code_of).to_numpy().astype(np.int64)
+            C = _matrix(sub["vec"])
+            cids, t1, t2 = sub["cid"].to_numpy(), sub["tie1"].to_numpy(), sub["tie2"].to_numpy()
+            cnorm = np.sqrt(np.einsum("ij,ij->i", C, C))
+            nq = counts_[rcode]
+            parts = []
+            # pair path: rows of collections with few queries, all collections at once
+            rows = np.flatnonzero(nq <= PAIR_MAX_Q)
+            if len(rows):
+                reps = nq[rows]
+                bounds = np.searchsorted(np.cumsum(reps), np.arange(PAIR_BUDGET, reps.sum() + PAIR_BUDGET,
+                                                                    PAIR_BUDGET), side="right")
+                lo = 0
+                for hi in np.unique(np.append(bounds, len(rows))):
+                    if hi <= lo:
+                        continue
+                    rr, rp = rows[lo:hi], reps[lo:hi]
+                    lo = hi
+                    ci = np.repeat(rr, rp)
+                    qi = np.repeat(starts[rcode[rr]], rp) + (np.arange(rp.sum()) - np.repeat(np.cumsum(rp) - rp, rp))
+                    D = _pair_dist(Qa[qi], C[ci], cfg.metric, qnorm[qi], cnorm[ci])
+                    ok = np.isfinite(D)
+                    if cfg.exclude_self:
+                        ok &= qids[qi] != cids[ci]
+                    qi, ci, D = qi[ok], ci[ok], D[ok]
+                    key = _round9(D)
+                    keep = _topk_index(qi, cids[ci], t1[ci], t2[ci], key, cfg.k)
+                    qi, ci = qi[keep], ci[keep]
+                    parts.append((qi, cids[ci], t1[ci], t2[ci], D[keep], key[keep]))
+            # matrix path: one blocked product per large collection
+            for code in np.unique(rcode[nq > PAIR_MAX_Q]):
+                rr = np.flatnonzero(rcode == code)
+                s0, n0 = starts[code], counts_[code]
+                cand = _block_candidates(np.arange(s0, s0 + n0), Qa[s0:s0 + n0], cids[rr], t1[rr], t2[rr], C[rr],
+                                         cfg, self_ids=qids[s0:s0 + n0])
+                if cand is not None:
+                    parts.append(cand)
+            if not parts:
+                continue
+            if acc is not None:
+                parts.append(acc)
+            cand = tuple(np.concatenate([x[i] for x in parts]) for i in range(6))
+            keep = _topk_index(cand[0].astype(np.int64), cand[1], cand[2], cand[3], cand[5], cfg.k)
+            acc = tuple(a[keep] for a in cand)
+        if acc is not None:
+            qi = acc[0].astype(np.int64)
+            colls = np.asarray(p["colls"], dtype=object)[p["code"][qi]]
+            yield _frame((qids[qi],) + acc[1:], colls)
 
     return corpus.select("collection", "cid", "tie1", "tie2", "vec").mapInPandas(
         kernel, _candidate_schema(qtype, ctype))

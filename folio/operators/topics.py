@@ -28,9 +28,11 @@ def term_frequencies(chunks: DataFrame, min_chars: int = MIN_TOKEN_CHARS) -> Dat
 
 
 def titles(chunks: DataFrame) -> DataFrame:
-    first = chunks.groupBy("collection").agg(F.min_by("document", "page_number").alias("first_page"))
-    line = F.get(F.filter(F.split("first_page", "\n", -1), lambda l: not_blank(l)), 0)
-    return first.select("collection", py_strip(line).alias("book_title"))
+    """First non-blank line of the first stored page. The line is cut out per page before the
+    aggregate, so only short strings (not page texts) are shuffled."""
+    line = F.get(F.filter(F.split("document", "\n", -1), lambda l: not_blank(l)), 0)
+    firsts = chunks.select("collection", "page_number", py_strip(line).alias("line"))
+    return firsts.groupBy("collection").agg(F.min_by("line", "page_number").alias("book_title"))
 
 
 def extract_topics(chunks: DataFrame, max_topics: int = MAX_TOPICS) -> DataFrame:

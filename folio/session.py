@@ -80,3 +80,10 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(out, "folio"), "zip", os.path.dirname(pkg_dir), "folio")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
+
+
+def materialize(df):
+    """Cut the lineage of an intermediate used several times: reliable ``checkpoint`` into
+    the shared checkpoint folder (survives executor loss; never a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -97,9 +97,10 @@ def extract_html_pages(pages_table: DataFrame) -> DataFrame:
                     out["source_id"] == F.col("sid")).drop("sid")
 
 
-def read_json_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Saved result JSON with a known schema; a missing path gives an empty frame."""
-    try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
-    except Exception:  # noqa: BLE001 - missing file
+def read_json_results(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """Saved result JSON with a known schema (JSON lines, or one document per file with
+    ``multi_line``); a missing path gives an empty frame instead of an error."""
+    from folio.operators.chunks import path_exists
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)

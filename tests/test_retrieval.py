@@ -52,3 +52,16 @@ def test_context_lines(spark):
     df = spark.createDataFrame([("q", 2, "B", 9), ("q", 1, "A", 6)],
                                "qid string, rank int, document string, page_number int")
     assert chat_context(df).first().context == "A Page number: 6\nB Page number: 9\n"
+
+
+def test_knn_many_queries_per_collection(spark):
+    """A collection with more queries than the pair path takes uses the blocked matrix branch."""
+    rng = np.random.default_rng(5)
+    q = [(i, "a" if i < 70 else "b", rng.standard_normal(6).astype(np.float32).tolist()) for i in range(80)]
+    c = [(i, "a" if i % 4 else "b", 0, i, rng.standard_normal(6).astype(np.float32).tolist()) for i in range(120)]
+    qdf = spark.createDataFrame(q, "qid long, collection string, vec array<float>")
+    cdf = spark.createDataFrame(c, "cid long, collection string, tie1 int, tie2 long, vec array<float>")
+    got = {}
+    for r in knn(qdf, cdf, KnnConfig(k=3, exclude_self=True, force_path="broadcast")).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.cid)
+    assert got == _brute(q, c, 3, exclude_self=True)
