@@ -8,7 +8,7 @@ collection is one document, so each group is bounded by the size of a document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import not_blank
@@ -107,18 +107,21 @@ def single_page(requests: DataFrame, pages: DataFrame, counts: DataFrame) -> Dat
 def page_interval(requests: DataFrame, pages: DataFrame, counts: DataFrame, k: int = 1) -> DataFrame:
     """Text of pages ``n-k .. n+k`` clamped to the document, no separator; ``n`` out of range rejected.
 
-    Range join: equi on ``collection`` plus ``page_number BETWEEN lo AND hi``.
+    The range is expanded on the request side (at most ``2k+1`` rows per request) and met by an
+    equi join on ``(collection, page_number)`` — a unique key, so a document with very many
+    pages does not funnel into one task as a join on ``collection`` alone would.
     """
     r = (requests.join(counts, "collection", "left")
          .withColumn("reason", F.when(F.col("n_pages").isNull(), F.lit("unknown collection"))
                      .when(F.col("page_number") < 1, F.lit("page number below 1"))
-                     .when(F.col("page_number") > F.col("n_pages"), F.lit("invalid page number")))
-         .withColumn("lo", F.greatest(F.lit(1), F.col("page_number") - k))
-         .withColumn("hi", F.least(F.col("n_pages"), F.col("page_number") + k)))
+                     .when(F.col("page_number") > F.col("n_pages"), F.lit("invalid page number"))))
+    wanted = r.select("collection", "page_number", "reason",
+                      F.explode(F.when(F.col("reason").isNull(), F.sequence(
+                          F.greatest(F.lit(1), F.col("page_number") - k),
+                          F.least(F.col("n_pages"), F.col("page_number") + k)))
+                          .otherwise(F.array(F.lit(None).cast("int")))).alias("p_page"))
     p = pages.select("collection", F.col("page_number").alias("p_page"), F.col("text").alias("p_text"))
-    cond = ((r["collection"] == p["collection"]) & r["reason"].isNull()
-            & (p["p_page"] >= r["lo"]) & (p["p_page"] <= r["hi"]))
-    joined = r.join(p, cond, "left").drop(p["collection"])
+    joined = wanted.join(p, ["collection", "p_page"], "left")
     return (joined.groupBy("collection", "page_number", "reason")
             .agg(ordered_concat(F.col("p_page"), F.col("p_text"), "").alias("text"))
             .select("collection", "page_number",
@@ -127,10 +130,16 @@ def page_interval(requests: DataFrame, pages: DataFrame, counts: DataFrame, k: i
 
 
 def page_window(pages: DataFrame, k: int = 1) -> DataFrame:
-    """For every page, the text of pages ``n-k .. n+k`` of its document (window frame)."""
-    w = Window.partitionBy("collection").orderBy("page_number").rangeBetween(-k, k)
-    frame = F.collect_list(F.struct(F.col("page_number").alias("k"), F.col("text").alias("v"))).over(w)
-    return pages.select(
-        "collection", "page_number",
-        F.array_join(F.transform(F.array_sort(frame), lambda x: x["v"]), "").alias("window_text"),
-    )
+    """For every page, the text of pages ``n-k .. n+k`` of its document (a sliding frame).
+
+    Expressed as a fan-out of each page to the ``2k+1`` centres it belongs to and a group by
+    ``(collection, centre)``: every group holds at most ``2k+1`` rows, whatever the size of a
+    document, where ``Window.partitionBy(collection)`` would put a whole document in one task.
+    """
+    fan = pages.select("collection", "page_number", "text",
+                       F.explode(F.sequence(F.col("page_number") - k, F.col("page_number") + k)).alias("centre"))
+    g = fan.groupBy("collection", "centre").agg(
+        F.max((F.col("page_number") == F.col("centre")).cast("int")).alias("is_page"),
+        ordered_concat(F.col("page_number"), F.col("text"), "").alias("window_text"))
+    return g.where(F.col("is_page") == 1).select(
+        "collection", F.col("centre").cast("int").alias("page_number"), "window_text")

@@ -46,13 +46,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Only when it is unset (local tests) a fresh folder is made and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if d:
-        return d.rstrip("/")
-    d = tempfile.mkdtemp(prefix="folio-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        d = tempfile.mkdtemp(prefix="folio-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
+    return d.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
