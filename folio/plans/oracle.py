@@ -591,3 +591,5 @@ ORACLE["stream_chat"] = "WITH " + chat_retrieve_cte(3) + f"""
 SELECT conv_id, turn, CAST(rank AS INTEGER) AS rank, chunk_id, {confidence('distance')} AS confidence FROM retrieved"""
 
 ORACLE["reset"] = "SELECT CAST(NULL AS VARCHAR) AS collection, CAST(NULL AS VARCHAR) AS chunk_id WHERE false"
+
+ORACLE["chat"] = ORACLE["chat_answer"]

@@ -656,3 +656,16 @@ def q_retrieve_lsh(spark, sf):
         (F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
     return approx.join(recall, "qid", "left").select(
         F.col("qid").alias("query_id"), "rank", F.col("cid").alias("neighbor_id"), "confidence", "recall")
+
+
+# ---------------------------------------------------------------- end-to-end
+
+@query("chat")
+def q_chat(spark, sf):
+    """The end-to-end chat call: checks, greeting route, top-3 retrieval, answer, documents."""
+    from folio import api
+    qs = fx.user_questions(spark, sf).withColumn(
+        "qid", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    out = api.chat(spark, qs, fx.source_corpus(spark, sf))
+    return out.join(qs.select("qid", "conv_id", "turn"), "qid").select(
+        "conv_id", "turn", "answer", F.size("documents").cast("int").alias("n_segments"))
