@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from folio.functions.vector import confidence as confidence_expr
 
 QUERY_TILE = 1024
+TILE_CELLS = 1 << 24   # distance-matrix cells per tile (128 MB of doubles)
 
 
 @dataclass(frozen=True)
@@ -39,8 +40,8 @@ class KnnConfig:
     metric: str = "cosine"
     exclude_self: bool = False          # drop the candidate whose id equals the query id
     max_broadcast_bytes: int = 64 << 20  # query matrix bound for the broadcast path
-    query_block: int = 2048             # rows per query block (block path)
-    corpus_block: int = 8192            # rows per corpus block (block path)
+    query_block: int = 8192             # rows per query block (block path)
+    corpus_block: int = 32768           # rows per corpus block (block path)
     force_path: str | None = None       # "broadcast" | "block" (tests)
 
 
@@ -82,13 +83,14 @@ def _block_candidates(qids, Q, cids, t1, t2, C, cfg: KnnConfig, self_ids=None):
     out = []
     n = C.shape[0]
     self_ids = qids if self_ids is None else self_ids
-    for s in range(0, Q.shape[0], QUERY_TILE):
-        Qt = Q[s:s + QUERY_TILE]
-        qt = qids[s:s + QUERY_TILE]
+    tile = max(1, min(QUERY_TILE, TILE_CELLS // max(n, 1)))
+    for s in range(0, Q.shape[0], tile):
+        Qt = Q[s:s + tile]
+        qt = qids[s:s + tile]
         D = _dist(Qt, C, cfg.metric)
         D[~np.isfinite(D)] = np.inf
         if cfg.exclude_self:
-            D[self_ids[s:s + QUERY_TILE][:, None] == cids[None, :]] = np.inf
+            D[self_ids[s:s + tile][:, None] == cids[None, :]] = np.inf
         key = _round9(D)
         if n > cfg.k:
             kth = np.partition(key, cfg.k - 1, axis=1)[:, cfg.k - 1]
