@@ -42,7 +42,7 @@ def generate_level_1(chunks: DataFrame, n: int = _questions.N_LEVEL_1):
 
 def generate_level_2(chunks: DataFrame, n: int = _questions.N_LEVEL_2):
     from folio.session import materialize
-    topics = materialize(_topics.extract_topics(chunks))
+    topics = materialize(_topics.extract_topics(chunks), "topics")
     tq = topics.select("collection", "topic", F.concat_ws("|", "collection", "topic").alias("qid"))
     best = retrieve(tq, chunks, k=1, text_col="topic").join(tq, ["qid", "collection"]).select(
         "collection", "topic", "page_number", "document", "confidence")

@@ -96,16 +96,25 @@ def extractive_answer(retrieved: DataFrame, questions: DataFrame, key: str = "qi
                       text_col: str = "question") -> DataFrame:
     """Default answer (a stand-in, not a model): the sentence of the retrieved pages that shares
     the most distinct tokens with the question; ties by (rank, sentence position); none ->
-    ``No answer provided.``. Work per question is bounded by its k pages."""
+    null (the caller substitutes ``No answer provided.``). Also returns ``n_docs``, the number
+    of retrieved pages, from the same pass. Work per question is bounded by its k pages."""
     from folio.functions.text import tokens
     from folio.operators.questions import SENTENCE_SPLIT
     qt = questions.select(key, F.array_distinct(tokens(F.col(text_col))).alias("qtokens"))
-    s = retrieved.select(key, "rank", F.posexplode(F.split("document", SENTENCE_SPLIT, -1)).alias("pos", "sentence"))
-    s = s.where(not_blank("sentence")).join(qt, key)
-    s = s.withColumn("overlap", F.size(F.array_intersect(F.array_distinct(tokens(F.col("sentence"))), F.col("qtokens"))))
-    best = s.groupBy(key).agg(F.min_by(F.struct(F.col("overlap"), F.col("sentence")),
-                                       F.struct((-F.col("overlap")).alias("o"), F.col("rank"), F.col("pos"))).alias("b"))
-    return best.select(key, F.when(F.col("b.overlap") > 0, F.col("b.sentence")).alias("answer"))
+    s = retrieved.select(key, "rank",
+                         F.posexplode_outer(F.split("document", SENTENCE_SPLIT, -1)).alias("pos", "sentence"))
+    s = s.join(qt, key, "left")
+    overlap = F.when(F.col("sentence").isNotNull() & not_blank("sentence"),
+                     F.size(F.array_intersect(F.array_distinct(tokens(F.col("sentence"))),
+                                              F.coalesce("qtokens", F.array().cast("array<string>"))))
+                     ).otherwise(F.lit(-1))
+    s = s.withColumn("overlap", overlap)
+    best = s.groupBy(key).agg(
+        F.min_by(F.struct(F.col("overlap"), F.col("sentence")),
+                 F.struct((-F.col("overlap")).alias("o"), F.col("rank"), F.col("pos"))).alias("b"),
+        F.size(F.collect_set("rank")).alias("n_docs"))
+    return best.select(key, F.when(F.col("b.overlap") > 0, F.col("b.sentence")).alias("answer"),
+                       F.col("n_docs").cast("int").alias("n_docs"))
 
 
 def answer_questions(spark: SparkSession, questions: DataFrame, retrieved: DataFrame, key: str = "qid",
@@ -113,8 +122,7 @@ def answer_questions(spark: SparkSession, questions: DataFrame, retrieved: DataF
     """Greeting route, else the extractive answer; every question gets one row."""
     routed = route_greetings(spark, questions, text_col)
     ans = extractive_answer(retrieved, questions, key, text_col)
-    ndocs = retrieved.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n_docs"))
-    return (routed.join(ans, key, "left").join(ndocs, key, "left")
+    return (routed.join(ans, key, "left")
             .select("*", F.when(F.col("is_greeting"), F.col("reply"))
                     .otherwise(F.coalesce(F.col("answer"), F.lit(NO_ANSWER))).alias("final_answer"),
                     F.when(F.col("is_greeting"), F.lit(0)).otherwise(F.coalesce(F.col("n_docs"), F.lit(0)))

@@ -273,7 +273,7 @@ def _topic_pages(spark, sf, topics: DataFrame) -> DataFrame:
 
 def _level_2(spark, sf):
     from folio.session import materialize
-    t = materialize(_topics(spark, sf))   # used three times below: computed once
+    t = materialize(_topics(spark, sf), "topics")   # read three times below: computed once
     return qn.generate_level_2(_topic_pages(spark, sf, t), t)
 
 

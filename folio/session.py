@@ -82,8 +82,13 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def materialize(df):
-    """Cut the lineage of an intermediate used several times: reliable ``checkpoint`` into
-    the shared checkpoint folder (survives executor loss; never a local checkpoint)."""
+def materialize(df, name: str = "table"):
+    """Cut the lineage of an intermediate used several times: persist + reliable
+    ``checkpoint`` into the shared checkpoint folder (never a local checkpoint).
+
+    Reads are served from the persisted blocks (memory, spilling to disk); a block lost
+    with its executor is read back from the checkpoint files, not recomputed. The persist
+    also keeps the checkpoint from computing the plan a second time."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK).checkpoint(eager=True)
