@@ -392,10 +392,11 @@ def q_parse_topics(spark, sf):
 
 # ---------------------------------------------------------------- chat
 
-def _chat_answers(spark, sf):
+def _chat_answers(spark, sf, retrieved: DataFrame | None = None):
     qs = fx.user_questions(spark, sf).withColumn(
         "qid", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    return chat.answer_questions(spark, qs, _chat_retrieved(spark, sf).drop("conv_id", "turn"), key="qid")
+    r = retrieved if retrieved is not None else _chat_retrieved(spark, sf)
+    return chat.answer_questions(spark, qs, r.drop("conv_id", "turn"), key="qid")
 
 
 @query("validate_requests")
@@ -445,8 +446,11 @@ def _chat_log_table(spark, sf):
     """Chat turns appended to a log table (input, output, segments, timestamp) and read back."""
     from folio.session import scratch_path
     import uuid
-    a = _chat_answers(spark, sf)
-    r = _chat_retrieved(spark, sf)
+    from folio.session import materialize
+    # one retrieval feeds both the answers and the segments (a Python stage is not
+    # de-duplicated by exchange reuse, so it is materialised once)
+    r = materialize(_chat_retrieved(spark, sf), "retrieved")
+    a = _chat_answers(spark, sf, r)
     segs = r.groupBy("conv_id", "turn").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "document", F.struct(F.col("page_number").cast("string")
                                                                           .alias("page_number")).alias("metadata"),
