@@ -37,7 +37,10 @@ def titles(chunks: DataFrame) -> DataFrame:
 
 def extract_topics(chunks: DataFrame, max_topics: int = MAX_TOPICS) -> DataFrame:
     """``collection, book_title, topic_rank, topic, tf, df, score, total_topics``."""
-    tf = term_frequencies(chunks)
+    from folio.session import materialize
+    # term counts are read three times (scores, document frequencies, N); Catalyst plans
+    # the three reads differently, so they would not share an exchange: computed once
+    tf = materialize(term_frequencies(chunks), "tf")
     dfs = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n = tf.select(F.count_distinct("collection")).scalar()
     scored = tf.join(dfs, "token").withColumn(
