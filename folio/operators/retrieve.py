@@ -158,6 +158,8 @@ def _broadcast_candidates(queries: DataFrame, corpus: DataFrame, qpdf: pd.DataFr
     codes, uniques = pd.factorize(qpdf["collection"])
     order = np.argsort(codes, kind="stable")
     Q = _matrix(qpdf["vec"].iloc[order]) if len(order) else np.zeros((0, 1))
+    if len(order) and np.asarray(qpdf["vec"].iloc[0]).dtype == np.float32:
+        Q = Q.astype(np.float32)   # exact for float inputs; halves what is broadcast
     counts = np.bincount(codes, minlength=len(uniques)).astype(np.int64)
     payload = {
         "colls": list(uniques), "qids": qpdf["qid"].to_numpy()[order], "Q": Q,
@@ -168,7 +170,7 @@ def _broadcast_candidates(queries: DataFrame, corpus: DataFrame, qpdf: pd.DataFr
 
     def kernel(batches):
         p = bc.value
-        Qa, qids, counts_, starts = p["Q"], p["qids"], p["counts"], p["starts"]
+        Qa, qids, counts_, starts = p["Q"].astype(np.float64), p["qids"], p["counts"], p["starts"]
         code_of = {c: i for i, c in enumerate(p["colls"])}
         qnorm = np.sqrt(np.einsum("ij,ij->i", Qa, Qa)) if len(Qa) else np.zeros(0)
         acc = None
@@ -274,13 +276,14 @@ def knn(queries: DataFrame, corpus: DataFrame, cfg: KnnConfig = KnnConfig()) ->
     path = cfg.force_path
     qpdf = None
     if path != "block":
-        dim_guess = 64
-        row_bytes = 8 * dim_guess + 64
-        max_rows = max(1, cfg.max_broadcast_bytes // row_bytes)
+        # size check before anything is collected: row width from one vector, then at most
+        # max_rows + 1 rows are fetched; more than max_rows means the block path
+        width = 4 if isinstance(queries.schema["vec"].dataType.elementType, T.FloatType) else 8
+        # (no filter on ``vec``: it would be pushed into the projection that computes it)
+        head = [r["d"] for r in queries.select(F.size("vec").alias("d")).limit(16).collect() if r["d"] and r["d"] > 0]
+        dim = head[0] if head else 1024
+        max_rows = max(1, cfg.max_broadcast_bytes // (width * dim + 64))
         qpdf = queries.select("collection", "qid", "vec").limit(max_rows + 1).toPandas()
-        if len(qpdf) > 0:
-            dim = len(qpdf["vec"].iloc[0])
-            max_rows = max(1, cfg.max_broadcast_bytes // (8 * dim + 64))
         if len(qpdf) > max_rows and path != "broadcast":
             path, qpdf = "block", None
         else:
