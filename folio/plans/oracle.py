@@ -593,3 +593,8 @@ SELECT conv_id, turn, CAST(rank AS INTEGER) AS rank, chunk_id, {confidence('dist
 ORACLE["reset"] = "SELECT CAST(NULL AS VARCHAR) AS collection, CAST(NULL AS VARCHAR) AS chunk_id WHERE false"
 
 ORACLE["chat"] = ORACLE["chat_answer"]
+
+ORACLE["page_map_json"] = "WITH " + pages_cte() + """
+SELECT collection,
+       CAST(to_json(map_from_entries(list((CAST(page_number AS VARCHAR), text) ORDER BY page_number))) AS VARCHAR) AS json
+FROM doc_pages GROUP BY collection"""

@@ -553,8 +553,10 @@ def q_read_results(spark, sf):
 
 def _page_maps(spark, sf):
     p = fx.doc_pages(spark, sf)
-    return p.groupBy("collection").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct(F.col("page_number").cast("string").alias("k"), F.col("text").alias("v")))))).alias("json"))
+    # keys in numeric page order ("2" before "10"): sort on the number, then make the text keys
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("page_number").alias("n"), F.col("text").alias("v"))))
+    return p.groupBy("collection").agg(F.to_json(F.map_from_entries(F.transform(
+        ordered, lambda x: F.struct(x["n"].cast("string").alias("k"), x["v"].alias("v"))))).alias("json"))
 
 
 @query("page_map_json")
