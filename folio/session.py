@@ -44,11 +44,14 @@ def get_session(master: str | None = None, app: str = "folio",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when it is unset (local tests) a fresh folder is made and registered.
+    A session on one machine (``local[...]``, as in tests) gets a fresh folder where none is set.
+    On a cluster a folder of one machine would lose files, so a missing setting is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="folio-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -83,12 +86,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def materialize(df, name: str = "table"):
-    """Cut the lineage of an intermediate used several times: persist + reliable
-    ``checkpoint`` into the shared checkpoint folder (never a local checkpoint).
-
-    Reads are served from the persisted blocks (memory, spilling to disk); a block lost
-    with its executor is read back from the checkpoint files, not recomputed. The persist
-    also keeps the checkpoint from computing the plan a second time."""
-    from pyspark import StorageLevel
+    """Cut the lineage of an intermediate used several times: a reliable ``checkpoint`` in the
+    shared checkpoint folder. Nothing stays in the session's cache, so a later equal plan reads
+    its inputs anew."""
     checkpoint_dir(df.sparkSession)
-    return df.persist(StorageLevel.MEMORY_AND_DISK).checkpoint(eager=True)
+    return df.checkpoint(eager=True)
