@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from folio.llm.common import discard, written
 
 
+EDGES_A_FILE = 200_000
+
+
 def _stars(e: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (b, s) with b > s."""
     both = e.union(e.select(F.col("s"), F.col("b")))
@@ -35,7 +38,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
                 .select(F.greatest(a, b).alias("b"), F.least(a, b).alias("s")).distinct(), "edges")
     mark = _mark(e)
     while True:
-        new = written(_stars(e), "edges")
+        # edges never grow in number, so a round's table needs no more files than its rows fill
+        new = written(_stars(e).coalesce(max(1, mark[0] // EDGES_A_FILE)), "edges")
         new_mark = _mark(new)
         discard(e)
         e = new

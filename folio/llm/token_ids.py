@@ -1,18 +1,17 @@
 """Token-id files in a static range asymmetric numeral system (rANS).
 
-One frequency table over all documents is shared by all blocks. A block holds whole documents,
-in ascending doc_id order; its ids are dealt out in turn to interleaved lanes, each lane a
-64-bit rANS state that renormalises by 32-bit words, and all lanes step together as one numpy
-operation. A block's row holds the lanes' final states (its checkpoint), the words, its
-documents and their lengths, its place in the part, and a CRC-32 over all of that: any block
-decodes alone, given the table.
+Documents are written in ascending doc_id order. A segment holds up to SEGMENT_IDS ids with one
+frequency table over all of them, which its blocks share. A block holds whole documents; its ids
+are dealt out in turn to interleaved lanes, each lane a 64-bit rANS state that renormalises by
+32-bit words, and all lanes step together as one numpy operation. Each block has the lanes' final
+states (its checkpoint), its words and a CRC-32 over these and its documents' ids and lengths: any
+block decodes alone, given its segment's table.
 
-Files below the output folder (Parquet as container, so that every store Spark writes will do):
-``table/`` (id, freq; freq sums to 2^SCALE) and ``blocks/`` (see BLOCK).
+The files are Parquet (so that every store Spark writes will do), one row a segment: see SEGMENT.
 
 Texts are cut before a space or line break that follows a character other than white space.
 Byte-level BPE pre-tokens never span such a place, so the cuts encode exactly as the whole text
-does, and each different piece goes through the tokenizers library once per worker.
+does, and each different piece goes through the tokenizers library once while it is remembered.
 """
 
 from __future__ import annotations
@@ -36,10 +35,16 @@ from folio.session import scratch_path
 SCALE = 18                      # the table's frequencies sum to 2^18, which bounds the number of ids
 LOW = 1 << 31                   # a lane's state stays in [2^31, 2^63)
 BLOCK_IDS = 1 << 18             # a block is closed by the document that reaches so many ids
+SEGMENT_IDS = 1 << 22           # and a segment by the block that reaches so many
 LANES = 1024
 STEPS = 128                     # a block of fewer than LANES * STEPS ids gets fewer lanes
-CACHE_PIECES = 300_000
-BLOCK = "part int, block int, first bigint, n_ids bigint, lanes int, doc_ids array<bigint>, lengths array<bigint>, states binary, words binary, crc32 bigint"
+CACHE_PIECES = 600_000
+BLOCK = pa.struct([("n_docs", pa.int64()), ("n_ids", pa.int64()), ("states", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())])
+ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int32())), ("freqs", pa.list_(pa.int32())),
+                   ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(BLOCK))])
+SEGMENT = ("part int, segment int, first bigint, n_ids bigint, ids array<int>, freqs array<int>, doc_ids array<bigint>, lengths array<bigint>, "
+           "blocks array<struct<n_docs:bigint,n_ids:bigint,states:binary,words:binary,crc32:bigint>>")
+PLAIN = re.compile(r"[\0\n]?\S+").fullmatch
 INSIDE = r"[\s\v\p{Z}\x{1c}-\x{1f}\x{85}][ \n]|\x00"     # white space before a cut, or our own mark
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -52,30 +57,55 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        self.line_break = self._each(["\n"])[0]
+        if len(self.line_break) != 1 or [i for w in (" a", "b", " c") for i in [*self._each([w])[0], *self.line_break]] != self._each([" a\nb\n c\n"])[0]:
+            raise ValueError("line breaks do not part pre-tokens in this tokenizer")
         self.clear()
 
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
-        self.seen: dict = {}
+        self.seen: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
         self.size, self.at = np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64)
 
     def learn(self, pieces: list[str]) -> None:
         """A piece with NUL in front stands for what follows it, one with a line break in front for
-        itself, any other for itself behind a space."""
-        texts = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in pieces]
-        for k in range(0, len(pieces), 65536):
-            got = [e.ids for e in self.library.encode_batch_fast(texts[k:k + 65536], add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            n, many = len(self.seen), int(size.sum())
-            while n + len(got) >= len(self.size):
-                self.size, self.at = np.r_[self.size, self.size], np.r_[self.at, self.at]
-            while self.used + many > len(self.flat):
-                self.flat = np.r_[self.flat, self.flat]
-            self.flat[self.used:self.used + many] = [i for ids in got for i in ids]
-            self.size[n:n + len(got)] = size
-            self.at[n:n + len(got)] = self.used + np.cumsum(size) - size
-            self.used += many
-            self.seen.update(zip(pieces[k:k + 65536], range(n, n + len(got))))
+        itself, any other for itself behind a space. Pieces without further white space go through
+        the library many at a time, one a line."""
+        plain, odd = [], []
+        for p in pieces:
+            (plain if PLAIN(p) and "<|" not in p else odd).append(p)
+        for k in range(0, len(plain), 1 << 16):
+            some = plain[k:k + (1 << 16)]
+            lines = [p[1:] if p[0] in "\0\n" else " " + p for p in some]
+            got = self._each(["\n".join(lines[j:j + 2048]) + "\n" for j in range(0, len(lines), 2048)])
+            ids = np.fromiter((i for g in got for i in g), np.int32)
+            ends = np.flatnonzero(ids == self.line_break[0])
+            sizes = np.diff(ends, prepend=-1) - 1
+            self._remember(some, np.delete(ids, ends), sizes)
+        for k in range(0, len(odd), 4096):
+            some = odd[k:k + 4096]
+            got = self._each([p[1:] if p[:1] == "\0" else p[1:] if p[:1] == "\n" and PLAIN(p) else p if p[:1] == "\n" else " " + p for p in some])
+            self._remember(some, np.array([i for g in got for i in g], np.int32), np.array([len(g) for g in got], np.int64))
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        # a plain piece behind a line break was encoded without it
+        breaks = np.array([p[:1] == "\n" and PLAIN(p) is not None for p in pieces])
+        if breaks.any():
+            ids = np.insert(ids, (np.cumsum(sizes) - sizes)[breaks], self.line_break[0])
+            sizes = sizes + breaks
+        n, many = len(self.seen), len(ids)
+        while n + len(pieces) > len(self.size):
+            self.size, self.at = np.r_[self.size, self.size], np.r_[self.at, self.at]
+        while self.used + many > len(self.flat):
+            self.flat = np.r_[self.flat, self.flat]
+        self.flat[self.used:self.used + many] = ids
+        self.size[n:n + len(pieces)] = sizes
+        self.at[n:n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.used += many
+        self.seen.update(zip(pieces, range(n, n + len(pieces))))
 
     def places(self, pieces: pa.Array) -> np.ndarray:
         """Where each piece is remembered; pieces not remembered are encoded first."""
@@ -178,36 +208,34 @@ class Table:
         return out
 
 
-def checksum(*parts) -> int:
-    crc = 0
-    for p in parts:
-        crc = zlib.crc32(p, crc)
-    return crc
-
-
-def pack(table: Table, part: int, block: int, first: int, doc_ids: list, lengths: list[int], ids: np.ndarray) -> dict:
-    lanes = min(LANES, max(1, len(ids) // STEPS))
-    states, words = table.encode(ids, lanes)
-    row = {"part": part, "block": block, "first": first, "n_ids": len(ids), "lanes": lanes, "doc_ids": doc_ids,
-           "lengths": lengths, "states": states.astype("<u8").tobytes(), "words": words.astype("<u4").tobytes()}
-    return row | {"crc32": _crc(row)}
+def pack(part: int, segment: int, first: int, doc_ids: list, lengths: list[int], ids: list[np.ndarray], ends: list[int]) -> dict:
+    """The row of a segment; ``ids`` by document, ``ends``: the number of documents up to each block's end."""
+    values, counts = np.unique(np.concatenate(ids), return_counts=True)
+    freqs = scaled(values, counts)
+    table, blocks = Table(values, freqs), []
+    for i, j in zip([0, *ends], ends):
+        own = np.concatenate(ids[i:j])
+        states, words = table.encode(own, min(LANES, max(1, len(own) // STEPS)))
+        block = {"n_docs": j - i, "n_ids": len(own), "states": states.astype("<u8").tobytes(), "words": words.astype("<u4").tobytes()}
+        blocks.append(block | {"crc32": checksum(block, doc_ids[i:j], lengths[i:j])})
+    return {"part": part, "segment": segment, "first": first, "n_ids": sum(lengths), "ids": values, "freqs": freqs,
+            "doc_ids": doc_ids, "lengths": lengths, "blocks": blocks}
 
 
-def _crc(row: dict) -> int:
-    ids = repr((row["part"], row["block"], row["first"], row["n_ids"], row["lanes"], row["doc_ids"], row["lengths"]))
-    return checksum(ids.encode(), row["states"], row["words"])
+def checksum(block: dict, doc_ids: list, lengths: list) -> int:
+    crc = zlib.crc32(repr((block["n_docs"], block["n_ids"], list(doc_ids), list(lengths))).encode())
+    return zlib.crc32(block["words"], zlib.crc32(block["states"], crc))
 
 
-def unpack(table: Table, row: dict) -> np.ndarray:
-    if _crc(row) != row["crc32"]:
-        raise ValueError(f"checksum of block {row['part']}/{row['block']} does not match")
-    return table.decode(row["n_ids"], np.frombuffer(row["states"], "<u8").astype(np.uint64), np.frombuffer(row["words"], "<u4").astype(np.uint64))
-
-
-def _table(spark: SparkSession, folder: str):
-    """The shared table as a broadcast variable: 2^SCALE entries at most."""
-    rows = spark.read.parquet(f"{folder}/table").toPandas()
-    return spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), rows["freq"].to_numpy(np.int64)))
+def unpack(row: dict):
+    """(doc_ids, lengths, ids) of each block of a segment's row."""
+    table, at = Table(np.array(row["ids"], np.int64), np.array(row["freqs"], np.int64)), 0
+    for k, block in enumerate(row["blocks"]):
+        docs, lengths = row["doc_ids"][at:at + block["n_docs"]], row["lengths"][at:at + block["n_docs"]]
+        if checksum(block, docs, lengths) != block["crc32"]:
+            raise ValueError(f"checksum of block {row['part']}/{row['segment']}/{k} does not match")
+        yield docs, lengths, table.decode(block["n_ids"], np.frombuffer(block["states"], "<u8").astype(np.uint64), np.frombuffer(block["words"], "<u4").astype(np.uint64))
+        at += block["n_docs"]
 
 
 # ---------------------------------------------------------------- jobs
@@ -217,81 +245,65 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, doc_id
 
     ``tokenizer``: a tokenizers file every executor has. Null counts as the empty text (one id: the
     end), rows of one doc_id are ordered by their text, a null doc_id comes first, an empty table
-    gives files without blocks, other columns are not read. A task holds one block's ids and one
-    Arrow batch."""
+    gives files without rows, other columns are not read. A task holds one segment's ids, the
+    remembered pieces and one Arrow batch."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
 
-    def count(batches):
-        e, total = encoder(tokenizer), np.zeros(1, np.int64)
-        for b in batches:
-            for piece in slices(b, 0):
-                got = np.bincount(e.texts(piece.column(0), end)[0])
-                total = np.pad(total, (0, max(0, len(got) - len(total))))
-                total[:len(got)] += got
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], ["id", "n"])
-
-    spark = docs.sparkSession
-    counts = rows.select("text").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
-    freq = scaled(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)) if len(counts) else np.empty(0, np.int64)
-    spark.createDataFrame(list(zip(counts["id"].tolist(), freq.tolist())), "id int, freq bigint").coalesce(1).write.parquet(f"{folder}/table")
-    shared = _table(spark, folder)
-
     def encode(batches):
-        e, table, part = encoder(tokenizer), Table(*shared.value), TaskContext.get().partitionId()
-        block, first, inside, held, doc_ids, lengths = 0, 0, 0, [], [], []
+        e, part = encoder(tokenizer), TaskContext.get().partitionId()
+        segment, first, inside, open_, ids, doc_ids, lengths, ends = 0, 0, 0, 0, [], [], [], []
 
         def close():
-            row = pack(table, part, block, first, doc_ids, lengths, np.concatenate(held))
-            return pa.RecordBatch.from_pylist([row], pa.schema(ARROW))
+            return pa.RecordBatch.from_pylist([pack(part, segment, first, doc_ids, lengths, ids, ends)], ARROW)
         for b in batches:
             for piece in slices(b, 1):
-                ids, sizes = e.texts(piece.column(1), end)
+                got, sizes = e.texts(piece.column(1), end)
                 at = 0
                 for d, n in zip(piece.column(0).to_pylist(), sizes.tolist()):
-                    held.append(ids[at:at + n])
+                    ids.append(got[at:at + n].astype(np.int32))
                     doc_ids.append(d)
                     lengths.append(n)
-                    at, inside = at + n, inside + n
-                    if inside >= BLOCK_IDS:
-                        yield close()
-                        block, first, inside, held, doc_ids, lengths = block + 1, first + inside, 0, [], [], []
-        if held:
+                    at, inside, open_ = at + n, inside + n, open_ + n
+                    if open_ >= BLOCK_IDS:
+                        ends.append(len(ids))
+                        open_ = 0
+                        if inside >= SEGMENT_IDS:
+                            yield close()
+                            segment, first, inside, ids, doc_ids, lengths, ends = segment + 1, first + inside, 0, [], [], [], []
+        if ids:
+            if open_:
+                ends.append(len(ids))
             yield close()
 
-    (rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, BLOCK)
-     .write.parquet(f"{folder}/blocks"))
-
-
-ARROW = [("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("lanes", pa.int32()),
-         ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("states", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())]
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SEGMENT).write.parquet(folder)
 
 
 def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of the files, decoded block by block;
     with ``keep_ids`` the ids too. ``start`` counts the ids of all documents before it."""
-    shared = _table(spark, folder)
-    blocks = spark.read.schema(BLOCK).parquet(f"{folder}/blocks")
-    # one row for each part file: as many as there were write tasks
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    segments = spark.read.schema(SEGMENT).parquet(folder)
+    # one row for each write task
+    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     schema = "part int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
 
     def decode(batches):
-        table = Table(*shared.value)
         for b in batches:
-            for row in b.to_pylist():
-                ids = unpack(table, row).astype("<u4")
-                ends = np.cumsum(row["lengths"])
-                starts = ends - row["lengths"]
-                out = [pa.array([row["part"]] * len(ends), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + starts),
-                       pa.array(row["lengths"], pa.int64()), pa.array([zlib.crc32(ids[i:j]) for i, j in zip(starts, ends)], pa.int64())]
-                if keep_ids:
-                    out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(out, ["part", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
-
-    got = blocks.mapInArrow(decode, schema).join(F.broadcast(bases), F.col("part") == F.col("of"))
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                at = row["first"]
+                for docs, lengths, ids in unpack(row):
+                    raw, ends = ids.astype("<u4"), np.cumsum(lengths)
+                    starts = ends - lengths
+                    out = [pa.array([row["part"]] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(at + starts), pa.array(lengths, pa.int64()),
+                           pa.array([zlib.crc32(raw[i:j]) for i, j in zip(starts, ends)], pa.int64())]
+                    if keep_ids:
+                        out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids)))
+                    at += len(ids)
+                    yield pa.RecordBatch.from_arrays(out, ["part", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
+
+    got = segments.mapInArrow(decode, schema).join(F.broadcast(bases), F.col("part") == F.col("of"))
     return got.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 
