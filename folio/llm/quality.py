@@ -8,13 +8,14 @@ passes; where the estimate is negative its gradient is left out, and steps that
 are halved. Every pass is one sum over all rows of the feature table: no sample is taken.
 
 Features see the text only: shares of each ASCII punctuation mark, of upper case, digits, white
-space and bytes beyond ASCII, word and line lengths and repeated lines. They are standardised
+space and bytes beyond ASCII, word and line lengths, repeated lines and words. They are standardised
 by means and deviations over all documents.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from folio.llm.common import text_of, written
 
 MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
-N = len(MARKS) + 10
-RIDGE = 1e-3
+N = len(MARKS) + 12
+RIDGE = 1e-2
 PASSES = 14
 
 
@@ -40,11 +41,14 @@ def features(texts: pa.Array) -> np.ndarray:
         c = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
         upper, lower, digits, beyond = c[65:91].sum(), c[97:123].sum(), c[48:58].sum(), c[128:].sum()
         gaps, breaks = c[32] + c[9], c[10]
-        lines = raw.to_pybytes().split(b"\n") if breaks else [b""]
+        body = raw.to_pybytes()
+        lines, words = body.split(b"\n") if breaks else [b""], body.split()
+        twice = sum(map(eq, words, words[1:])) / max(len(words) - 1, 1)
         out[k, :len(MARKS)] = np.log1p(1000 * c[MARKS] / n)
         out[k, len(MARKS):] = (upper / max(upper + lower, 1), digits / n, beyond / n, gaps / n, np.log1p(1000 * breaks / n), np.log1p(n),
                                np.log1p((n - gaps - breaks) / (gaps + breaks + 1)), 1 - len(set(lines)) / len(lines),
-                               np.log1p(n / (breaks + 1)), np.log1p(c[:32].sum() - breaks - c[9]))
+                               np.log1p(n / (breaks + 1)), np.log1p(c[:32].sum() - breaks - c[9]),
+                               np.log1p(100 * twice), len(set(words)) / max(len(words), 1))
     return out
 
 

@@ -243,7 +243,7 @@ def test_pipeline(spark, docs):
     assert all(b <= a for a, b in zip(ids, ids[1:])) and ids[3] == ids[4] == ids[5]
     labels = pd.read_parquet(f"{SF}/labels.parquet")
     good = set(labels[labels.quality == 1].doc_id)
-    assert len(good - ids[1]) <= 0.03 * len(good)
+    assert len(good - ids[1]) <= 0.03 * len(good)      # of 76 here
     groups = corpus_pipeline.simhash.near_duplicates(frames[1]).toPandas()
     assert ids[2] == set(groups.component_id)
     hit = corpus_pipeline.decontam.contamination(frames[2], spark.read.parquet(f"{SF}/benchmark.parquet")).toPandas()
