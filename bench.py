@@ -43,6 +43,7 @@ def main() -> None:
     for k in keys:
         runs = []
         for _ in range(repeat):
+            spark.catalog.clearCache()
             t0 = time.perf_counter()
             QUERIES[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - t0)

@@ -1,12 +1,17 @@
 """End-to-end functions (what a user calls), composed from the operators.
 
     ingest(spark, documents, store)            -> counts; pages appended to the store
+    ingest_files(spark, files, store, registry)-> counts and rejects; files by name, through an extractor
     retrieve(questions, chunks, k, metric)     -> top-k pages per question with confidence
     generate_level_1(chunks)                   -> (questions, metadata, quarantine)
     generate_level_2(chunks)                   -> (questions with source, metadata, quarantine)
-    chat(spark, questions, chunks)             -> answers with their documents
+    chat(spark, questions, chunks)             -> answers with their documents, rejects with their error
     build_instruction_set(open_rows, mcq_rows) -> instruction rows (optionally saved)
     reset(spark, store)                        -> empty store
+
+``embedder`` takes a text column to a vector column (:func:`folio.operators.chunks.model_embedder`);
+``generator`` is a factory of ``prompts -> answers`` functions, called once per partition
+(:func:`folio.operators.generate.batch_generate`). Without them the built-in stand-ins work.
 """
 
 from __future__ import annotations
@@ -14,57 +19,128 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import prompts as _prompts
+from folio.functions.text import collection_name
 from folio.operators import chat as _chat
 from folio.operators import chunks as _chunks
+from folio.operators import generate as _generate
+from folio.operators import ingest as _ingest
 from folio.operators import instruct as _instruct
 from folio.operators import questions as _questions
 from folio.operators import topics as _topics
-from folio.operators.pages import split_pages
+from folio.operators.pages import collection_text, ordered_concat, rejected_documents, split_pages
 
 
 def ingest(spark: SparkSession, documents: DataFrame, store: str, embedder=None) -> dict:
-    """``documents(doc_id, text)`` -> pages -> non-blank -> not yet stored -> embedded -> appended."""
-    pages = split_pages(documents, keep=("doc_id",))
-    return _chunks.ingest_append(spark, _chunks.to_chunks(pages, embedder=embedder).drop("doc_id"), store)
+    """``documents(doc_id, text)`` -> pages -> non-blank -> not yet stored -> embedded -> appended.
+    Returns ``added`` and ``failed`` pages and ``rejected`` documents (without a text)."""
+    counts = _chunks.ingest_pages(spark, split_pages(documents, keep=()), store, embedder)
+    return counts | {"rejected": rejected_documents(documents).count()}
+
+
+def ingest_files(spark: SparkSession, files: DataFrame, store: str, registry: str, ext: str = ".html",
+                 extractor=None, embedder=None) -> tuple[dict, DataFrame]:
+    """``files(name, content)`` -> supported -> new by name -> pages -> chunks -> store.
+
+    ``registry`` is a Parquet table of the names ingested so far; the new names are added to it
+    after the store is written. Returns counts and ``(name, reason)`` of what was left out."""
+    from folio.session import materialize
+    from folio.sources.files import extract_pages
+    checked = _ingest.filter_supported(files.select("name", "content"), "name", ext)
+    known = spark.read.parquet(registry) if _chunks.path_exists(spark, registry) else spark.createDataFrame([], "name string")
+    named = checked.where("supported").select("name", "content", collection_name(F.col("name")).alias("collection"))
+    fresh = _ingest.new_files(named, known, "name", "collection")
+    pages = materialize(extract_pages(fresh, "name", "content", extractor, keep=("collection",)), "pages")
+    counts = _chunks.ingest_pages(spark, pages.where("error IS NULL"), store, embedder)
+    done = pages.where("error IS NULL").select(F.col("source_id").alias("name")).distinct()
+    rejected = checked.where("NOT supported").select("name", "reason").unionByName(
+        pages.where("error IS NOT NULL").select(F.col("source_id").alias("name"), F.col("error").alias("reason")))
+    rejected = materialize(rejected, "rejected")
+    done.write.mode("append").parquet(registry)
+    return counts, rejected
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 5, metric: str = "cosine",
-             qid: str = "qid", text_col: str = "question") -> DataFrame:
+             qid: str = "qid", text_col: str = "question", embedder=None) -> DataFrame:
     c = chunks if "doc_id" in chunks.columns else chunks.withColumn("doc_id", F.lit(0).cast("bigint"))
-    return _chat.retrieve_for_questions(questions, c, k=k, qid=F.col(qid), metric=metric, text_col=text_col)
+    hits = _chat.retrieve_for_questions(questions, c, k=k, qid=F.col(qid), metric=metric, text_col=text_col, embedder=embedder)
+    return hits.withColumnRenamed("qid", qid)
+
 
+def _titles(chunks: DataFrame) -> DataFrame:
+    return _topics.titles(chunks)
 
-def generate_level_1(chunks: DataFrame, n: int = _questions.N_LEVEL_1):
+
+def _generated(tasks: DataFrame, generator, n: int) -> tuple[DataFrame, DataFrame]:
+    """Questions of ``tasks(collection, topic, topic_rank, context, ...)`` from a generator:
+    render -> generate -> parse; ``(questions, quarantine)``."""
+    from folio.session import materialize
+    keyed = materialize(tasks.withColumn("prompt_id", F.sha2(F.concat_ws("|", "collection", "topic"), 256)), "tasks")
+    prompt = _prompts.render(_prompts.QUESTION_TEMPLATE, n=F.lit(n), topic=F.col("topic"), context=F.col("context"))
+    made = materialize(_generate.batch_generate(keyed.select("prompt_id", prompt.alias("prompt")), generator), "generated")
+    raw = made.where("error IS NULL").select("prompt_id", F.col("response").alias("json"))
+    good, bad = _generate.parse_questions(raw, keys=("prompt_id",))
+    own = keyed.drop("context").withColumnRenamed("topic", "asked_topic")
+    reasons = bad.select("prompt_id", "reason").unionByName(made.where("error IS NOT NULL").select("prompt_id", F.col("error").alias("reason")))
+    return good.join(own, "prompt_id").drop("prompt_id"), reasons.join(own.select("prompt_id", "collection"), "prompt_id").select("collection", "reason")
+
+
+def generate_level_1(chunks: DataFrame, n: int = _questions.N_LEVEL_1, generator=None):
     topics = _topics.extract_topics(chunks)
-    q, quarantine = _questions.generate_level_1(chunks, topics, n)
-    return q, _questions.quiz_metadata(q, _topics.topic_lists(topics)), quarantine
+    if generator is None:
+        q, quarantine = _questions.generate_level_1(chunks, topics, n)
+    else:
+        text = collection_text(chunks).select("collection", F.col("text").alias("context"))
+        q, quarantine = _generated(topics.select("collection", "topic", "topic_rank").join(text, "collection"), generator, n)
+    return q, _questions.quiz_metadata(q, _titles(chunks)), quarantine
 
 
-def generate_level_2(chunks: DataFrame, n: int = _questions.N_LEVEL_2):
+def generate_level_2(chunks: DataFrame, n: int = _questions.N_LEVEL_2, generator=None, embedder=None):
     from folio.session import materialize
     topics = materialize(_topics.extract_topics(chunks), "topics")
-    tq = topics.select("collection", "topic", F.concat_ws("|", "collection", "topic").alias("qid"))
-    best = retrieve(tq, chunks, k=1, text_col="topic").join(tq, ["qid", "collection"]).select(
-        "collection", "topic", "page_number", "document", "confidence")
-    q, quarantine = _questions.generate_level_2(best, topics, n)
-    return q, _questions.quiz_metadata(q, _topics.topic_lists(topics), rag=True), quarantine
+    tq = topics.select("collection", "topic", "topic_rank", F.concat_ws("|", "collection", "topic").alias("qid"))
+    best = retrieve(tq, chunks, k=1, text_col="topic", embedder=embedder).join(tq, ["qid", "collection"]).select(
+        "collection", "topic", "topic_rank", "page_number", "document", "confidence")
+    if generator is None:
+        q, quarantine = _questions.generate_level_2(best.drop("topic_rank"), topics, chunks, n)
+    else:
+        tasks = best.select("collection", "topic", "topic_rank", _chat.context_line(F.col("document"), F.col("page_number")).alias("context"),
+                            _questions.source_array().alias("source"))
+        q, quarantine = _generated(tasks, generator, n)
+    return q, _questions.quiz_metadata(q, _titles(chunks), rag=True), quarantine
 
 
 def chat(spark: SparkSession, questions: DataFrame, chunks: DataFrame, k: int = _chat.CHAT_K,
-         qid: str = "qid") -> DataFrame:
-    """``questions(qid, collection, question)`` -> answer, documents (greetings answered directly)."""
-    checked = _chat.validate_requests(questions)
-    ok = checked.where(F.col("error").isNull()).drop("error")
-    r = retrieve(ok, chunks, k=k, qid=qid)
-    ans = _chat.answer_questions(spark, ok, r, key=qid)
-    docs = r.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-        "rank", "document", F.struct(F.col("page_number").cast("string").alias("page_number")).alias("metadata"),
-        "confidence"))), lambda x: F.struct(x["document"].alias("document"), x["metadata"].alias("metadata"),
-                                             x["confidence"].alias("confidence"))).alias("documents"))
-    return ans.join(docs, qid, "left").select(
-        qid, "question", F.col("final_answer").alias("answer"),
-        F.when(F.col("is_greeting"), F.array()).otherwise(F.coalesce("documents", F.array())).alias("documents"),
-        F.current_timestamp().alias("generated_at"))
+         qid: str = "qid", embedder=None, generator=None) -> DataFrame:
+    """``questions(qid, collection, question)`` -> ``qid, question, answer, documents, error, generated_at``.
+
+    Every question comes back: those that fail the request checks with their ``error`` and neither
+    answer nor documents, greetings answered directly (and not searched for), the others from one
+    retrieval. A generator's answer that fails or does not parse leaves ``error`` set."""
+    from folio.session import materialize
+    checked = _chat.validate_requests(questions.withColumnRenamed(qid, "__qid")).select("__qid", "collection", "question", "error")
+    routed = _chat.route_greetings(spark, checked.where(F.col("error").isNull()).drop("error"))
+    asked = routed.where(~F.col("is_greeting")).select("__qid", "collection", "question")
+    r = materialize(retrieve(asked, chunks, k=k, qid="__qid", embedder=embedder), "retrieved")
+    segs = _chat.segments(r, ("__qid",))
+    if generator is None:
+        ans = _chat.extractive_answer(r, asked, "__qid").select("__qid", "answer", F.lit(None).cast("string").alias("problem"))
+    else:
+        context = r.groupBy("__qid").agg(ordered_concat(F.col("rank"), _chat.context_line(F.col("document"), F.col("page_number"))).alias("context"))
+        prompt = _prompts.render(_prompts.CHAT_TEMPLATE, question=F.col("question"), context=F.coalesce("context", F.lit("")))
+        prompts = asked.join(context, "__qid", "left").select(F.col("__qid").cast("string").alias("prompt_id"), prompt.alias("prompt"))
+        made = materialize(_generate.batch_generate(prompts, generator), "generated")
+        good, bad = _generate.parse_chat(made.where("error IS NULL").select("prompt_id", F.col("response").alias("json")), keys=("prompt_id",))
+        ans = good.select("prompt_id", "answer", F.lit(None).cast("string").alias("problem")).unionByName(
+            bad.select("prompt_id", F.lit(None).cast("string").alias("answer"), F.col("reason").alias("problem"))).unionByName(
+            made.where("error IS NOT NULL").select("prompt_id", F.lit(None).cast("string").alias("answer"), F.col("error").alias("problem")))
+        ans = asked.select("__qid", F.col("__qid").cast("string").alias("prompt_id")).join(ans, "prompt_id").drop("prompt_id")
+    none = F.array().cast(_chat.SEGMENTS)
+    full = routed.join(ans, "__qid", "left").join(segs, "__qid", "left").select(
+        "__qid", "question", F.when(F.col("is_greeting"), F.col("reply")).when(F.col("problem").isNull(), F.coalesce("answer", F.lit(_chat.NO_ANSWER))).alias("answer"),
+        F.coalesce("segments", none).alias("documents"), F.col("problem").alias("error"))
+    refused = checked.where(F.col("error").isNotNull()).select("__qid", "question", F.lit(None).cast("string").alias("answer"), none.alias("documents"), "error")
+    return full.unionByName(refused).withColumn("generated_at", F.current_timestamp()).withColumnRenamed("__qid", qid)
 
 
 def build_instruction_set(open_rows: DataFrame | None, mcq_rows: DataFrame | None,

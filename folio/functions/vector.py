@@ -3,7 +3,7 @@
 The default embedder is a stand-in, not a language model: each token goes to slot
 ``int(md5(token)[:8], 16) % dim``, slot counts are L2-normalised. It is plain SQL, so it
 runs inside codegen and the same function can be written in any SQL engine. A real model
-plugs in through :func:`folio.operators.embed.model_embedder` (a pandas UDF).
+plugs in through :func:`folio.operators.chunks.model_embedder` (a pandas UDF).
 """
 
 from __future__ import annotations

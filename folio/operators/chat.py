@@ -54,16 +54,26 @@ def route_greetings(spark: SparkSession, turns: DataFrame, text_col: str = "ques
 
 def retrieve_for_questions(questions: DataFrame, corpus: DataFrame, k: int = CHAT_K,
                            qid: Column | None = None, metric: str = "cosine",
-                           text_col: str = "question", **cfg) -> DataFrame:
+                           text_col: str = "question", embedder=None, **cfg) -> DataFrame:
     """Top-k pages of each question's collection.
 
     ``questions``: ``collection, <text_col>`` + key columns; ``corpus``: chunk rows with
     ``collection, chunk_id, page_number, doc_id, document, embedding``.
+    ``embedder`` (as for :func:`folio.operators.chunks.to_chunks`; a model may use another mode for
+    queries) embeds the questions; the default is the hashed one. Vectors of another width than
+    the store's are an error before the search.
     Returns ``qid, collection, rank, chunk_id, doc_id, page_number, document, distance, confidence``.
     """
     qid = qid if qid is not None else F.col("qid")
-    q = with_hashed_embedding(questions.select("collection", qid.alias("qid"), F.col(text_col).alias("__text")),
-                              "__text", "vec").select("collection", "qid", "vec")
+    q = questions.select("collection", qid.alias("qid"), F.col(text_col).alias("__text"))
+    if embedder is None:
+        q = with_hashed_embedding(q, "__text", "vec").select("collection", "qid", "vec")
+    else:
+        q = q.select("collection", "qid", embedder(F.col("__text")).alias("vec"))
+        widths = [next((r["n"] for r in df.select(F.size(v).alias("n")).limit(16).collect() if r["n"] and r["n"] > 0), None)
+                  for df, v in ((q, "vec"), (corpus, "embedding"))]
+        if None not in widths and widths[0] != widths[1]:
+            raise ValueError(f"queries have {widths[0]} dimensions, the store {widths[1]}")
     c = corpus.select("collection", F.col("chunk_id").alias("cid"), F.col("page_number").alias("tie1"),
                       F.col("doc_id").cast("bigint").alias("tie2"), F.col("embedding").alias("vec"))
     top = knn(q, c, KnnConfig(k=k, metric=metric, **cfg))
@@ -127,3 +137,32 @@ def answer_questions(spark: SparkSession, questions: DataFrame, retrieved: DataF
                     .otherwise(F.coalesce(F.col("answer"), F.lit(NO_ANSWER))).alias("final_answer"),
                     F.when(F.col("is_greeting"), F.lit(0)).otherwise(F.coalesce(F.col("n_docs"), F.lit(0)))
                     .alias("n_segments")))
+
+
+SEGMENTS = "array<struct<document:string,metadata:struct<page_number:string>,confidence:double>>"
+
+
+def segments(retrieved: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Retrieved pages per question as one array, in rank order."""
+    hits = F.array_sort(F.collect_list(F.struct("rank", "document", F.struct(F.col("page_number").cast("string").alias("page_number")).alias("metadata"), "confidence")))
+    return retrieved.groupBy(*keys).agg(F.transform(hits, lambda x: F.struct(
+        x["document"].alias("document"), x["metadata"].alias("metadata"), x["confidence"].alias("confidence"))).cast(SEGMENTS).alias("segments"))
+
+
+def chat_log_rows(answers: DataFrame, retrieved: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """``keys, input, output, segments, timestamp``: what the chat log keeps of answered questions
+    (from :func:`answer_questions`); greetings have no segments."""
+    found = F.when(F.col("is_greeting"), F.array().cast(SEGMENTS)).otherwise(F.coalesce("segments", F.array().cast(SEGMENTS)))
+    return answers.join(segments(retrieved, keys), list(keys), "left").select(
+        *keys, F.col("question").alias("input"), F.col("final_answer").alias("output"), found.alias("segments"),
+        F.current_timestamp().alias("timestamp"))
+
+
+def append_chat_log(log: DataFrame, path: str) -> None:
+    log.write.mode("append").parquet(path)
+
+
+def export_chat_log(log: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """``keys, json`` in the order of time, ties by the keys."""
+    return log.orderBy("timestamp", *keys).select(*keys, F.to_json(F.struct(
+        "input", "output", "segments", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))).alias("json"))

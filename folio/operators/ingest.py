@@ -15,18 +15,22 @@ def filter_supported(files: DataFrame, name_col: str, ext: str) -> DataFrame:
                         F.when(~ok, F.lit(f"Only {ext} files are supported.")).alias("reason"))
 
 
-def new_files(files: DataFrame, registry: DataFrame) -> DataFrame:
-    """Files whose collection is not in the registry; among files that map to one collection,
-    the first (lowest ``page_id``) wins.
+def new_files(files: DataFrame, registry: DataFrame, name_col: str = "url", order_col: str = "page_id") -> DataFrame:
+    """Files whose *name* is not in the registry; of files of one name the lowest ``order_col`` wins.
 
-    ``min_by`` is a partial + final aggregate, so a collection with many arrivals is
-    combined map-side instead of being sorted in one task.
+    A new file whose name maps to a stored collection stays: its unseen pages are added to it.
+    ``min_by`` is a partial + final aggregate, so a name with many arrivals is combined
+    map-side instead of being sorted in one task.
     """
-    fresh = files.join(registry.select("collection").distinct(), "collection", "left_anti")
-    return fresh.groupBy("collection").agg(
-        F.min("page_id").alias("page_id"),
-        F.min_by("url", "page_id").alias("url"),
-    )
+    fresh = files.join(registry.select(name_col).distinct(), name_col, "left_anti")
+    rest = [c for c in files.columns if c != name_col]
+    return fresh.groupBy(name_col).agg(F.min_by(F.struct(*rest), order_col).alias("r")).select(name_col, "r.*")
+
+
+def name_collisions(files: DataFrame, name_col: str = "url") -> DataFrame:
+    """Collections that files of different names map to, with how many."""
+    return (files.select("collection", name_col).distinct().groupBy("collection")
+            .agg(F.count(F.lit(1)).alias("n_files"), F.min(name_col).alias("first_file")).where("n_files > 1"))
 
 
 def ingest_stats(pages: DataFrame, stored: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ MCQ_INSTRUCTION = "Given the following context create me MCQ questions with opti
 INSTRUCTION_COLUMNS = ["instruction", "input", "output", "id"]
 
 
-def load_split(spark: SparkSession, path: str, split: str | None = None, split_col: str = "split") -> DataFrame:
-    """A dataset split stored as Parquet: ``split`` selects rows by ``split_col`` (or pass the split's own path)."""
-    df = spark.read.parquet(path)
+def load_split(spark: SparkSession, path: str | list[str], split: str | None = None, split_col: str = "split") -> DataFrame:
+    """A dataset split stored as one or several Parquet files: ``split`` selects rows by ``split_col`` (or pass the split's own path)."""
+    df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     return df.where(F.col(split_col) == split) if split is not None else df
 
 
@@ -31,7 +31,8 @@ def _output(question, answer):
 def instruct_open(rows: DataFrame, instruction: str = OPEN_INSTRUCTION) -> tuple[DataFrame, DataFrame]:
     """SQuAD-shaped rows -> instruction rows; the first answer is taken. Rows without an
     answer go to quarantine (the conversion has nothing to put in ``output``)."""
-    has = F.size("answers.text") > 0
+    # null answers, a null list and a null first answer are no answer either
+    has = F.coalesce(F.size("answers.text") > 0, F.lit(False)) & F.get(F.col("answers.text"), 0).isNotNull()
     good = rows.where(has).select(
         F.lit(instruction).alias("instruction"),
         F.concat(F.lit("Title: "), F.col("title"), F.lit("\nContext: "), F.col("context")).alias("input"),

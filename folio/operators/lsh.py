@@ -1,11 +1,12 @@
 """Approximate nearest pages: random-hyperplane buckets, exact re-rank inside buckets.
 
-Each vector gets ``bands`` signatures of ``bits`` sign bits (``sign(v . r)`` for fixed random
-hyperplanes ``r``); a query meets only the chunks that share a signature with it in some
-band. Within a bucket the exact kernel of :mod:`folio.operators.retrieve` ranks (it bounds
-block sizes, so a crowded bucket gets more blocks, not a bigger group); the candidates of all
-bands are merged per query and cut to ``k``. Recall against the exact join is measured by
-the caller.
+Each vector gets ``bands`` signatures of sign bits (``sign(v . r)`` for fixed random hyperplanes
+``r``). A collection uses as many of the bits as bring its buckets to ``bucket_rows`` rows on
+average, none if it is smaller; a query looks into its own bucket of each band and those
+that differ in one bit. Within a bucket the exact kernel of :mod:`folio.operators.retrieve` ranks
+(it bounds block sizes, so a crowded bucket gets more blocks, not a bigger group) and keeps
+``k`` per bucket; these are merged per query, repeats dropped, and only then cut to ``k``.
+Recall against the exact join is measured by the caller.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from folio.functions.vector import confidence
 from folio.operators.retrieve import KnnConfig, knn
 
 
+MAX_BITS = 16
+
+
 def hyperplanes(dim: int, bands: int, bits: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((bands * bits, dim))
 
@@ -44,17 +48,24 @@ def signatures(vec_col: str, dim: int, bands: int, bits: int, seed: int = 7):
 
 
 def lsh_knn(queries: DataFrame, corpus: DataFrame, cfg: KnnConfig = KnnConfig(), dim: int = 64,
-            bands: int = 8, bits: int = 4) -> DataFrame:
-    def bucketed(df: DataFrame) -> DataFrame:
-        return (df.withColumn("__sig", signatures("vec", dim, bands, bits))
-                .select("*", F.posexplode("__sig").alias("__band", "__code"))
-                .withColumn("collection", F.concat_ws("#", "collection", F.col("__band").cast("string"),
-                                                      F.col("__code").cast("string")))
-                .drop("__sig", "__band", "__code"))
-
-    cand = knn(bucketed(queries), bucketed(corpus), cfg)
-    dedup = cand.dropDuplicates(["qid", "cid"])
-    w = Window.partitionBy("qid").orderBy(F.round("distance", 9), "tie1", "tie2", "cid")
+            bands: int = 8, bucket_rows: int = 256) -> DataFrame:
+    """``collection, qid, rank, cid, tie1, tie2, distance, confidence`` of the ``k`` best found."""
+    bits = F.least(F.lit(MAX_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / bucket_rows)))).cast("int")
+    sizes = corpus.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).select("collection", bits.alias("__bits"))
+
+    def bucketed(df: DataFrame, probes) -> DataFrame:
+        own = df.join(sizes, "collection").withColumn("__sig", signatures("vec", dim, bands, MAX_BITS))
+        # a collection of one bucket is searched once, not once a band
+        own = own.select("*", F.posexplode("__sig").alias("__band", "__all")).where((F.col("__bits") > 0) | (F.col("__band") == 0))
+        own = own.withColumn("__code", F.expr("__all & (shiftleft(1L, __bits) - 1)")).withColumn("__code", F.explode(probes))
+        return (own.withColumn("collection", F.concat_ws("#", "collection", F.col("__band").cast("string"), F.col("__code").cast("string")))
+                .drop("__sig", "__band", "__all", "__code", "__bits"))
+
+    flipped = F.expr("concat(array(__code), transform(filter(sequence(0, __bits), j -> j < __bits), j -> __code ^ shiftleft(1L, j)))")
+    cand = knn(bucketed(queries, flipped), bucketed(corpus, F.array("__code")), cfg)
+    dedup = (cand.withColumn("collection", F.regexp_replace("collection", r"#\d+#\d+$", ""))
+             .dropDuplicates(["collection", "qid", "cid"]))
+    w = Window.partitionBy("collection", "qid").orderBy(F.round("distance", 9), "tie1", "tie2", "cid")
     top = dedup.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.k)
-    return top.select("qid", F.col("rank").cast("int").alias("rank"), "cid", "tie1", "tie2", "distance",
+    return top.select("collection", "qid", F.col("rank").cast("int").alias("rank"), "cid", "tie1", "tie2", "distance",
                       confidence(F.col("distance")).alias("confidence"))

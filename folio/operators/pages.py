@@ -8,7 +8,7 @@ collection is one document, so each group is bounded by the size of a document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import not_blank
@@ -45,6 +45,11 @@ def split_pages(docs: DataFrame, text_col: str = "text", lines_per_page: int = L
     )
 
 
+def rejected_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(doc_id, reason)`` of the documents that give no page: those without a text."""
+    return docs.where(F.col(text_col).isNull()).select("doc_id", F.lit("no text").alias("reason"))
+
+
 def document_full_text(docs: DataFrame, text_col: str = "text", lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
     """Whole text of each document, pages in order with **no** separator (the extractor's view).
 
@@ -111,7 +116,9 @@ def page_interval(requests: DataFrame, pages: DataFrame, counts: DataFrame, k: i
     equi join on ``(collection, page_number)`` — a unique key, so a document with very many
     pages does not funnel into one task as a join on ``collection`` alone would.
     """
-    r = (requests.join(counts, "collection", "left")
+    # each different request once; repeated requests get its answer each
+    once = requests.select("collection", "page_number").distinct()
+    r = (once.join(counts, "collection", "left")
          .withColumn("reason", F.when(F.col("n_pages").isNull(), F.lit("unknown collection"))
                      .when(F.col("page_number") < 1, F.lit("page number below 1"))
                      .when(F.col("page_number") > F.col("n_pages"), F.lit("invalid page number"))))
@@ -122,24 +129,28 @@ def page_interval(requests: DataFrame, pages: DataFrame, counts: DataFrame, k: i
                           .otherwise(F.array(F.lit(None).cast("int")))).alias("p_page"))
     p = pages.select("collection", F.col("page_number").alias("p_page"), F.col("text").alias("p_text"))
     joined = wanted.join(p, ["collection", "p_page"], "left")
-    return (joined.groupBy("collection", "page_number", "reason")
-            .agg(ordered_concat(F.col("p_page"), F.col("p_text"), "").alias("text"))
-            .select("collection", "page_number",
-                    F.when(F.col("reason").isNull(), F.lit("ok")).otherwise(F.lit("rejected")).alias("status"),
-                    "reason", F.when(F.col("reason").isNull(), F.col("text")).alias("text")))
+    answer = (joined.groupBy(F.col("collection").alias("of_collection"), F.col("page_number").alias("of_page"), "reason")
+              .agg(ordered_concat(F.col("p_page"), F.col("p_text"), "").alias("text")))
+    same = F.col("collection").eqNullSafe(F.col("of_collection")) & F.col("page_number").eqNullSafe(F.col("of_page"))
+    return requests.select("collection", "page_number").join(answer, same).select(
+        "collection", "page_number",
+        F.when(F.col("reason").isNull(), F.lit("ok")).otherwise(F.lit("rejected")).alias("status"),
+        "reason", F.when(F.col("reason").isNull(), F.col("text")).alias("text"))
 
 
-def page_window(pages: DataFrame, k: int = 1) -> DataFrame:
+def page_window(pages: DataFrame, k: int = 1, range_pages: int = 64) -> DataFrame:
     """For every page, the text of pages ``n-k .. n+k`` of its document (a sliding frame).
 
-    Expressed as a fan-out of each page to the ``2k+1`` centres it belongs to and a group by
-    ``(collection, centre)``: every group holds at most ``2k+1`` rows, whatever the size of a
-    document, where ``Window.partitionBy(collection)`` would put a whole document in one task.
+    Documents are cut into ranges of ``range_pages`` pages; only the ``k`` pages next to a border
+    are copied into the neighbouring range. So a window holds a range, whatever the size of a
+    document, and a text is shuffled about once.
     """
+    n = F.col("page_number")
+
+    def range_of(x):
+        return F.floor((x - 1) / range_pages)
     fan = pages.select("collection", "page_number", "text",
-                       F.explode(F.sequence(F.col("page_number") - k, F.col("page_number") + k)).alias("centre"))
-    g = fan.groupBy("collection", "centre").agg(
-        F.max((F.col("page_number") == F.col("centre")).cast("int")).alias("is_page"),
-        ordered_concat(F.col("page_number"), F.col("text"), "").alias("window_text"))
-    return g.where(F.col("is_page") == 1).select(
-        "collection", F.col("centre").cast("int").alias("page_number"), "window_text")
+                       F.explode(F.sequence(range_of(n - k), range_of(n + k))).alias("part"))
+    w = Window.partitionBy("collection", "part").orderBy("page_number").rangeBetween(-k, k)
+    own = fan.withColumn("window_text", F.array_join(F.collect_list("text").over(w), ""))
+    return own.where(F.col("part") == range_of(n)).select("collection", "page_number", "window_text")

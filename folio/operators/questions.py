@@ -73,6 +73,7 @@ def _question_columns(df: DataFrame) -> DataFrame:
                                  lambda x: F.when(x["c"] == F.col("topic"), F.lit("____")).otherwise(x["w"])),
                      " ").alias("question"),
         opts.alias("options"),
+        F.array_position("topics", F.col("topic")).cast("int").alias("topic_rank"),
     ).withColumn("correct_answer", F.substring(F.lit(LETTERS), F.array_position("options", F.col("topic")).cast("int"), 1)) \
      .withColumn("explanation", F.concat(F.lit("Page "), F.col("page_number").cast("string"), F.lit(": "),
                                          F.col("sentence")))
@@ -84,12 +85,18 @@ def topic_arrays(topics: DataFrame) -> DataFrame:
         .alias("topics"))
 
 
+def too_few_topics(chunks: DataFrame, arrays: DataFrame) -> DataFrame:
+    n = F.coalesce(F.size("topics"), F.lit(0))
+    return chunks.select("collection").distinct().join(arrays, "collection", "left").where(n < 4).select(
+        "collection", F.when(n == 0, F.lit("no topics")).otherwise(F.lit("fewer than 4 topics")).alias("reason"))
+
+
 def generate_level_1(chunks: DataFrame, topics: DataFrame, n: int = N_LEVEL_1) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(questions, quarantine)``. Questions carry ``question_pos`` 1..n per topic."""
+    """Returns ``(questions, quarantine)``. Questions carry ``topic_rank`` and ``question_pos`` 1..n
+    per topic; every collection of ``chunks`` without enough topics is in quarantine."""
     ta = topic_arrays(topics)
     ok = ta.where(F.size("topics") >= 4)
-    quarantine = ta.where(F.size("topics") < 4).select(
-        "collection", F.lit("fewer than 4 topics").alias("reason"))
+    quarantine = too_few_topics(chunks, ta)
     s = sentences(chunks).withColumn("cores", cores(F.col("sentence"))).join(ok, "collection")
     m = s.select("*", F.explode(F.filter("topics", lambda t: F.array_contains(F.col("cores"), t))).alias("topic"))
     w = Window.partitionBy("collection", "topic").orderBy("page_number", "sentence_pos")
@@ -97,18 +104,23 @@ def generate_level_1(chunks: DataFrame, topics: DataFrame, n: int = N_LEVEL_1) -
     return _question_columns(top), quarantine
 
 
-def generate_level_2(retrieved: DataFrame, topics: DataFrame, n: int = N_LEVEL_2) -> tuple[DataFrame, DataFrame]:
+def source_array() -> Column:
+    """``[{document, metadata, confidence}]`` of a retrieved row."""
+    return F.array(F.struct("document", F.struct(F.col("page_number").cast("string").alias("page_number")).alias("metadata"), "confidence"))
+
+
+def generate_level_2(retrieved: DataFrame, topics: DataFrame, chunks: DataFrame, n: int = N_LEVEL_2) -> tuple[DataFrame, DataFrame]:
     """``retrieved``: one row per ``(collection, topic)`` with its best page
-    (``page_number, document, confidence``). Questions come from that page only."""
+    (``page_number, document, confidence``). Questions come from that page only and carry it as
+    ``source``. Collections of ``chunks`` without enough topics are in quarantine."""
     ta = topic_arrays(topics)
     ok = ta.where(F.size("topics") >= 4)
-    quarantine = ta.where(F.size("topics") < 4).select(
-        "collection", F.lit("fewer than 4 topics").alias("reason"))
+    quarantine = too_few_topics(chunks, ta)
     r = retrieved.join(ok, "collection")
     sent = F.transform(F.split("document", SENTENCE_SPLIT, -1), lambda x, i: F.struct(i.alias("pos"), x.alias("s")))
     hit = F.filter(sent, lambda x: not_blank(x["s"]) & F.array_contains(cores(x["s"]), F.col("topic")))
     picked = r.select("*", F.posexplode(F.slice(hit, 1, n)).alias("qp", "hit")).select(
-        "collection", "topic", "topics", "page_number", F.col("confidence").alias("source_confidence"),
+        "collection", "topic", "topics", "page_number", F.col("confidence").alias("source_confidence"), source_array().alias("source"),
         F.col("hit.pos").cast("int").alias("sentence_pos"), F.col("hit.s").alias("sentence"),
         (F.col("qp") + 1).cast("int").alias("question_pos")).withColumn("cores", cores(F.col("sentence")))
     return _question_columns(picked), quarantine
@@ -131,10 +143,10 @@ def question_quality(q: DataFrame) -> DataFrame:
                     F.col("correct_answer").isin(*LETTERS).alias("answer_ok"))
 
 
-def quiz_metadata(questions: DataFrame, lists: DataFrame, tool: str = TOOL, rag: bool = False) -> DataFrame:
-    """One row per collection with topics: question count (0 allowed), title, tool."""
+def quiz_metadata(questions: DataFrame, titles: DataFrame, tool: str = TOOL, rag: bool = False) -> DataFrame:
+    """One row per collection of ``titles(collection, book_title)``: question count (0 allowed), title, tool."""
     counts = questions.groupBy("collection").agg(F.count(F.lit(1)).alias("total_questions"))
-    m = lists.select("collection", "book_title", "total_topics").join(counts, "collection", "left").select(
+    m = titles.select("collection", "book_title").join(counts, "collection", "left").select(
         "collection", F.coalesce("total_questions", F.lit(0)).cast("int").alias("total_questions"),
         "book_title", F.lit(tool).alias("tool_used"))
     if rag:

@@ -8,10 +8,11 @@ Spark tasks and only the best ``k`` per query and block leave a task:
   partitioning (no corpus shuffle, vectors only: text stays in the JVM);
 * **block path** (larger query sets): queries and chunks are cut into bounded blocks per
   collection (block counts grow with the collection, so a hot collection gets more blocks,
-  not bigger ones) and block pairs meet in a ``cogroup`` -> ``applyInPandas``.
+  not bigger ones), small collections share packs of a block's size, and block pairs meet
+  in a ``cogroup`` -> ``applyInPandas``.
 
 Either way the candidates (``k`` per query per partition/block) are shuffled once on the
-query id and cut to ``k`` by ``row_number`` (planned as ``WindowGroupLimit``, i.e. a partial
+collection and query id and cut to ``k`` by ``row_number`` (planned as ``WindowGroupLimit``, i.e. a partial
 top-k before the exchange). Payload columns (text, page) are joined back on the chunk id
 afterwards, for ``k`` rows per query only.
 
@@ -145,15 +146,8 @@ def _pair_dist(Qp: np.ndarray, Cp: np.ndarray, metric: str, qn: np.ndarray, cn:
     raise ValueError(metric)
 
 
-def _broadcast_candidates(queries: DataFrame, corpus: DataFrame, qpdf: pd.DataFrame, cfg: KnnConfig,
-                          qtype, ctype) -> DataFrame:
-    """Queries (checked size) are broadcast once, sorted by collection; the corpus streams.
-
-    Per Arrow batch of corpus rows: collections with few queries are handled together as
-    (query, row) index pairs with one vectorised row-wise dot product (no per-collection
-    Python loop — per-document collections are many and tiny); collections with many
-    queries get a blocked matrix product. Either way only ``k`` per query leave the task.
-    """
+def _payload(qpdf: pd.DataFrame) -> dict:
+    """Queries sorted by collection, as flat arrays."""
     qpdf = _valid(qpdf)
     codes, uniques = pd.factorize(qpdf["collection"])
     order = np.argsort(codes, kind="stable")
@@ -161,105 +155,126 @@ def _broadcast_candidates(queries: DataFrame, corpus: DataFrame, qpdf: pd.DataFr
     if len(order) and np.asarray(qpdf["vec"].iloc[0]).dtype == np.float32:
         Q = Q.astype(np.float32)   # exact for float inputs; halves what is broadcast
     counts = np.bincount(codes, minlength=len(uniques)).astype(np.int64)
-    payload = {
+    return {
         "colls": list(uniques), "qids": qpdf["qid"].to_numpy()[order], "Q": Q,
         "code": codes[order].astype(np.int64), "counts": counts,
         "starts": (np.cumsum(counts) - counts).astype(np.int64),
     }
-    bc = corpus.sparkSession.sparkContext.broadcast(payload)
 
-    def kernel(batches):
-        p = bc.value
-        Qa, qids, counts_, starts = p["Q"].astype(np.float64), p["qids"], p["counts"], p["starts"]
-        code_of = {c: i for i, c in enumerate(p["colls"])}
-        qnorm = np.sqrt(np.einsum("ij,ij->i", Qa, Qa)) if len(Qa) else np.zeros(0)
-        acc = None
-        for pdf in batches:
-            cc = pdf["collection"].map(code_of)
-            sub = pdf[cc.notna().to_numpy() & pdf["vec"].notna().to_numpy()]
-            if len(sub) == 0:
-                continue
-            rcode = sub["collection"].map(code_of).to_numpy().astype(np.int64)
-            C = _matrix(sub["vec"])
-            cids, t1, t2 = sub["cid"].to_numpy(), sub["tie1"].to_numpy(), sub["tie2"].to_numpy()
-            cnorm = np.sqrt(np.einsum("ij,ij->i", C, C))
-            nq = counts_[rcode]
-            parts = []
-            # pair path: rows of collections with few queries, all collections at once
-            rows = np.flatnonzero(nq <= PAIR_MAX_Q)
-            if len(rows):
-                reps = nq[rows]
-                bounds = np.searchsorted(np.cumsum(reps), np.arange(PAIR_BUDGET, reps.sum() + PAIR_BUDGET,
-                                                                    PAIR_BUDGET), side="right")
-                lo = 0
-                for hi in np.unique(np.append(bounds, len(rows))):
-                    if hi <= lo:
-                        continue
-                    rr, rp = rows[lo:hi], reps[lo:hi]
-                    lo = hi
-                    ci = np.repeat(rr, rp)
-                    qi = np.repeat(starts[rcode[rr]], rp) + (np.arange(rp.sum()) - np.repeat(np.cumsum(rp) - rp, rp))
-                    D = _pair_dist(Qa[qi], C[ci], cfg.metric, qnorm[qi], cnorm[ci])
-                    ok = np.isfinite(D)
-                    if cfg.exclude_self:
-                        ok &= qids[qi] != cids[ci]
-                    qi, ci, D = qi[ok], ci[ok], D[ok]
-                    key = _round9(D)
-                    keep = _topk_index(qi, cids[ci], t1[ci], t2[ci], key, cfg.k)
-                    qi, ci = qi[keep], ci[keep]
-                    parts.append((qi, cids[ci], t1[ci], t2[ci], D[keep], key[keep]))
-            # matrix path: one blocked product per large collection
-            for code in np.unique(rcode[nq > PAIR_MAX_Q]):
-                rr = np.flatnonzero(rcode == code)
-                s0, n0 = starts[code], counts_[code]
-                cand = _block_candidates(np.arange(s0, s0 + n0), Qa[s0:s0 + n0], cids[rr], t1[rr], t2[rr], C[rr],
-                                         cfg, self_ids=qids[s0:s0 + n0])
-                if cand is not None:
-                    parts.append(cand)
-            if not parts:
-                continue
-            if acc is not None:
-                parts.append(acc)
-            cand = tuple(np.concatenate([x[i] for x in parts]) for i in range(6))
-            keep = _topk_index(cand[0].astype(np.int64), cand[1], cand[2], cand[3], cand[5], cfg.k)
-            acc = tuple(a[keep] for a in cand)
+
+def _scan(p: dict, cfg: KnnConfig, batches) -> pd.DataFrame | None:
+    """Top k of each query of ``p`` over corpus batches of any collections.
+
+    Collections with few queries are handled together as (query, row) index pairs with one
+    vectorised row-wise dot product (no per-collection Python loop: per-document collections
+    are many and tiny); collections with many queries get a blocked matrix product. Of the
+    running best only the queries a batch touches are merged anew.
+    """
+    Qa, qids, counts_, starts = p["Q"].astype(np.float64), p["qids"], p["counts"], p["starts"]
+    code_of = {c: i for i, c in enumerate(p["colls"])}
+    qnorm = np.sqrt(np.einsum("ij,ij->i", Qa, Qa)) if len(Qa) else np.zeros(0)
+    acc = None
+    for pdf in batches:
+        cc = pdf["collection"].map(code_of)
+        sub = pdf[cc.notna().to_numpy() & pdf["vec"].notna().to_numpy()]
+        if len(sub) == 0:
+            continue
+        rcode = sub["collection"].map(code_of).to_numpy().astype(np.int64)
+        C = _matrix(sub["vec"])
+        cids, t1, t2 = sub["cid"].to_numpy(), sub["tie1"].to_numpy(), sub["tie2"].to_numpy()
+        cnorm = np.sqrt(np.einsum("ij,ij->i", C, C))
+        nq = counts_[rcode]
+        parts = []
+        # pair path: rows of collections with few queries, all collections at once
+        rows = np.flatnonzero(nq <= PAIR_MAX_Q)
+        if len(rows):
+            reps = nq[rows]
+            bounds = np.searchsorted(np.cumsum(reps), np.arange(PAIR_BUDGET, reps.sum() + PAIR_BUDGET,
+                                                                PAIR_BUDGET), side="right")
+            lo = 0
+            for hi in np.unique(np.append(bounds, len(rows))):
+                if hi <= lo:
+                    continue
+                rr, rp = rows[lo:hi], reps[lo:hi]
+                lo = hi
+                ci = np.repeat(rr, rp)
+                qi = np.repeat(starts[rcode[rr]], rp) + (np.arange(rp.sum()) - np.repeat(np.cumsum(rp) - rp, rp))
+                D = _pair_dist(Qa[qi], C[ci], cfg.metric, qnorm[qi], cnorm[ci])
+                ok = np.isfinite(D)
+                if cfg.exclude_self:
+                    ok &= qids[qi] != cids[ci]
+                qi, ci, D = qi[ok], ci[ok], D[ok]
+                key = _round9(D)
+                keep = _topk_index(qi, cids[ci], t1[ci], t2[ci], key, cfg.k)
+                qi, ci = qi[keep], ci[keep]
+                parts.append((qi, cids[ci], t1[ci], t2[ci], D[keep], key[keep]))
+        # matrix path: one blocked product per large collection
+        for code in np.unique(rcode[nq > PAIR_MAX_Q]):
+            rr = np.flatnonzero(rcode == code)
+            s0, n0 = starts[code], counts_[code]
+            cand = _block_candidates(np.arange(s0, s0 + n0), Qa[s0:s0 + n0], cids[rr], t1[rr], t2[rr], C[rr],
+                                     cfg, self_ids=qids[s0:s0 + n0])
+            if cand is not None:
+                parts.append(cand)
+        if not parts:
+            continue
+        rest = None
         if acc is not None:
-            qi = acc[0].astype(np.int64)
-            colls = np.asarray(p["colls"], dtype=object)[p["code"][qi]]
-            yield _frame((qids[qi],) + acc[1:], colls)
+            touched = np.isin(acc[0], np.unique(np.concatenate([x[0] for x in parts])))
+            parts.append(tuple(a[touched] for a in acc))
+            rest = tuple(a[~touched] for a in acc)
+        cand = tuple(np.concatenate([x[i] for x in parts]) for i in range(6))
+        keep = _topk_index(cand[0].astype(np.int64), cand[1], cand[2], cand[3], cand[5], cfg.k)
+        acc = tuple(a[keep] for a in cand)
+        if rest is not None:
+            acc = tuple(np.concatenate(x) for x in zip(acc, rest))
+    if acc is None:
+        return None
+    qi = acc[0].astype(np.int64)
+    return _frame((qids[qi],) + acc[1:], np.asarray(p["colls"], dtype=object)[p["code"][qi]])
+
+
+def _broadcast_candidates(corpus: DataFrame, qpdf: pd.DataFrame, cfg: KnnConfig, qtype, ctype) -> DataFrame:
+    """Queries (checked size) are broadcast once; the corpus streams in its own partitioning."""
+    bc = corpus.sparkSession.sparkContext.broadcast(_payload(qpdf))
+
+    def kernel(batches):
+        out = _scan(bc.value, cfg, batches)
+        if out is not None:
+            yield out
 
     return corpus.select("collection", "cid", "tie1", "tie2", "vec").mapInPandas(
         kernel, _candidate_schema(qtype, ctype))
 
 
 def _block_path_candidates(queries: DataFrame, corpus: DataFrame, cfg: KnnConfig, qtype, ctype) -> DataFrame:
+    """Groups of bounded size: a large collection is cut into blocks, collections of one block
+    each share a pack (so millions of tiny collections are not a Python call each)."""
     qn = queries.groupBy("collection").agg(F.count(F.lit(1)).alias("nq"))
     cn = corpus.groupBy("collection").agg(F.count(F.lit(1)).alias("nc"))
     nb = (qn.join(cn, "collection")
-          .select("collection",
+          .select("collection", "nc",
                   F.ceil(F.col("nq") / cfg.query_block).cast("int").alias("nqb"),
                   F.ceil(F.col("nc") / cfg.corpus_block).cast("int").alias("ncb")))
+    single = (F.col("nqb") == 1) & (F.col("ncb") == 1)
+    packed = nb.agg(F.sum(F.when(single, F.col("nc")))).first()[0] or 0
+    packs = max(1, -(-packed // cfg.corpus_block))
+    nb = nb.select("collection", "nqb", "ncb", F.when(single, F.concat(F.lit("p"), F.pmod(F.xxhash64("collection"), F.lit(packs)).cast("string")))
+                   .otherwise(F.concat(F.lit("c"), "collection")).alias("pack"))
     q = (queries.join(nb, "collection")
          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nqb")).cast("int"))
          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("ncb") - 1)))
-         .select("collection", "qb", "cb", "qid", "vec"))
+         .select(F.col("pack").alias("q_pack"), "collection", "qb", "cb", "qid", "vec"))
     c = (corpus.join(nb, "collection")
          .withColumn("cb", F.pmod(F.xxhash64("cid"), F.col("ncb")).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)))
-         .select("collection", "qb", "cb", "cid", "tie1", "tie2", "vec"))
+         .select(F.col("pack").alias("c_pack"), "collection", "qb", "cb", "cid", "tie1", "tie2", "vec"))
 
     def pair_kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        qpdf, cpdf = _valid(qpdf), _valid(cpdf)
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return _frame(tuple(np.array([]) for _ in range(6)), [])
-        cand = _block_candidates(qpdf["qid"].to_numpy(), _matrix(qpdf["vec"]), cpdf["cid"].to_numpy(),
-                                 cpdf["tie1"].to_numpy(), cpdf["tie2"].to_numpy(), _matrix(cpdf["vec"]), cfg)
-        if cand is None:
-            return _frame(tuple(np.array([]) for _ in range(6)), [])
-        return _frame(cand, qpdf["collection"].iloc[0])
+        out = _scan(_payload(qpdf), cfg, [cpdf]) if len(qpdf) and len(cpdf) else None
+        return out if out is not None else _frame(tuple(np.array([]) for _ in range(6)), [])
 
-    keys = ["collection", "qb", "cb"]
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(pair_kernel, _candidate_schema(qtype, ctype))
+    return q.groupBy("q_pack", "qb", "cb").cogroup(c.groupBy("c_pack", "qb", "cb")).applyInPandas(pair_kernel, _candidate_schema(qtype, ctype))
 
 
 def knn(queries: DataFrame, corpus: DataFrame, cfg: KnnConfig = KnnConfig()) -> DataFrame:
@@ -284,15 +299,17 @@ def knn(queries: DataFrame, corpus: DataFrame, cfg: KnnConfig = KnnConfig()) ->
         dim = head[0] if head else 1024
         max_rows = max(1, cfg.max_broadcast_bytes // (width * dim + 64))
         qpdf = queries.select("collection", "qid", "vec").limit(max_rows + 1).toPandas()
-        if len(qpdf) > max_rows and path != "broadcast":
+        if len(qpdf) > max_rows:
+            if path == "broadcast":
+                raise ValueError(f"more than {max_rows} queries: over max_broadcast_bytes, use the block path")
             path, qpdf = "block", None
         else:
             path = "broadcast"
     if path == "broadcast":
-        cand = _broadcast_candidates(queries, corpus, qpdf, cfg, qtype, ctype)
+        cand = _broadcast_candidates(corpus, qpdf, cfg, qtype, ctype)
     else:
         cand = _block_path_candidates(queries, corpus, cfg, qtype, ctype)
-    w = Window.partitionBy("qid").orderBy("dkey", "tie1", "tie2", "cid")
+    w = Window.partitionBy("collection", "qid").orderBy("dkey", "tie1", "tie2", "cid")
     top = (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.k))
     return top.select("collection", "qid", F.col("rank").cast("int").alias("rank"), "cid", "tie1", "tie2", "distance",
                       confidence_expr(F.col("distance")).alias("confidence"))

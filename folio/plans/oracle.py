@@ -172,7 +172,9 @@ doc_counts AS (
   FROM documents WHERE text IS NOT NULL)"""
 
 PAGE_REQUESTS = """
-requests AS (SELECT 'doc_' || doc_id AS collection, CAST(doc_id % 7 AS INTEGER) AS page_number FROM documents),
+requests AS (
+  SELECT 'doc_' || doc_id AS collection, CAST(doc_id % 7 AS INTEGER) AS page_number FROM documents
+  UNION ALL SELECT 'doc_' || doc_id, CAST(doc_id % 7 AS INTEGER) FROM documents WHERE doc_id % 3 = 0),
 checked AS (
   SELECT r.collection, r.page_number, c.n_pages,
          CASE WHEN c.n_pages IS NULL THEN 'unknown collection'
@@ -192,9 +194,15 @@ SELECT collection, page_number, text FROM doc_pages WHERE {not_blank('text')}"""
 
 ORACLE["new_files"] = f"""
 WITH {FILES},
-registry AS (SELECT DISTINCT collection FROM files WHERE page_id IN (SELECT doc_id FROM labels)),
-fresh AS (SELECT * FROM files f WHERE NOT EXISTS (SELECT 1 FROM registry r WHERE r.collection = f.collection))
-SELECT collection, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM fresh GROUP BY collection"""
+known AS (SELECT url FROM pages WHERE page_id IN (SELECT doc_id FROM labels))
+SELECT url, page_id, collection FROM files WHERE url NOT IN (SELECT url FROM known WHERE url IS NOT NULL)
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1"""
+
+ORACLE["name_collisions"] = f"""
+WITH named AS (SELECT url, {coll_name("regexp_replace(regexp_replace(url, '[?#].*$', ''), '[0-9]+', '', 'g')")} AS collection FROM pages)
+SELECT collection, count(DISTINCT url) AS n_files, min(url) AS first_file FROM named GROUP BY collection HAVING count(DISTINCT url) > 1"""
+
+ORACLE["rejected_documents"] = "SELECT doc_id, 'no text' AS reason FROM documents WHERE text IS NULL OR doc_id % 2 = 0"
 
 ORACLE["new_chunks"] = "WITH " + DOC_CHUNKS + "," + STORED_BEFORE + """
 SELECT collection, chunk_id, page_number, document FROM doc_chunks o
@@ -225,7 +233,7 @@ SELECT r.collection, h.n IS NOT NULL AS "exists", CAST(coalesce(h.n, 0) AS BIGIN
 FROM requests r LEFT JOIN have h USING (collection)"""
 
 ORACLE["scan_collection"] = "WITH " + DOC_CHUNKS + """
-SELECT collection, chunk_id, page_number, document FROM doc_chunks"""
+SELECT collection, chunk_id, page_number, document FROM doc_chunks WHERE doc_id IN (SELECT doc_id FROM labels)"""
 
 ORACLE["collection_text"] = "WITH " + DOC_CHUNKS + """
 SELECT collection, CAST(count(*) AS INTEGER) AS n_pages, string_agg(document, ' ' ORDER BY page_number) AS text
@@ -262,14 +270,14 @@ FROM checked c LEFT JOIN doc_pages p ON p.collection = c.collection AND p.page_n
 ORACLE["page_interval"] = "WITH " + pages_cte() + "," + DOC_COUNTS + "," + PAGE_REQUESTS + """,
 joined AS (
   SELECT c.collection, c.page_number, c.reason, p.page_number AS p_page, p.text AS p_text
-  FROM checked c LEFT JOIN doc_pages p
+  FROM (SELECT DISTINCT * FROM checked) c LEFT JOIN doc_pages p
     ON p.collection = c.collection AND c.reason IS NULL
    AND p.page_number BETWEEN greatest(1, c.page_number - 1) AND least(c.n_pages, c.page_number + 1)),
 agg AS (SELECT collection, page_number, reason, string_agg(p_text, '' ORDER BY p_page) AS text
         FROM joined GROUP BY collection, page_number, reason)
 SELECT collection, page_number, CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, reason,
        CASE WHEN reason IS NULL THEN coalesce(text, '') END AS text
-FROM agg"""
+FROM agg JOIN requests USING (collection, page_number)"""
 
 ORACLE["page_window"] = "WITH " + pages_cte() + """
 SELECT a.collection, a.page_number, string_agg(b.text, '' ORDER BY b.page_number) AS window_text
@@ -332,6 +340,7 @@ q_rows AS (
          'MCQ' AS type,
          array_to_string(list_transform(string_split(sentence, ' '),
                          lambda w: CASE WHEN {core('w')} = topic THEN '____' ELSE w END), ' ') AS question,
+         CAST(list_position(topics, topic) AS INTEGER) AS topic_rank,
          options[1] AS option_a, options[2] AS option_b, options[3] AS option_c, options[4] AS option_d,
          substr('ABCD', CAST(list_position(options, topic) AS INTEGER), 1) AS correct_answer,
          CAST(page_number AS INTEGER) AS page_number,
@@ -391,14 +400,18 @@ ORACLE["generate_level_2"] = "WITH " + LEVEL_2 + """
 SELECT collection, topic, question_pos, id, type, question, option_a, option_b, option_c, option_d,
        correct_answer, page_number, explanation, source_confidence FROM q_rows"""
 
+ORACLE["question_sources"] = "WITH " + LEVEL_2 + """
+SELECT q.collection, q.topic, q.question_pos, b.document, CAST(b.page_number AS VARCHAR) AS page_number, b.source_confidence AS confidence
+FROM q_rows q JOIN best b USING (collection, topic)"""
+
 ORACLE["quiz_metadata_l1"] = "WITH " + LEVEL_1 + """,
-lists AS (SELECT DISTINCT collection, book_title FROM topics),
+lists AS (SELECT collection, book_title FROM titles),
 cnt AS (SELECT collection, count(*) AS n FROM q_rows GROUP BY collection)
 SELECT l.collection, CAST(coalesce(c.n, 0) AS INTEGER) AS total_questions, l.book_title, 'extractive' AS tool_used
 FROM lists l LEFT JOIN cnt c USING (collection)"""
 
 ORACLE["quiz_metadata_l2"] = "WITH " + LEVEL_2 + """,
-lists AS (SELECT DISTINCT collection, book_title FROM topics),
+lists AS (SELECT collection, book_title FROM titles),
 cnt AS (SELECT collection, count(*) AS n FROM q_rows GROUP BY collection)
 SELECT l.collection, CAST(coalesce(c.n, 0) AS INTEGER) AS total_questions, l.book_title, 'extractive' AS tool_used,
        'retrieval' AS generation_method, 'hashed-bow-64' AS embedding_model, 'parquet' AS vectore_store
@@ -410,7 +423,9 @@ SELECT collection, count(*) AS n_questions,
 FROM q_rows GROUP BY collection"""
 
 ORACLE["quiz_quarantine"] = "WITH " + TOPICS + """
-SELECT collection, 'fewer than 4 topics' AS reason FROM topic_arrays WHERE len(topics) < 4"""
+SELECT c.collection, CASE WHEN a.collection IS NULL THEN 'no topics' ELSE 'fewer than 4 topics' END AS reason
+FROM (SELECT DISTINCT collection FROM doc_chunks) c LEFT JOIN topic_arrays a USING (collection)
+WHERE a.collection IS NULL OR len(a.topics) < 4"""
 
 
 # ---------------------------------------------------------------- prompts, JSON parsing
@@ -442,8 +457,23 @@ p AS (SELECT q.conv_id, q.turn,
 SELECT conv_id, turn, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_length FROM p"""
 
 ORACLE["parse_questions"] = "WITH " + LEVEL_1 + """
-SELECT collection, topic, id, type, question, option_a, option_b, option_c, option_d,
-       correct_answer, page_number, explanation FROM q_rows"""
+SELECT collection, topic,
+       sha256(concat_ws('|', collection, CAST(row_number() OVER (PARTITION BY collection ORDER BY topic_rank, question_pos) - 1 AS VARCHAR), question)) AS id,
+       type, question, option_a, option_b, option_c, option_d, correct_answer, page_number, explanation FROM q_rows"""
+
+ORACLE["parse_quarantine"] = "WITH " + LEVEL_1 + """
+SELECT collection, topic, question_pos, CASE CAST(regexp_extract(collection, '(\\d+)$', 1) AS INTEGER) % 8
+  WHEN 0 THEN 'accepted' WHEN 1 THEN 'options is not a list of strings' WHEN 2 THEN 'options is not a list of strings'
+  WHEN 3 THEN 'question is not a string' WHEN 4 THEN 'question is not a string' WHEN 5 THEN 'page_number is not an integer'
+  WHEN 6 THEN 'unexpected field: extra' ELSE 'invalid JSON' END AS reason
+FROM q_rows"""
+
+ORACLE["batch_generate"] = "WITH " + chat_retrieve_cte(3) + CHAT_CTX + """
+SELECT q.conv_id || ':' || q.turn AS prompt_id,
+       '{"question": ' || CAST(to_json(string_split(q.question, chr(10))[1]) AS VARCHAR)
+         || ', "answer": ' || CAST(to_json(coalesce(string_split(c.context, chr(10))[1], '')) AS VARCHAR) || '}' AS response,
+       CAST(NULL AS VARCHAR) AS error
+FROM questions q LEFT JOIN chat_ctx c USING (conv_id, turn)"""
 
 ORACLE["parse_topics"] = "WITH " + TOPICS + """
 SELECT collection, book_title, total_topics, topic_rank, topic FROM topics"""
@@ -509,6 +539,21 @@ ORACLE["chat_answer"] = "WITH " + CHAT_ANSWERS + " SELECT conv_id, turn, answer,
 
 ORACLE["parse_chat"] = "WITH " + CHAT_ANSWERS + " SELECT conv_id, turn, question, answer FROM answers"
 
+ORACLE["export_chat_log"] = "WITH " + CHAT_ANSWERS + """
+SELECT a.conv_id, a.turn, a.question AS input, a.answer AS output,
+       CASE WHEN a.n_segments = 0 THEN '' ELSE p.pages END AS segment_pages, true AS stamped
+FROM answers a LEFT JOIN (SELECT conv_id, turn, string_agg(CAST(page_number AS VARCHAR), ',' ORDER BY rank) AS pages
+                          FROM retrieved GROUP BY conv_id, turn) p USING (conv_id, turn)"""
+
+ORACLE["stream_chat_log"] = "WITH " + CHAT_ANSWERS + """
+SELECT conv_id || ':' || turn AS qid, question AS input, answer AS output, n_segments FROM answers"""
+
+ORACLE["chat_generator"] = "WITH " + CHAT_ANSWERS + CHAT_CTX + """
+SELECT a.conv_id || ':' || a.turn AS my_id,
+       CASE WHEN r.reply IS NOT NULL THEN r.reply ELSE coalesce(string_split(c.context, chr(10))[1], '') END AS answer,
+       CAST(NULL AS VARCHAR) AS error, a.n_segments
+FROM answers a LEFT JOIN chat_ctx c USING (conv_id, turn) LEFT JOIN greetings r ON r.reply = a.answer"""
+
 ORACLE["chat_log"] = "WITH " + CHAT_ANSWERS + """
 SELECT conv_id, turn, question AS input, answer AS output, n_segments FROM answers"""
 
@@ -559,8 +604,18 @@ SELECT * FROM mcq_rows UNION ALL SELECT * FROM open_rows"""
 
 # ---------------------------------------------------------------- JSON round trips, raw retrieval shape, distances
 
+ORACLE["export_questions"] = "WITH " + LEVEL_1 + """
+SELECT collection, CAST(row_number() OVER (PARTITION BY collection ORDER BY topic_rank, question_pos) - 1 AS INTEGER) AS pos,
+       id, topic, question, correct_answer, page_number FROM q_rows"""
+
+ORACLE["export_questions_l2"] = "WITH " + LEVEL_2 + """,
+cnt AS (SELECT collection, count(*) AS n FROM q_rows GROUP BY collection)
+SELECT l.collection, CAST(coalesce(c.n, 0) AS INTEGER) AS total_questions, 'retrieval' AS generation_method,
+       'hashed-bow-64' AS embedding_model, 'parquet' AS vectore_store, q.id, CAST(q.page_number AS VARCHAR) AS source_page
+FROM titles l LEFT JOIN cnt c USING (collection) LEFT JOIN q_rows q USING (collection)"""
+
 ORACLE["read_results"] = "WITH " + LEVEL_1 + """,
-lists AS (SELECT DISTINCT collection, book_title FROM topics),
+lists AS (SELECT collection, book_title FROM titles),
 cnt AS (SELECT collection, count(*) AS n FROM q_rows GROUP BY collection)
 SELECT l.collection, CAST(coalesce(c.n, 0) AS INTEGER) AS total_questions, l.book_title, 'extractive' AS tool_used
 FROM lists l LEFT JOIN cnt c USING (collection)"""
@@ -590,7 +645,12 @@ ORACLE["stream_ingest"] = "WITH " + DOC_CHUNKS + " SELECT collection, chunk_id,
 ORACLE["stream_chat"] = "WITH " + chat_retrieve_cte(3) + f"""
 SELECT conv_id, turn, CAST(rank AS INTEGER) AS rank, chunk_id, {confidence('distance')} AS confidence FROM retrieved"""
 
-ORACLE["reset"] = "SELECT CAST(NULL AS VARCHAR) AS collection, CAST(NULL AS VARCHAR) AS chunk_id WHERE false"
+ORACLE["reset"] = "WITH " + DOC_CHUNKS + " SELECT count(*) AS chunks_before, CAST(0 AS BIGINT) AS chunks_after FROM doc_chunks"
+
+ORACLE["retrieve_topk_blocks"] = ORACLE["retrieve_topk"]
+
+# label groups here are smaller than a bucket, so the search is exact
+ORACLE["retrieve_lsh"] = f"SELECT query_id, rank, neighbor_id, confidence, CAST(1.0 AS DOUBLE) AS recall FROM ({ORACLE['retrieve_topk']})"
 
 ORACLE["chat"] = ORACLE["chat_answer"]
 

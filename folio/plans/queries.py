@@ -110,7 +110,22 @@ def _registry_ids(spark, sf):
 def q_new_files(spark, sf):
     files = _files(spark, sf)
     registry = files.join(_registry_ids(spark, sf).withColumnRenamed("doc_id", "page_id"), "page_id", "left_semi")
-    return ingest.new_files(files, registry.select("collection"))
+    return ingest.new_files(files, registry)
+
+
+@query("name_collisions")
+def q_name_collisions(spark, sf):
+    """Names that map to one collection; the scheme is cut off, so that some do."""
+    files = read_table(spark, sf, "pages", "page_id", "url")
+    name = F.regexp_replace("url", r"[?#].*$", "")
+    return ingest.name_collisions(files.select("url", collection_name_expr(F.regexp_replace(name, r"[0-9]+", "")).alias("collection")))
+
+
+@query("rejected_documents")
+def q_rejected_documents(spark, sf):
+    """Documents without a text: those of even id lose theirs here."""
+    d = read_table(spark, sf, "documents", "doc_id", "text")
+    return pages.rejected_documents(d.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.col("text"))))
 
 
 def _stored_before(spark, sf):
@@ -137,9 +152,9 @@ def q_ingest_append(spark, sf):
     from folio.session import scratch_path
     import uuid
     path = scratch_path(spark, f"store-{uuid.uuid4().hex}")
-    offered = fx.doc_chunks(spark, sf).drop("doc_id")
-    first = chunks.ingest_append(spark, offered, path)
-    second = chunks.ingest_append(spark, offered, path)
+    offered = fx.doc_pages(spark, sf)
+    first = chunks.ingest_pages(spark, offered, path)
+    second = chunks.ingest_pages(spark, offered, path)
     if second["added"] != 0:
         raise AssertionError(f"re-ingest added {second['added']} rows")
     return chunks.read_store(spark, path).select("collection", "chunk_id", "page_number").withColumn(
@@ -151,9 +166,14 @@ def q_reset(spark, sf):
     from folio.session import scratch_path
     import uuid
     path = scratch_path(spark, f"store-{uuid.uuid4().hex}")
-    chunks.ingest_append(spark, fx.doc_chunks(spark, sf).drop("doc_id"), path)
-    chunks.reset(spark, path)
-    return chunks.read_store(spark, path).select("collection", "chunk_id")
+    before = chunks.ingest_pages(spark, fx.doc_pages(spark, sf), path)["added"]
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")       # must not matter
+    try:
+        chunks.reset(spark, path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    return chunks.read_store(spark, path).agg(F.lit(before).cast("bigint").alias("chunks_before"), F.count(F.lit(1)).alias("chunks_after"))
 
 
 @query("resolve_collections")
@@ -166,7 +186,13 @@ def q_resolve_collections(spark, sf):
 
 @query("scan_collection")
 def q_scan_collection(spark, sf):
-    return fx.doc_chunks(spark, sf).select("collection", "chunk_id", "page_number", "document")
+    """The labelled documents' collections read from a store of all documents."""
+    from folio.session import scratch_path
+    import uuid
+    path = scratch_path(spark, f"store-{uuid.uuid4().hex}")
+    chunks.ingest_pages(spark, fx.doc_pages(spark, sf), path)
+    wanted = _registry_ids(spark, sf).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("collection"))
+    return chunks.scan_collections(spark, path, wanted).select("collection", "chunk_id", "page_number", "document")
 
 
 @query("collection_text")
@@ -197,8 +223,9 @@ def q_page_counts(spark, sf):
 
 
 def _page_requests(spark, sf):
-    """One lookup per document: page ``doc_id mod 7`` (0 and past-the-end are rejected)."""
+    """One lookup per document: page ``doc_id mod 7`` (0 and past-the-end are rejected), every third one twice."""
     d = read_table(spark, sf, "documents", "doc_id")
+    d = d.union(d.where("doc_id % 3 = 0"))
     return d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("collection"),
                     F.pmod(F.col("doc_id"), F.lit(7)).cast("int").alias("page_number"))
 
@@ -223,7 +250,23 @@ def q_page_window(spark, sf):
 @query("scan_files")
 def q_scan_files(spark, sf):
     from folio.sources.files import scan_files
-    return scan_files(spark, sf, "*.parquet").select("name", "length", "status")
+    return scan_files(spark, sf, "*.parquet").select("name", "length", "status", F.md5("content").alias("content_md5"))
+
+
+@query("ingest_files")
+def q_ingest_files(spark, sf):
+    """Files end to end (``url`` as name, ``html`` as content): extension, new names, extraction,
+    collections, chunks, store; the second run finds every name known."""
+    from folio import api
+    from folio.session import scratch_path
+    import uuid
+    base = scratch_path(spark, f"files-{uuid.uuid4().hex}")
+    files = read_table(spark, sf, "pages", "url", "html").select(F.col("url").alias("name"), F.col("html").alias("content"))
+    api.ingest_files(spark, files, f"{base}/store", f"{base}/registry")
+    again, _ = api.ingest_files(spark, files, f"{base}/store", f"{base}/registry")
+    if again["added"]:
+        raise AssertionError(f"the second run added {again['added']} pages")
+    return chunks.read_store(spark, f"{base}/store").select("collection", "chunk_id", "page_number")
 
 
 @query("extract_pages")
@@ -257,6 +300,10 @@ def _level_1(spark, sf):
     return qn.generate_level_1(fx.doc_chunks(spark, sf), _topics(spark, sf))
 
 
+def _titles(spark, sf):
+    return tp.titles(fx.doc_chunks(spark, sf))
+
+
 @query("generate_level_1")
 def q_generate_level_1(spark, sf):
     return qn.flat_questions(_level_1(spark, sf)[0])
@@ -274,7 +321,7 @@ def _topic_pages(spark, sf, topics: DataFrame) -> DataFrame:
 def _level_2(spark, sf):
     from folio.session import materialize
     t = materialize(_topics(spark, sf), "topics")   # read three times below: computed once
-    return qn.generate_level_2(_topic_pages(spark, sf, t), t)
+    return qn.generate_level_2(_topic_pages(spark, sf, t), t, fx.doc_chunks(spark, sf))
 
 
 @query("generate_level_2")
@@ -282,14 +329,22 @@ def q_generate_level_2(spark, sf):
     return qn.flat_questions(_level_2(spark, sf)[0], extra=("source_confidence",))
 
 
+@query("question_sources")
+def q_question_sources(spark, sf):
+    """The ``source`` array of every level 2 question."""
+    q = _level_2(spark, sf)[0].select("collection", "topic", "question_pos", F.explode("source").alias("s"))
+    return q.select("collection", "topic", F.col("question_pos").cast("int").alias("question_pos"), "s.document",
+                    F.col("s.metadata.page_number").alias("page_number"), "s.confidence")
+
+
 @query("quiz_metadata_l1")
 def q_quiz_metadata_l1(spark, sf):
-    return qn.quiz_metadata(_level_1(spark, sf)[0], tp.topic_lists(_topics(spark, sf)))
+    return qn.quiz_metadata(_level_1(spark, sf)[0], _titles(spark, sf))
 
 
 @query("quiz_metadata_l2")
 def q_quiz_metadata_l2(spark, sf):
-    return qn.quiz_metadata(_level_2(spark, sf)[0], tp.topic_lists(_topics(spark, sf)), rag=True)
+    return qn.quiz_metadata(_level_2(spark, sf)[0], _titles(spark, sf), rag=True)
 
 
 @query("question_quality")
@@ -368,7 +423,7 @@ def _questions_json(spark, sf):
     q = _level_1(spark, sf)[0]
     item = F.struct(*[F.col(c) for c in qn.QUESTION_FIELDS])
     return q.groupBy("collection").agg(
-        F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("topic", "question_pos", item.alias("q")))),
+        F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("topic_rank", "question_pos", item.alias("q")))),
                                        lambda x: x["q"]).alias("questions"))).alias("json"))
 
 
@@ -378,13 +433,30 @@ def q_parse_questions(spark, sf):
     return qn.flat_questions(good.withColumn("question_pos", F.lit(0))).drop("question_pos")
 
 
+@query("parse_quarantine")
+def q_parse_quarantine(spark, sf):
+    """Level 1 questions, each spoilt in one way by its document's number, and what the parser says."""
+    q = _level_1(spark, sf)[0].withColumn("n", F.pmod(F.regexp_extract("collection", r"(\d+)$", 1).cast("int"), F.lit(8)))
+    text = F.to_json(F.struct("question"))
+    quoted = F.substring(text, F.lit(13), F.char_length(text) - 13)      # the question as a JSON string
+    def item(question='QUESTION', options='["a","b","c","d"]', page="1", more=""):
+        return F.concat(F.lit('{"topic":"t","type":"MCQ","question":'), quoted if question == "QUESTION" else F.lit(question),
+                        F.lit(f',"options":{options},"correct_answer":"A","page_number":{page},"explanation":"e"{more}}}'))
+    cases = [item(), item(options='"abc"'), item(options="null"), item(question="null"), item(question="5"), item(page='"x"'), item(more=',"extra":1'), F.lit("{")]
+    spoilt = F.coalesce(*[F.when(F.col("n") == k, c) for k, c in enumerate(cases)])
+    raw = q.select("collection", F.col("topic").alias("asked"), F.col("question_pos").cast("int").alias("question_pos"),
+                   F.concat(F.lit('{"questions":['), spoilt, F.lit("]}")).alias("json"))
+    good, bad = gen.parse_questions(raw, keys=("collection", "asked", "question_pos"))
+    checked = bad.select("collection", "asked", "question_pos", "reason").unionByName(
+        good.select("collection", "asked", "question_pos", F.lit("accepted").alias("reason")))
+    return checked.withColumnRenamed("asked", "topic")
+
+
 @query("parse_topics")
 def q_parse_topics(spark, sf):
     lists = tp.topic_lists(_topics(spark, sf))
-    js = lists.select("collection", F.to_json(F.struct("book_title", "total_topics",
-                                                        F.lit("").alias("extraction_timestamp"),
-                                                        "main_topics")).alias("json"))
-    p = gen.parse_topics(js, keys=("collection",))
+    from folio.sinks import topic_list_json
+    p, _ = gen.parse_topics(topic_list_json(lists), keys=("collection",))
     return p.select("collection", "book_title", "total_topics",
                     F.posexplode("main_topics").alias("pos", "topic")).select(
         "collection", "book_title", "total_topics", (F.col("pos") + 1).cast("int").alias("topic_rank"), "topic")
@@ -432,7 +504,7 @@ def q_parse_chat(spark, sf):
     a = _chat_answers(spark, sf)
     js = a.select("conv_id", "turn", F.to_json(F.struct(F.lit("").alias("generated_at"), "question",
                                                         F.col("final_answer").alias("answer"))).alias("json"))
-    return gen.parse_chat(js, keys=("conv_id", "turn"))
+    return gen.parse_chat(js, keys=("conv_id", "turn"))[0]
 
 
 @query("answer_tokens")
@@ -451,20 +523,8 @@ def _chat_log_table(spark, sf):
     # de-duplicated by exchange reuse, so it is materialised once)
     r = materialize(_chat_retrieved(spark, sf), "retrieved")
     a = _chat_answers(spark, sf, r)
-    segs = r.groupBy("conv_id", "turn").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "document", F.struct(F.col("page_number").cast("string")
-                                                                          .alias("page_number")).alias("metadata"),
-                                              "confidence"))),
-        lambda x: F.struct(x["document"].alias("document"), x["metadata"].alias("metadata"),
-                           x["confidence"].alias("confidence"))).alias("segments"))
-    log = (a.join(segs, ["conv_id", "turn"], "left")
-           .select("conv_id", "turn", F.col("question").alias("input"), F.col("final_answer").alias("output"),
-                   F.when(F.col("is_greeting"), F.array()).otherwise(F.coalesce("segments", F.array()))
-                   .cast("array<struct<document:string,metadata:struct<page_number:string>,confidence:double>>")
-                   .alias("segments"),
-                   F.current_timestamp().alias("timestamp")))
     path = scratch_path(spark, f"chat-log-{uuid.uuid4().hex}")
-    log.write.mode("append").parquet(path)
+    chat.append_chat_log(chat.chat_log_rows(a, r, ("conv_id", "turn")), path)
     return spark.read.parquet(path)
 
 
@@ -476,10 +536,11 @@ def q_chat_log(spark, sf):
 
 @query("export_chat_log")
 def q_export_chat_log(spark, sf):
-    t = _chat_log_table(spark, sf)
-    return t.select("conv_id", "turn", F.to_json(F.struct(
-        "input", "output", "segments", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
-    )).alias("json"))
+    """The exported log read back, without its time field."""
+    out = chat.export_chat_log(_chat_log_table(spark, sf), ("conv_id", "turn"))
+    back = out.select("conv_id", "turn", F.from_json("json", f"struct<input:string,output:string,segments:{chat.SEGMENTS},timestamp:string>").alias("j"))
+    pages_ = F.array_join(F.transform("j.segments", lambda x: x["metadata"]["page_number"]), ",")
+    return back.select("conv_id", "turn", "j.input", "j.output", pages_.alias("segment_pages"), (F.length("j.timestamp") >= 19).alias("stamped"))
 
 
 # ---------------------------------------------------------------- instruction data
@@ -524,15 +585,33 @@ def q_merge_instruct(spark, sf):
 
 @query("export_questions")
 def q_export_questions(spark, sf):
-    """``{metadata, questions}`` JSON per collection, written as text partitioned by collection."""
+    """``{metadata, questions}`` JSON per collection, written as text; read back as one row a question
+    in file order, without the time field."""
+    from folio.sinks import RESULT_SCHEMA, export_questions
+    from folio.session import materialize, scratch_path
+    import uuid
+    path = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    q = materialize(_level_1(spark, sf)[0], "questions")
+    export_questions(q, qn.quiz_metadata(q, _titles(spark, sf)), path)
+    r = spark.read.schema(RESULT_SCHEMA).json(path).select("collection", F.posexplode("questions").alias("pos", "q"))
+    return r.select("collection", "pos", "q.id", "q.topic", "q.question", "q.correct_answer", "q.page_number")
+
+
+@query("export_questions_l2")
+def q_export_questions_l2(spark, sf):
+    """The level 2 export: its extra metadata and each question's source."""
     from folio.sinks import export_questions
-    from folio.session import scratch_path
+    from folio.session import materialize, scratch_path
     import uuid
     path = scratch_path(spark, f"export-{uuid.uuid4().hex}")
-    q = _level_1(spark, sf)[0]
-    meta = qn.quiz_metadata(q, tp.topic_lists(_topics(spark, sf)))
-    export_questions(q, meta, path)
-    return spark.read.text(path).select(F.col("value").alias("json"))
+    q = materialize(_level_2(spark, sf)[0], "questions")
+    export_questions(q, qn.quiz_metadata(q, _titles(spark, sf), rag=True), path)
+    schema = ("collection string, metadata struct<total_questions:int,generation_method:string,embedding_model:string,vectore_store:string>, "
+              f"questions array<struct<id:string,source:{chat.SEGMENTS}>>")
+    r = spark.read.schema(schema).json(path)
+    return r.select("collection", "metadata.*", F.explode_outer("questions").alias("q")).select(
+        "collection", "total_questions", "generation_method", "embedding_model", "vectore_store", "q.id",
+        F.get("q.source", F.lit(0))["metadata"]["page_number"].alias("source_page"))
 
 
 @query("read_results")
@@ -543,8 +622,9 @@ def q_read_results(spark, sf):
     from folio.session import scratch_path
     import uuid
     path = scratch_path(spark, f"export-{uuid.uuid4().hex}")
-    q = _level_1(spark, sf)[0]
-    export_questions(q, qn.quiz_metadata(q, tp.topic_lists(_topics(spark, sf))), path)
+    from folio.session import materialize
+    q = materialize(_level_1(spark, sf)[0], "questions")
+    export_questions(q, qn.quiz_metadata(q, _titles(spark, sf)), path)
     r = read_json_results(spark, path, RESULT_SCHEMA)
     return r.select("collection", F.col("metadata.total_questions").alias("total_questions"),
                     F.col("metadata.book_title").alias("book_title"),
@@ -610,16 +690,22 @@ def q_vector_distances(spark, sf):
 
 @query("stream_ingest")
 def q_stream_ingest(spark, sf):
-    """Documents arrive as files; ingest runs per micro-batch; a restart from the checkpoint
-    adds nothing. The store then equals the batch ingest."""
+    """Documents arrive as several files that share some of them, one file a micro-batch; then the
+    stream starts again with its checkpoint lost: every file is offered again and nothing is
+    added. The store then equals the batch ingest."""
     from folio.session import scratch_path
-    from folio.streaming.ingest import stream_ingest
+    from folio.streaming.ingest import DOC_SCHEMA, stream_ingest
     import uuid
     base = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
-    stream_ingest(spark, sf, "documents.parquet", f"{base}/store", f"{base}/checkpoint")
-    replay = stream_ingest(spark, sf, "documents.parquet", f"{base}/store", f"{base}/checkpoint")
-    if replay["added"] != 0:
-        raise AssertionError("replay from checkpoint added rows")
+    d = read_table(spark, sf, "documents", spread=False).select(*[f.name for f in DOC_SCHEMA.fields])
+    for part in range(3):
+        # every seventh document comes with two files
+        d.where((F.pmod("doc_id", F.lit(3)) == part) | ((F.pmod("doc_id", F.lit(7)) == 0) & (F.pmod("doc_id", F.lit(3)) == (part + 1) % 3))) \
+            .coalesce(1).write.mode("append").parquet(f"{base}/in")
+    first = stream_ingest(spark, f"{base}/in", "*.parquet", f"{base}/store", f"{base}/checkpoint", max_files=1)
+    replay = stream_ingest(spark, f"{base}/in", "*.parquet", f"{base}/store", f"{base}/checkpoint-2", max_files=1)
+    if first["batches"] < 3 or replay["batches"] < 3 or replay["added"] != 0:
+        raise AssertionError(f"first run {first}, replay {replay}")
     return chunks.read_store(spark, f"{base}/store").select("collection", "chunk_id", "page_number")
 
 
@@ -631,7 +717,7 @@ def q_stream_chat(spark, sf):
     import uuid
     base = scratch_path(spark, f"stream-chat-{uuid.uuid4().hex}")
     schema = read_table(spark, sf, "conversations", spread=False).schema
-    corpus = fx.source_corpus(spark, sf)
+    corpus = _corpus_store(spark, sf, f"{base}/store")
 
     def answer(batch):
         qs = batch.where(F.col("role") == "user").select(
@@ -646,6 +732,47 @@ def q_stream_chat(spark, sf):
     return spark.read.parquet(f"{base}/out").select("conv_id", "turn", "rank", "chunk_id", "confidence")
 
 
+def _corpus_store(spark, sf, path):
+    """The retrieval corpus written once: micro-batches read it, they do not embed it again."""
+    fx.source_corpus(spark, sf).select("collection", "chunk_id", "doc_id", "page_number", "document", "embedding").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("stream_chat_log")
+def q_stream_chat_log(spark, sf):
+    """Conversation turns arrive as a stream; each micro-batch of questions is answered and logged
+    (input, output, segments, timestamp)."""
+    from folio.session import scratch_path
+    from folio.streaming.ingest import stream_questions
+    import uuid
+    base = scratch_path(spark, f"stream-log-{uuid.uuid4().hex}")
+    schema = read_table(spark, sf, "conversations", spread=False).schema
+    corpus = _corpus_store(spark, sf, f"{base}/store")
+
+    def answer(batch):
+        from folio.session import materialize
+        qid = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+        qs = batch.where(F.col("role") == "user").select(
+            qid.alias("qid"), F.col("text").alias("question"),
+            F.concat(F.lit("src"), F.pmod("conv_id", F.lit(fx.N_QUESTION_SOURCES)).cast("string")).alias("collection"))
+        r = materialize(chat.retrieve_for_questions(qs, corpus), "retrieved")
+        return chat.chat_log_rows(chat.answer_questions(batch.sparkSession, qs, r), r)
+
+    stream_questions(spark, sf, "conversations.parquet", schema, f"{base}/out", f"{base}/checkpoint", answer)
+    return spark.read.parquet(f"{base}/out").select("qid", "input", "output", F.size("segments").alias("n_segments"))
+
+
+@query("retrieve_topk_blocks")
+def q_retrieve_topk_blocks(spark, sf):
+    """``retrieve_topk`` on the path for query sets too large to broadcast."""
+    v = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    coll = F.concat(F.lit("label_"), F.col("label").cast("string"))
+    q = v.select(coll.alias("collection"), F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    c = v.select(coll.alias("collection"), F.col("vec_id").alias("cid"), F.lit(0).alias("tie1"), F.col("vec_id").alias("tie2"), F.col("embedding").alias("vec"))
+    top = retrieve.knn(q, c, retrieve.KnnConfig(k=5, exclude_self=True, force_path="block"))
+    return top.select(F.col("qid").alias("query_id"), "rank", F.col("cid").alias("neighbor_id"), "confidence", F.round("distance", 6).alias("distance"))
+
+
 @query("retrieve_lsh")
 def q_retrieve_lsh(spark, sf):
     """Approximate top 5 (random-hyperplane buckets, exact re-rank) with recall against exact."""
@@ -675,3 +802,13 @@ def q_chat(spark, sf):
     out = api.chat(spark, qs, fx.source_corpus(spark, sf))
     return out.join(qs.select("qid", "conv_id", "turn"), "qid").select(
         "conv_id", "turn", "answer", F.size("documents").cast("int").alias("n_segments"))
+
+
+@query("chat_generator")
+def q_chat_generator(spark, sf):
+    """The same call with a model in the place of the extractive answer (the deterministic stand-in)."""
+    from folio import api
+    qs = fx.user_questions(spark, sf).withColumn(
+        "my_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    out = api.chat(spark, qs, fx.source_corpus(spark, sf), qid="my_id", generator=_offline_chat_generator)
+    return out.select("my_id", "answer", "error", F.size("documents").cast("int").alias("n_segments"))

@@ -31,6 +31,7 @@ def get_session(master: str | None = None, app: str = "folio",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.folio.spreadSmallTables", "true")
         .config("spark.driver.memory", os.environ.get("FOLIO_DRIVER_MEMORY", "16g"))
     )
     for k, v in (extra or {}).items():

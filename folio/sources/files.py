@@ -28,10 +28,10 @@ Extractor = Callable[[str], list[str]]
 
 
 def scan_files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
-    """``binaryFile`` scan; empty files are flagged (``status``) instead of read."""
+    """``binaryFile`` scan with the content; empty files are flagged (``status``)."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
     return df.select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime",
+        "path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime", "content",
         F.when(F.col("length") > 0, F.lit("ok")).otherwise(F.lit("empty file")).alias("status"),
     )
 
@@ -64,37 +64,38 @@ def html_extractor(lines_per_page: int = 5) -> Extractor:
 
 
 def extract_pages(files: DataFrame, id_col: str, content_col: str,
-                  extractor: Extractor | None = None) -> DataFrame:
+                  extractor: Extractor | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Run an extractor over every file (per partition, Arrow batches); one row per page.
 
-    A file that fails to decode yields one row with ``error`` set, the rest go on.
+    A file that fails to decode yields one row with ``error`` set, the rest go on. The file
+    columns ``keep`` come back on each of its pages.
     """
+    kept = files.select(*keep).schema
     ex = extractor or html_extractor()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out_id, out_no, out_text, out_err = [], [], [], []
-            for sid, content in zip(pdf[id_col], pdf[content_col]):
+            out_id, out_no, out_text, out_err, out_row = [], [], [], [], []
+            for row, (sid, content) in enumerate(zip(pdf[id_col], pdf[content_col])):
                 try:
                     raw = content.decode("utf-8") if isinstance(content, (bytes, bytearray)) else str(content)
                     pages = ex(raw)
                     for i, t in enumerate(pages, start=1):
-                        out_id.append(str(sid)), out_no.append(i), out_text.append(t), out_err.append(None)
+                        out_id.append(str(sid)), out_no.append(i), out_text.append(t), out_err.append(None), out_row.append(row)
                 except Exception as e:  # noqa: BLE001
-                    out_id.append(str(sid)), out_no.append(None), out_text.append(None), out_err.append(repr(e))
-            yield pd.DataFrame({"source_id": out_id, "page_number": pd.array(out_no, dtype="Int32"),
-                                "text": out_text, "error": out_err})
+                    out_id.append(str(sid)), out_no.append(None), out_text.append(None), out_err.append(repr(e)), out_row.append(row)
+            out = {"source_id": out_id, "page_number": pd.array(out_no, dtype="Int32"), "text": out_text, "error": out_err}
+            yield pd.DataFrame(out | {c: pdf[c].iloc[out_row].to_numpy() for c in keep})
 
-    return files.select(id_col, content_col).mapInPandas(run, PAGE_ROWS)
+    return files.select(id_col, content_col, *[c for c in keep if c not in (id_col, content_col)]).mapInPandas(
+        run, T.StructType(PAGE_ROWS.fields + kept.fields))
 
 
 def extract_html_pages(pages_table: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` -> page rows of visible text, collection named from the url."""
     from folio.functions.text import collection_name
-    named = pages_table.select(F.col("page_id").cast("string").alias("sid"), "html", "url")
-    out = extract_pages(named, "sid", "html")
-    return out.join(named.select("sid", collection_name(F.col("url")).alias("collection")),
-                    out["source_id"] == F.col("sid")).drop("sid")
+    named = pages_table.select(F.col("page_id").cast("string").alias("sid"), "html", collection_name(F.col("url")).alias("collection"))
+    return extract_pages(named, "sid", "html", keep=("collection",))
 
 
 def read_json_results(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:

@@ -12,9 +12,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 def ensure_parallelism(df: DataFrame) -> DataFrame:
     """Spread a scan that came out in fewer partitions than there are cores.
 
-    On a cluster a large table scans into many splits and this is a no-op; a small single
-    row-group file would otherwise run every downstream stage as one task.
+    Only for local sessions that ask for it (``spark.folio.spreadSmallTables``): a small single
+    row-group file would otherwise run every downstream stage as one task. On a cluster tables
+    stay in the splits of their files.
     """
+    if df.sparkSession.conf.get("spark.folio.spreadSmallTables", "false") != "true":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)

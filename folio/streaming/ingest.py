@@ -34,8 +34,7 @@ def stream_ingest(spark: SparkSession, source_dir: str, glob: str, store_path: s
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         pages = split_pages(batch.select("doc_id", "text", "source"))
-        offered = ch.to_chunks(pages)
-        r = ch.ingest_append(batch.sparkSession, offered, store_path)
+        r = ch.ingest_pages(batch.sparkSession, pages, store_path)
         totals["batches"] += 1
         totals["added"] += r["added"]
 
@@ -48,7 +47,7 @@ def stream_ingest(spark: SparkSession, source_dir: str, glob: str, store_path: s
 
 
 def stream_questions(spark: SparkSession, source_dir: str, glob: str, schema: T.StructType, out_path: str,
-                     checkpoint: str, answer: Callable[[DataFrame], DataFrame]) -> None:
+                     checkpoint: str, answer: Callable[[DataFrame], DataFrame], max_files: int = 100) -> None:
     """Answer every micro-batch of questions with ``answer`` and append the rows.
 
     Idempotent per batch: rows of batch ``b`` go to ``<out>/batch_id=b`` with overwrite, so a
@@ -57,7 +56,8 @@ def stream_questions(spark: SparkSession, source_dir: str, glob: str, schema: T.
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         answer(batch).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
-    q = (spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
+    q = (spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files)
+         .parquet(source_dir)
          .writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
