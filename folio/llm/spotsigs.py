@@ -7,8 +7,8 @@ fingerprint is the set of its signatures' hashes, sorted, 8 hex digits each. Lik
 Jaccard coefficient of two sets. Sets are partitioned by length, so that sets whose partitions are
 not neighbours cannot reach ``least``, and are given 0 without being compared.
 
-DataFrame operations only. A text is split once; its content words are regrouped behind their
-anchors, and a chain that an anchor's own words do not fill goes on behind the next anchors.
+DataFrame operations only. A text is split once, its anchors are marked, and one look-ahead pattern
+collects the chain behind every mark.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ ANCHORS = (
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ONE_IN = 8      # so many words have one more anchor among them, picked by hash
 CHAIN = 2       # content words of a chain
-REACH = 4       # further anchors whose words may fill a chain
+REACH = 64      # anchors that may stand before each word of a chain
+CHAINED = "\x01([^ ]+)(?=" + (rf"(?: \x01[^ ]+){{0,{REACH}}}+ ([^\x01 ][^ ]*)" * CHAIN) + ")"
 LEAST = 0.05    # likeness below which sets need not be compared
 FIRST_KEY = -(1 << 63)
 
@@ -38,24 +39,14 @@ FIRST_KEY = -(1 << 63)
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the sorted set of signature hashes of a text column. A text without a full chain has
     its words as signatures; one without words has none."""
-    n = {c: f"{out}_{c}" for c in ("words", "parts", "bodies", "sigs")}
-    kept = df.columns
-    words = F.array_remove(F.split(F.lower(text), BETWEEN), "")
-    df = df.withColumn(n["words"], words)
-    marked = F.transform(n["words"], lambda w: F.when(w.isin(ANCHORS) | (F.pmod(F.hash(w), F.lit(ONE_IN)) == 0), F.concat(F.lit("\x01"), w)).otherwise(w))
-    df = df.withColumn(n["parts"], F.transform(F.split(F.array_join(marked, " "), "\x01"), lambda p: F.rtrim(p)))
-    # parts[0] is what precedes the first anchor; bodies: a part's words without its anchor
-    df = df.withColumn(n["bodies"], F.transform(n["parts"], lambda p: F.when(F.instr(p, " ") > 0, F.regexp_replace(p, "^[^ ]* ", ""))))
-
-    def chain(p, i):
-        more = [F.get(F.col(n["bodies"]), i + j) for j in range(1, REACH + 1)]
-        return F.substring_index(F.concat_ws(" ", p, *more), " ", CHAIN + 1)
-
-    full = F.filter(F.transform(n["parts"], lambda p, i: F.when(i > 0, chain(p, i))),
-                    lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit(""))) == CHAIN)
-    df = df.withColumn(n["sigs"], F.transform(full, lambda c: F.hash(c)))
-    sigs = F.when(F.size(n["sigs"]) > 0, F.col(n["sigs"])).otherwise(F.transform(n["words"], lambda w: F.hash(w)))
-    return df.select(*kept, F.sort_array(F.array_distinct(sigs)).alias(out))
+    words, sigs, kept = f"{out}_words", f"{out}_sigs", df.columns
+    df = df.withColumn(words, F.array_remove(F.split(F.lower(text), BETWEEN), ""))
+    # anchors get a mark; each is then replaced by itself and its chain between two other marks
+    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(ANCHORS) | (F.pmod(F.hash(w), F.lit(ONE_IN)) == 0), F.concat(F.lit("\x01"), w)).otherwise(w)), " ")
+    chained = F.regexp_replace(marked, CHAINED, "\x02$1" + "".join(f" ${k + 2}" for k in range(CHAIN)) + "\x03")
+    df = df.withColumn(sigs, F.transform(F.regexp_extract_all(chained, F.lit("\x02([^\x03]*)\x03"), 1), lambda c: F.hash(c)))
+    full = F.when(F.size(sigs) > 0, F.col(sigs)).otherwise(F.transform(words, lambda w: F.hash(w)))
+    return df.select(*kept, F.sort_array(F.array_distinct(full)).alias(out))
 
 
 def spelt(sigs: str) -> Column:
