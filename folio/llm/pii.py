@@ -22,7 +22,7 @@ from folio.llm.common import text_of
 
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?![\d-]*\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)"
@@ -121,9 +121,11 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    land, rest = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.char_length(m))
+    whole = F.replace(m, F.lit(" "), F.lit(""))
+    land, rest = F.substring(whole, 1, 2), F.substring(whole, F.lit(5), F.char_length(whole))
     new = let(permute_text(rest, key, land), lambda r: F.concat(land, F.lpad((98 - mod97(F.concat(r, land, F.lit("00")))).cast("string"), 2, "0"), r))
-    return F.when(mod97(F.concat(rest, F.substring(m, 1, 4))) == 1, new)
+    spaced = let(new, lambda n: F.when(F.contains(m, F.lit(" ")), F.regexp_replace(n, "(.{4})(?=.)", "$1 ")).otherwise(n))
+    return F.when(mod97(F.concat(rest, F.substring(whole, 1, 4))) == 1, spaced)
 
 
 def _ipv4(m: Column, key: str) -> Column:

@@ -68,6 +68,27 @@ def test_pii(got, docs):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_formats_stay_valid_and_linked(spark):
+    import datetime
+    from folio.llm import pii
+    rows = [(1, "card 4111111111111111 or 4111 1111 1111 1111 or 4111-1111-1111-1111, not 4111111111111112"),
+            (2, "call +1 (743) 555-3824 or 743-555-3824"), (3, "DE89370400440532013000 and DE89 3704 0044 0532 0130 00, not DE89370400440532013001"),
+            (4, "born 1984-02-29 or 29.02.1984, not 2023-02-30"), (5, "123-45-6789, not 666-12-1234"), (6, "ann.07@a.org to ann.07@a.org from 10.0.0.255, not 10.0.0.256")]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()}
+    cards = re.findall(r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", out[1]["text"])
+    assert cards[3] == "4111111111111112" and len({re.sub(r"\D", "", c) for c in cards[:3]}) == 1 and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", cards[1])
+    a, b = re.fullmatch(r"call \+1 (\(\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4})", out[2]["text"]).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "7435553824"
+    a, b, c = re.fullmatch(r"(DE\d{20}) and (DE\d\d(?: \d{4}){4} \d\d), not (\w+)", out[3]["text"]).groups()
+    value = lambda s: int("".join(str(int(x, 36)) for x in s[4:] + s[:4])) % 97
+    assert a == b.replace(" ", "") != "DE89370400440532013000" and value(a) == 1 and c == "DE89370400440532013001"
+    a, b, c = re.fullmatch(r"born (\S+) or (\S+), not (\S+)", out[4]["text"]).groups()
+    assert datetime.date.fromisoformat(a) == datetime.datetime.strptime(b, "%d.%m.%Y").date() and c == "2023-02-30" and a != "1984-02-29"
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}, not 666-12-1234", out[5]["text"]) and out[5]["n_replaced"] == 1
+    a, b, ip = re.fullmatch(r"([a-z]{3}\.\d\d@a\.org) to (\S+) from ([\d.]+), not 10\.0\.0\.256", out[6]["text"]).groups()
+    assert a == b != "ann.07@a.org" and all(int(x) < 256 for x in ip.split(".")) and out[6]["kinds"] == ["email", "email", "ipv4"]
+
+
 def test_feistel_is_a_bijection(spark):
     from pyspark.sql import functions as F
     from folio.llm import pii
