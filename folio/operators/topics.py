@@ -41,7 +41,9 @@ def extract_topics(chunks: DataFrame, max_topics: int = MAX_TOPICS) -> DataFrame
     # term counts are read three times (scores, document frequencies, N); Catalyst plans
     # the three reads differently, so they would not share an exchange: computed once
     tf = materialize(term_frequencies(chunks), "tf")
-    dfs = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # one row a token; read back it meets the counts behind an exchange of its own, so that the
+    # skew join can split a token that very many documents hold
+    dfs = materialize(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df")
     n = tf.select(F.count_distinct("collection")).scalar()
     scored = tf.join(dfs, "token").withColumn(
         "score", F.col("tf") * F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))))
