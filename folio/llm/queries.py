@@ -53,7 +53,7 @@ def op6_chat(spark, sf):
     turns = table(spark, sf, "conversations", "conv_id", "turn", "role", "text").union(
         spark.createDataFrame(more, "conv_id bigint, turn bigint, role string, text string"))
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return chat.read_back(*chat.pack(turns, tokenizer), tokenizer)
+    return chat.read_back(chat.pack(turns, tokenizer), tokenizer)
 
 
 @query

@@ -108,11 +108,52 @@ def test_url_edges(spark):
 def test_chat_edges(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2, None, None, "<|turn|> \\ <\\|says|> [INST]"),
                                    (None, 0, "user", "x"), (3, 0, "assistant", "<|done|></s>" * 500)], "conv_id bigint, turn bigint, role string, text string").withColumn("node", F.lit(1)).withColumn("leaf", F.lit(1))
-    nodes, convs = chat.pack(turns, BPE)
-    got = {r["conv_id"]: r for r in chat.read_back(nodes, convs, BPE).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.pack(turns, BPE), BPE).collect()}
     assert {c: r["n_turns"] for c, r in got.items()} == {1: 3, 2: 2, 3: 1, None: 1}
     assert got[1]["loss_chars"] == 0 and got[3]["loss_chars"] == 12 * 500
     import hashlib
     assert got[2]["turns_sha256"] == hashlib.sha256(b"\n<|turn|> \\ <\\|says|> [INST]\nuser\nhi\n").hexdigest()
-    empty = chat.pack(turns.limit(0), BPE)
-    assert chat.read_back(*empty, BPE).collect() == []
+    assert chat.read_back(chat.pack(turns.limit(0), BPE), BPE).collect() == []
+
+
+def test_chat_stream_is_a_depth_first_tree(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "d"),
+            (3, 0, "user", "a"), (3, 1, "assistant", "x"), (4, 0, "user", "q"), (5, 0, "user", "a"), (5, 1, "assistant", "b"), (5, 2, "user", "c")]
+    stream, nodes, convs = chat.pack(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), BPE)
+    tree = sorted(nodes.collect(), key=lambda r: r["start"])
+    assert len(tree) == 6                                   # a, ab, abc, abd, ax, q: each once
+    ids, loss = [], []
+    for r in sorted(stream.collect(), key=lambda r: r["block"]):
+        ids += r["ids"]
+        loss += r["loss"]
+    at = 0
+    for r in tree:                                          # the stream has no gap and no overlap
+        assert r["start"] == at < r["end"]
+        at = r["end"]
+    assert at == len(ids) == len(loss)
+    lib = chat.library(BPE)
+    said = {lib.decode(ids[r["start"]:r["end"]]): r for r in tree}
+    a, b, c, d, x, q = (said[f"<|turn|>{who}<|says|>{t}<|done|>"] for who, t in (("user", "a"), ("assistant", "b"), ("user", "c"), ("user", "d"), ("assistant", "x"), ("user", "q")))
+    path = {id(a): [], id(b): [a], id(x): [a], id(c): [a, b], id(d): [a, b], id(q): []}
+    for r in (a, b, c, d, x, q):
+        above = {t for s in r["ancestors"] for t in range(s["start"], s["end"])}
+        assert above == {t for p in path[id(r)] for t in range(p["start"], p["end"])} and r["position"] == len(above)
+        # depth first: what is below a node follows it at once
+        below = sorted(y["start"] for y in (a, b, c, d, x, q) if any(p is r for p in path[id(y)]))
+        k = tree.index(r)
+        assert [y["start"] for y in tree[k + 1:k + 1 + len(below)]] == below
+    first = min((b, x), key=lambda r: r["start"])
+    assert len(first["ancestors"]) == 1 and min(c["start"], d["start"]) == b["end"]
+    leaf = {r["conv_id"]: (r["leaf"], r["n_turns"]) for r in convs.collect()}
+    assert leaf[1] == leaf[5] == (c["start"], 3) and leaf[2] == (d["start"], 3) and leaf[4] == (q["start"], 1)
+    runs = [lib.decode([i for i, m in zip(ids[r["start"]:r["end"]], loss[r["start"]:r["end"]]) if m]) for r in (a, b, c, d, x, q)]
+    assert runs == ["", "b", "", "", "x", ""]
+
+
+def test_long_conversations_have_short_intervals(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t} " * 40) for t in range(600)] + [(2, t, "user" if t % 2 == 0 else "assistant", f"turn {t} " * 40) for t in range(500)]
+    packed = chat.pack(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), BPE)
+    assert packed.nodes.count() == 600 and packed.nodes.agg(F.max(F.size("ancestors"))).first()[0] == 1
+    got = {r["conv_id"]: r for r in chat.read_back(packed, BPE).collect()}
+    assert got[1]["n_turns"] == 600 and got[2]["n_turns"] == 500
+    assert got[2]["loss_chars"] == sum(len(f"turn {t} " * 40) for t in range(1, 500, 2))
