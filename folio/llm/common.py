@@ -27,7 +27,7 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, upper, upper.lower()))
 
 
-def slices(batch, column: int, most: int = 8 << 20):
+def slices(batch, column: int, most: int = 2 << 20):
     """Pieces of an Arrow batch with at most so many bytes of text each, or one row."""
     import numpy as np
     import pyarrow.compute as pc

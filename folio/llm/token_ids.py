@@ -38,7 +38,7 @@ BLOCK_IDS = 1 << 18             # a block is closed by the document that reaches
 SEGMENT_IDS = 1 << 22           # and a segment by the block that reaches so many
 LANES = 1024
 STEPS = 128                     # a block of fewer than LANES * STEPS ids gets fewer lanes
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000         # pieces a Python worker remembers
 BLOCK = pa.struct([("n_docs", pa.int64()), ("n_ids", pa.int64()), ("states", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())])
 ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int32())), ("freqs", pa.list_(pa.int32())),
                    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(BLOCK))])
@@ -69,6 +69,17 @@ class Encoder:
         self.seen: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
         self.size, self.at = np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64)
+        self.hits = np.zeros(1 << 19, np.int32)     # batches that held the piece since the last forget()
+
+    def forget(self) -> None:
+        """Keep the pieces that several batches held, at most half of what may be remembered."""
+        pieces, hits, least = list(self.seen), self.hits[:len(self.seen)], 2
+        while np.count_nonzero(hits >= least) > CACHE_PIECES // 2:
+            least *= 2
+        keep = np.flatnonzero(hits >= least)
+        ids, sizes = self.flat[ragged(self.at[keep], self.size[keep])], self.size[keep]
+        self.clear()
+        self._add([pieces[k] for k in keep], ids, sizes)
 
     def learn(self, pieces: list[str]) -> None:
         """A piece with NUL in front stands for what follows it, one with a line break in front for
@@ -96,9 +107,12 @@ class Encoder:
         if breaks.any():
             ids = np.insert(ids, (np.cumsum(sizes) - sizes)[breaks], self.line_break[0])
             sizes = sizes + breaks
+        self._add(pieces, ids, sizes)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, many = len(self.seen), len(ids)
         while n + len(pieces) > len(self.size):
-            self.size, self.at = np.r_[self.size, self.size], np.r_[self.at, self.at]
+            self.size, self.at, self.hits = np.r_[self.size, self.size], np.r_[self.at, self.at], np.r_[self.hits, self.hits * 0]
         while self.used + many > len(self.flat):
             self.flat = np.r_[self.flat, self.flat]
         self.flat[self.used:self.used + many] = ids
@@ -112,12 +126,14 @@ class Encoder:
         coded = pieces.dictionary_encode()
         own = coded.dictionary.to_pylist()
         self.learn([p for p in own if p not in self.seen])
-        return np.fromiter(map(self.seen.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
+        at = np.fromiter(map(self.seen.__getitem__, own), np.int64, len(own))
+        self.hits[at] += 1
+        return at[coded.indices.to_numpy()]
 
     def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end``, and how many each has."""
         if len(self.seen) > CACHE_PIECES:
-            self.clear()
+            self.forget()
         if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         slow = pc.match_substring_regex(texts, INSIDE)
