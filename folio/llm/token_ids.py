@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ BLOCK_IDS = 1 << 18             # a block is closed by the document that reaches
 SEGMENT_IDS = 1 << 22           # and a segment by the block that reaches so many
 LANES = 1024
 STEPS = 128                     # a block of fewer than LANES * STEPS ids gets fewer lanes
-CACHE_PIECES = 400_000         # pieces a Python worker remembers
+SLICE = 4 << 20                 # bytes of text that are encoded at once
+CACHE_PIECES = 700_000         # pieces a Python worker remembers
 BLOCK = pa.struct([("n_docs", pa.int64()), ("n_ids", pa.int64()), ("states", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())])
 ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int32())), ("freqs", pa.list_(pa.int32())),
                    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(BLOCK))])
@@ -125,8 +127,12 @@ class Encoder:
         """Where each piece is remembered; pieces not remembered are encoded first."""
         coded = pieces.dictionary_encode()
         own = coded.dictionary.to_pylist()
-        self.learn([p for p in own if p not in self.seen])
-        at = np.fromiter(map(self.seen.__getitem__, own), np.int64, len(own))
+        at = np.fromiter(map(self.seen.get, own, repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(at < 0)
+        if new.size:
+            missing = [own[k] for k in new]
+            self.learn(missing)
+            at[new] = [self.seen[p] for p in missing]
         self.hits[at] += 1
         return at[coded.indices.to_numpy()]
 
@@ -159,7 +165,9 @@ class Encoder:
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places first, first + 1, ... of each run, one run after the other."""
     total = np.cumsum(size)
-    return np.repeat(first - total + size, size) + np.arange(total[-1] if len(total) else 0)
+    out = np.repeat((first - total + size).astype(np.int32), size)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -272,7 +280,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, doc_id
         def close():
             return pa.RecordBatch.from_pylist([pack(part, segment, first, doc_ids, lengths, ids, ends)], ARROW)
         for b in batches:
-            for piece in slices(b, 1):
+            for piece in slices(b, 1, SLICE):
                 got, sizes = e.texts(piece.column(1), end)
                 at = 0
                 for d, n in zip(piece.column(0).to_pylist(), sizes.tolist()):
