@@ -136,4 +136,5 @@ def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     rows = own.join(_small(mix), F.col(names[source]).eqNullSafe(F.col("mix_source")), "left")
     blocks = taken_blocks(mix, seed, F.col(names[doc_id]), F.xxhash64(text_of(names[text])))
     blocks = F.when(F.col("whole").isNull(), F.array(F.lit(0))).otherwise(blocks)
-    return rows.select(*[F.col(n).alias(c) for c, n in names.items()], F.explode(blocks).alias("mix_block")).select(*docs.columns)
+    taken = rows.select(*names.values(), F.explode(blocks).alias("mix_block"))
+    return taken.select(*[F.col(n).alias(c) for c, n in names.items()])
