@@ -193,6 +193,26 @@ def test_lsh_with_real_buckets(spark):
     assert len(near) == 5 * 90 and len(near & exact) >= 0.9 * len(exact)
 
 
+def test_lsh_recall_with_many_bits(spark):
+    from folio.operators import lsh
+    r = np.random.default_rng(9)
+
+    def recall(points, bucket_rows, every):
+        rows = [(i, "c", v.tolist()) for i, v in enumerate(points.astype(np.float32))]
+        q = spark.createDataFrame(rows[::every], "qid long, collection string, vec array<float>")
+        c = spark.createDataFrame(rows, "cid long, collection string, vec array<float>").select("cid", "collection", F.lit(0).alias("tie1"), F.col("cid").alias("tie2"), "vec")
+        cfg = retrieve.KnnConfig(k=5, exclude_self=True)
+        near = {(x.qid, x.cid) for x in lsh.lsh_knn(q, c, cfg, bucket_rows=bucket_rows).collect()}
+        exact = {(x.qid, x.cid) for x in retrieve.knn(q, c, cfg).collect()}
+        return len(near & exact) / len(exact), lsh.chosen(q, c, cfg, 64, 8, bucket_rows, lsh.RECALL).first()["__bits"]
+
+    # neighbours no nearer than chance puts them
+    assert recall(r.standard_normal((3000, 64)), 8, 4)[0] >= 0.9
+    centres = r.standard_normal((60, 64))
+    found, bits = recall(centres[np.arange(6000) % 60] + 0.3 * r.standard_normal((6000, 64)), 64, 8)
+    assert found >= 0.9 and bits >= 6, (found, bits)
+
+
 def test_scan_of_one_collection_prunes(spark):
     docs = _docs(spark, [(i, TEXT) for i in range(30)])
     path, _ = _store(spark, docs)
