@@ -20,6 +20,8 @@ from folio.llm.graph import components
 AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 CANONICAL_TAG = r"(?is)<link\s[^>]*rel\s*=\s*[\"']?canonical[\"'\s>][^>]*>?"
 REFRESH_TAG = r"(?is)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh[\"'\s][^>]*>"
+BASE_TAG = r"(?is)<base\s(?:[^>]*\s)?href\s*=\s*[\"']?([^\"'\s>]+)"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 RULES_BROADCAST = 100_000
 
 
@@ -41,6 +43,28 @@ def canonical_form(url: Column) -> Column:
         F.concat(host_of(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root without its . and .. segments."""
+    def step(kept, x):
+        return F.when(x == ".", kept).when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, x))
+    parts = F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/")
+    clean = F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step), "/"))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), clean).otherwise(path)
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """The url that ``href`` names on a page of url ``base``; null if it names none: another scheme than
+    those with ``://``, or relative to a base that is no url."""
+    own, rest = (F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", k) for k in (1, 2))
+    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+    path = F.when(own == "", path_of(base)).when(own.startswith("/"), own).otherwise(
+        F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    query = F.when((own == "") & ~rest.startswith("?"), F.regexp_extract(base, r"(?s)\?[^#]*", 0)).otherwise(F.lit(""))
+    return F.when(href.rlike(SCHEME + "//"), href).when(href.rlike(SCHEME), F.lit(None)).when(
+        href.startswith("//"), F.concat(F.lit("http:"), href)).when(
+        base.rlike(SCHEME + "//"), F.concat(F.lit("http://"), host_of(base), _without_dots(path), query, rest))
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): alias edges of the pages, between urls and canonical forms."""
     u = F.col(url).cast("string")
@@ -49,10 +73,10 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     hrefs = F.concat(
         F.transform(F.regexp_extract_all(h, F.lit(CANONICAL_TAG), 0), lambda t: F.regexp_extract(t, r"(?is)href\s*=\s*[\"']?([^\"'\s>]+)", 1)),
         F.transform(F.regexp_extract_all(h, F.lit(REFRESH_TAG), 0), lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)", 1)))
-    named = pages.where(h.rlike(r"(?i)canonical|refresh")).select(u.alias("a"), F.explode(hrefs).alias("href")).where("href != ''")
-    target = F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), "href")).when(
-        F.col("href").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("a")), "href")).otherwise(F.col("href"))
-    return own.union(named.select("a", canonical_form(target).alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    base = F.coalesce(resolved(F.nullif(F.regexp_extract(h, BASE_TAG, 1), F.lit("")), u), u)
+    named = pages.where(h.rlike(r"(?i)canonical|refresh")).select(u.alias("a"), base.alias("base"), F.explode(hrefs).alias("href")).where("href != ''")
+    target = named.select("a", resolved(F.col("href"), F.col("base")).alias("target")).where("target IS NOT NULL")
+    return own.union(target.select("a", canonical_form(F.col("target")).alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct()
 
 
 def explicit_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -105,6 +105,23 @@ def test_url_edges(spark):
     assert urls.judge(pages.limit(0), rules).collect() == []
 
 
+def test_relative_targets(spark):
+    canonical = '<link rel="canonical" href="{}">'.format
+    rows = [(1, "http://a.net/es/1", canonical("index.html")), (2, "http://b.org/1", canonical("index.html")), (3, "http://b.org/x/2", canonical("index.html")),
+            (4, "http://b.org/x", ""), (5, "http://c.org/d/e/3?q=1", '<meta http-equiv="refresh" content="0; url=../f/./4.html">'), (6, "http://c.org/d/e/5", canonical("?p=2")),
+            (7, "http://c.org/d/6?k=1", canonical("#top")), (8, "http://d.org/a/7", '<base target="x"><base href="/net/">' + canonical("8")), (9, "http://d.org/9", canonical("javascript:go()")),
+            (10, "no url", canonical("/10")), (11, "HTTP://E.org/11", canonical("to?u=http://f.net/es/")), (12, "http://e.org", canonical("../12/.."))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    own = {r[1]: r[0] for r in rows}
+    edges = {(own[r["a"]], r["b"]) for r in urls.link_edges(pages).collect()}
+    assert {(1, "a.net/es"), (2, "b.org"), (3, "b.org/x"), (4, "b.org/x"), (5, "c.org/d/f/4"), (6, "c.org/d/e/5?p=2"), (7, "c.org/d/6?k=1"), (8, "d.org/net/8"),
+            (11, "e.org/to?u=http://f.net/es/"), (12, "e.org")} <= edges
+    assert {b for k, b in edges if k in (9, 10)} == {"d.org/9", "no url"}
+    rules = spark.createDataFrame([("block", "net", "/es/"), ("block", "b.org", "/x/")], "verdict string, host string, path string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 3, 4}
+
+
 def test_chat_edges(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2, None, None, "<|turn|> \\ <\\|says|> [INST]"),
                                    (None, 0, "user", "x"), (3, 0, "assistant", "<|done|></s>" * 500)], "conv_id bigint, turn bigint, role string, text string").withColumn("node", F.lit(1)).withColumn("leaf", F.lit(1))
