@@ -24,12 +24,16 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
-CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?![\d-]*\d)"
+CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}(?:\1\d{3}(?!\d))?|\d{6}\1\d{4,5}))(?![\d-]*\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)"
-PHONE = r"(?<![\d(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}(?!\d)"
-DATE = r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\2\d{2}|\d{2}([-/.])\d{2}\3\d{4})(?![\d/-]|\.\d)"
+LAND = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"     # ITU country codes; none begins another
+NATIONAL = r"(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}"
+PHONE = rf"(?<![\d(])(?:(?:\+\d{{1,3}}[ .-]?)?{NATIONAL}|{LAND}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d){{6,12}})(?!\d)"
+DATE = r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})(?![\d/-]|\.\d)"
+# other groupings of a card's digits: a run of groups, in which the one that fits is looked for
+GROUPED = r"(?<![\d+-])(?=(?:\d[ -]?){12}\d)\d{3,16}([ -])(?:\d{3,16}\4){0,5}\d{1,16}(?!\d)"
 SECRET = r"(?<=[\"'=: ])[0-9a-f]{32,64}(?![0-9A-Za-z])"
-PERSONAL = "|".join((EMAIL, IBAN, IPV4, CARD, SSN, PHONE, DATE, SECRET))
+PERSONAL = "|".join((EMAIL, IBAN, IPV4, CARD, SSN, PHONE, DATE, GROUPED, SECRET))
 DAYS = (270, 271)                       # dates are permuted within windows of 270 * 271 days
 FIRST_DAY = "1900-01-01"
 
@@ -106,15 +110,32 @@ def refill(shape: Column, digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    body = permute_text(F.substring(digits, F.lit(1), F.char_length(digits) - 1), key, F.lit("card"))
-    new = let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(b, 1), F.lit(10)).cast("string")))
-    return F.when((luhn_sum(digits, 0) % 10 == 0) & digits.rlike("[1-9]"), let(new, lambda d: refill(m, d)))
+    """The groups in a row that pass as a card, of several four fours, else the most digits, are replaced."""
+    mark = F.regexp_extract(m, "[ -]", 0)
+
+    def row(groups, at, n):
+        own = F.slice(groups, at + 1, n)
+        digits, shape = F.array_join(own, ""), F.call_function("array_join", own, mark)
+        return F.struct(shape.rlike(r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}$").alias("fours"), F.char_length(digits).alias("n_digits"),
+                        (-at).alias("before"), n.alias("n"), digits.alias("digits"), shape.alias("shape"))
+
+    def changed(x):
+        body = permute_text(F.substring(x["digits"], F.lit(1), x["n_digits"] - 1), key, F.lit("card"))
+        new = let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(b, 1), F.lit(10)).cast("string")))
+        return let(new, lambda d: refill(x["shape"], d))
+
+    def replaced(groups):
+        rows = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda at: F.transform(
+            F.sequence(F.lit(1), F.size(groups) - at), lambda n: row(groups, at, n))))
+        fit = F.filter(rows, lambda x: x["n_digits"].between(13, 19) & (luhn_sum(x["digits"], 0) % 10 == 0) & x["digits"].rlike("[1-9]"))
+        return let(F.array_max(fit), lambda x: F.when(x.isNotNull(), F.call_function("array_join", F.concat(
+            F.slice(groups, F.lit(1), -x["before"]), F.array(changed(x)), F.slice(groups, x["n"] - x["before"] + 1, F.size(groups))), mark)))
+    return let(F.split(m, "[ -]"), replaced)
 
 
 def _phone(m: Column, key: str) -> Column:
-    land = F.regexp_extract(m, r"^(\+\d{1,3}[ .-]?)?", 0)
-    rest = F.regexp_replace(m, r"^\+\d{1,3}[ .-]?", "")
+    land = F.regexp_extract(m, rf"^({LAND}[ .-]?)?", 0)
+    rest = F.regexp_replace(m, rf"^{LAND}[ .-]?", "")
     digits = F.regexp_replace(rest, "[^0-9]", "")
     grouped = F.regexp_replace(digits, r"^(\d{3})(\d{3})(\d{4})$", "$1-$2-$3")      # leading digits of area and exchange
     return F.concat(land, let(F.regexp_replace(permute_text(grouped, key, F.lit("phone")), "-", ""), lambda d: refill(rest, d)))
@@ -151,11 +172,18 @@ def _ssn(m: Column, key: str) -> Column:
 def _date(m: Column, key: str) -> Column:
     days, out = DAYS[0] * DAYS[1], F.lit(None).cast("string")
     year_first = m.rlike(r"^\d{4}")
-    mark = F.when(year_first, F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
+    mark, short = F.regexp_extract(m, "[-/.]", 0), m.rlike(r"(?<!\d)\d(?!\d)")     # short: without leading zeros
     a, b, c = (F.split_part(m, mark, F.lit(k)) for k in (1, 2, 3))
-    tries = [(year_first, (a, b, c), lambda d: F.concat(F.date_format(d, "yyyy"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "dd"))),
-             (~year_first, (c, b, a), lambda d: F.concat(F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy"))),
-             (~year_first, (c, a, b), lambda d: F.concat(F.date_format(d, "MM"), mark, F.date_format(d, "dd"), mark, F.date_format(d, "yyyy")))]
+    a, b, c = (F.when(F.char_length(x) == 1, F.concat(F.lit("0"), x)).otherwise(x) for x in (a, b, c))
+
+    def day_of(d):
+        return F.when(short, F.date_format(d, "d")).otherwise(F.date_format(d, "dd"))
+
+    def month_of(d):
+        return F.when(short, F.date_format(d, "M")).otherwise(F.date_format(d, "MM"))
+    tries = [(year_first, (a, b, c), lambda d: F.concat(F.date_format(d, "yyyy"), mark, month_of(d), mark, day_of(d))),
+             (~year_first, (c, b, a), lambda d: F.concat(day_of(d), mark, month_of(d), mark, F.date_format(d, "yyyy"))),
+             (~year_first, (c, a, b), lambda d: F.concat(month_of(d), mark, day_of(d), mark, F.date_format(d, "yyyy")))]
     for fits, ymd, spell in reversed(tries):
         day = F.datediff(F.try_to_date(F.concat_ws("-", *ymd), "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("bigint")
 
@@ -173,7 +201,7 @@ def pseudonym(m: Column, key: str) -> Column:
     def whole(p):
         return m.rlike(f"^(?:{p})$")
     kinds = [("email", EMAIL, F.concat(permute_text(F.substring_index(m, "@", 1), key, F.lit("email")), F.lit("@"), F.substring_index(m, "@", -1))),
-             ("iban", IBAN, _iban(m, key)), ("ipv4", IPV4, _ipv4(m, key)), ("card", CARD, _card(m, key)), ("ssn", SSN, _ssn(m, key)),
+             ("iban", IBAN, _iban(m, key)), ("ipv4", IPV4, _ipv4(m, key)), ("card", f"{CARD}|" + GROUPED.replace(r"\4", r"\2"), _card(m, key)), ("ssn", SSN, _ssn(m, key)),
              ("phone", PHONE, _phone(m, key)),
              ("date", DATE.replace(r"\2", r"\1").replace(r"\3", r"\2"), _date(m, key)),
              ("secret", r"[0-9a-f]{32,64}", permute_text(m, key, F.lit("secret")))]

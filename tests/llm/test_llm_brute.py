@@ -89,6 +89,23 @@ def test_formats_stay_valid_and_linked(spark):
     assert a == b != "ann.07@a.org" and all(int(x) < 256 for x in ip.split(".")) and out[6]["kinds"] == ["email", "email", "ipv4"]
 
 
+def test_other_forms_of_personal_values(spark):
+    import datetime
+    from folio.llm import pii
+    rows = [(1, "3782 822463 10005 or 378282246310005 or 12/26 3782-822463-10005, not 3782 822463 10006"), (2, "4111 1111 1111 1111 123"), (3, "room 51 6011 0009 9013 9424"),
+            (4, "630400 0000 000000 x"), (5, "on 3/7/2024, 03/07/2024 or 7.3.2024, not 31/31/2024"), (6, "+49 30 1234 5678, +493012345678, +33 6 12 34 56 78, not +49 30"), (7, "743 555 3824 123 555")]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()}
+    a, b, c = re.fullmatch(r"(\d{4} \d{6} \d{5}) or (\d{15}) or 12/26 (\d{4}-\d{6}-\d{5}), not 3782 822463 10006", out[1]["text"]).groups()
+    assert re.sub(r"\D", "", a) == b == re.sub(r"\D", "", c) != "378282246310005" and out[1]["kinds"] == ["card"] * 3
+    assert re.fullmatch(r"(?!4111 1111 1111 1111)(\d{4} ){4}123", out[2]["text"])
+    assert re.fullmatch(r"room 51(?! 6011 0009 9013 9424)( \d{4}){4}", out[3]["text"]) and out[4]["kinds"] == ["card"] and out[4]["text"] != rows[3][1]
+    a, b, c = re.fullmatch(r"on (\S+), (\S+) or (\S+), not 31/31/2024", out[5]["text"]).groups()
+    assert datetime.datetime.strptime(a, "%d/%m/%Y") == datetime.datetime.strptime(b, "%d/%m/%Y") != datetime.datetime(2024, 7, 3) and c != "7.3.2024"
+    a, b, c = re.fullmatch(r"(\+49 \d\d \d{4} \d{4}), (\+49\d{10}), (\+33 \d(?: \d\d){4}), not \+49 30", out[6]["text"]).groups()
+    assert a.replace(" ", "") == b != "+493012345678" and c != "+33 6 12 34 56 78"
+    assert out[7]["kinds"] == ["phone"] and re.fullmatch(r"(?!743 555 3824)\d{3} \d{3} \d{4} 123 555", out[7]["text"])
+
+
 def test_feistel_is_a_bijection(spark):
     from pyspark.sql import functions as F
     from folio.llm import pii
