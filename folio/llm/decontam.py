@@ -75,8 +75,10 @@ def places(docs: DataFrame, hashes: DataFrame, sizes: list[int], width: int) ->
         found = F.array(*[F.when(room >= k, F.struct(F.lit(k).alias("k"), _shingle("words", F.col("at"), k).alias("hash"))) for k in sizes])
         each = each.select("doc", "mark", "words", "at", F.explode(found).alias("s")).where("s IS NOT NULL").select("doc", "mark", "words", "at", "s.k", "s.hash")
     near_at = F.greatest(F.col("at") - width, F.lit(0))
-    return each.join(_small(hashes), ["k", "hash"]).select(
-        "doc", "mark", F.size("words").alias("n_words"), "k", "at", "hash", F.slice("words", near_at + 1, F.lit(2 * width)).alias("near"), near_at.alias("near_at"))
+    columns = ["doc", "mark", F.size("words").alias("n_words"), "k", "at", "hash", F.slice("words", near_at + 1, F.lit(2 * width)).alias("near"), near_at.alias("near_at")]
+    if hashes.count() > BROADCAST_ROWS:     # a shuffle must not carry all words with each place
+        return each.select(*columns).join(hashes, ["k", "hash"]).select("doc", "mark", "n_words", "k", "at", "hash", "near", "near_at")
+    return each.join(F.broadcast(hashes), ["k", "hash"]).select(*columns)
 
 
 def occurrences(docs: DataFrame, wins: DataFrame, width: int, shingle: int) -> DataFrame:

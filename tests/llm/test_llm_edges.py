@@ -77,6 +77,23 @@ def test_no_benchmark_and_no_labels(spark, labels, items):
     assert scores == {0.5}
 
 
+def test_shuffled_places_carry_no_whole_text(spark, items, monkeypatch):
+    import re
+    want = sorted(map(tuple, decontam.contamination(docs(spark), items).collect()), key=str)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    own = docs(spark).select(F.col("doc_id").alias("doc"), F.lit(1).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    hashes = spark.createDataFrame([(4, 1)], "k int, hash bigint")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(decontam.places(own, hashes, [4], 10)._jdf.queryExecution(), "formatted")
+        dealt = re.findall(r"\) Exchange\s*\nInput[^\n]*", plan)
+        assert len(dealt) == 2 and not any(re.search(r"\bwords#", x) for x in dealt)
+        assert sorted(map(tuple, decontam.contamination(docs(spark), items).collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_mixing_edges(spark):
     got = mixing.mixture(docs(spark), repeats=2.0).collect()
     assert {r["doc_id"] for r in got} == {r[0] for r in DOCS}
