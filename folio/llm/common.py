@@ -55,3 +55,12 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``many`` with ``one``, a row a key that says in ``matches`` how many of all ``total`` rows
+    of ``many`` it meets. Keys of over a thousandth of the rows, of which there are a thousand at most, are
+    broadcast; the others go through a shuffle. ``many`` is read twice."""
+    hot = F.broadcast(one.where(F.col("matches") * 1000 > total).drop("matches"))
+    cold = one.where(F.col("matches") * 1000 <= total).drop("matches")
+    return many.join(hot, keys).unionByName(many.join(hot.select(*keys), keys, "left_anti").join(cold, keys))

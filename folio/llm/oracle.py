@@ -67,3 +67,33 @@ SELECT p.page_id, {_HOST.format('p.url')} AS host, {_PATH.format('p.url')} AS pa
        coalesce(ruled.verdict, CASE WHEN shared.allowed THEN 'allow' WHEN NOT shared.allowed THEN 'block' END, 'allow') AS verdict
 FROM pages p LEFT JOIN ruled USING (url) LEFT JOIN shared USING (url)
 """
+
+# crc32 of a decimal number, bit by bit: a byte is taken in, then eight times one bit is shifted out (marked -1)
+_CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+ORACLE["op11_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT c, {_CRC.format('c')} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+rebuilt AS (
+  SELECT c.c, t.role, t.text, 0 AS own, t.r FROM c JOIN t ON t.c = c.c - c.c % 5 AND t.r < c.h
+  UNION ALL SELECT c.c, t.role, t.text, 1, t.r FROM c JOIN t ON t.c = c.c AND t.r >= c.h),
+p AS (
+  SELECT c, row_number() OVER w AS d, octet_length(encode(text)) AS bytes,
+         list(sha256(length(role) || ':' || role || text)) OVER w AS node
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY own, r ROWS UNBOUNDED PRECEDING)),
+paths AS (SELECT c, d, bytes, sha256(array_to_string(node, '')) AS node, CASE WHEN d > 1 THEN sha256(array_to_string(node[:-2], '')) ELSE 'root' END AS up FROM p
+  UNION ALL SELECT c, 0, 0, 'root', NULL FROM c),
+nodes AS (SELECT node, d, any_value(up) AS up, any_value(bytes) AS bytes, min(c) AS m, count(*) AS n FROM paths GROUP BY node, d),
+kids AS (SELECT up AS node, count(*) AS k FROM nodes WHERE up IS NOT NULL GROUP BY up),
+own AS (SELECT nodes.*, coalesce(k, 0) AS k, (n - 1) * bytes AS saved FROM nodes LEFT JOIN kids USING (node)),
+sums AS (SELECT a.node, sum(CAST(u.k = 0 AS BIGINT)) AS leaves, sum(u.saved) AS saved FROM own u JOIN paths a ON a.c = u.m AND a.d <= u.d GROUP BY a.node),
+last AS (SELECT c, max(d) AS d FROM paths GROUP BY c),
+ends AS (SELECT node, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM paths JOIN last USING (c, d) GROUP BY node)
+SELECT own.m AS conv_id, CAST(own.d AS BIGINT) AS depth, u.m AS parent_conv_id, own.n AS n_convs, own.k AS n_children, CAST(sums.leaves AS BIGINT) AS n_leaves,
+       CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM own JOIN sums USING (node) LEFT JOIN nodes u ON u.node = own.up LEFT JOIN ends ON ends.node = own.node
+"""

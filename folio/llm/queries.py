@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import chat, decontam, mixing, pii, quality, simhash, spotsigs, token_count, token_ids, urls
+from folio.llm import align, chat, decontam, graph_ann, mixing, pii, quality, simhash, spotsigs, token_count, token_ids, trie, urls
 from folio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,18 @@ def op9_quality(spark, sf):
 @query
 def op10_token_ids(spark, sf):
     return token_ids.round_trip(table(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_trie(spark, sf):
+    return trie.trie(table(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query
+def op12_alignment(spark, sf):
+    return align.align(table(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_graph_ann(spark, sf):
+    return graph_ann.nearest(table(spark, sf, "embeddings", "vec_id", "embedding"))
