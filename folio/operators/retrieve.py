@@ -291,20 +291,19 @@ def knn(queries: DataFrame, corpus: DataFrame, cfg: KnnConfig = KnnConfig()) ->
     path = cfg.force_path
     qpdf = None
     if path != "block":
-        # size check before anything is collected: row width from one vector, then at most
-        # max_rows + 1 rows are fetched; more than max_rows means the block path
+        # size check before anything is collected: rows and the bytes of their names are counted without their
+        # vectors, whose width is that of the first ones
         width = 4 if isinstance(queries.schema["vec"].dataType.elementType, T.FloatType) else 8
         # (no filter on ``vec``: it would be pushed into the projection that computes it)
         head = [r["d"] for r in queries.select(F.size("vec").alias("d")).limit(16).collect() if r["d"] and r["d"] > 0]
-        dim = head[0] if head else 1024
-        max_rows = max(1, cfg.max_broadcast_bytes // (width * dim + 64))
-        qpdf = queries.select("collection", "qid", "vec").limit(max_rows + 1).toPandas()
-        if len(qpdf) > max_rows:
-            if path == "broadcast":
-                raise ValueError(f"more than {max_rows} queries: over max_broadcast_bytes, use the block path")
-            path, qpdf = "block", None
+        names = F.octet_length("collection") + F.octet_length(F.col("qid").cast("string"))
+        size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(names).alias("names")).first()
+        if size["n"] * (width * (head[0] if head else 1024) + 48) + (size["names"] or 0) <= cfg.max_broadcast_bytes:
+            path, qpdf = "broadcast", queries.select("collection", "qid", "vec").toPandas()
+        elif path == "broadcast":
+            raise ValueError(f"{size['n']} queries are over max_broadcast_bytes, use the block path")
         else:
-            path = "broadcast"
+            path = "block"
     if path == "broadcast":
         cand = _broadcast_candidates(corpus, qpdf, cfg, qtype, ctype)
     else:
