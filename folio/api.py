@@ -6,7 +6,7 @@
     generate_level_1(chunks)                   -> (questions, metadata, quarantine)
     generate_level_2(chunks)                   -> (questions with source, metadata, quarantine)
     chat(spark, questions, chunks)             -> answers with their documents, rejects with their error
-    build_instruction_set(open_rows, mcq_rows) -> instruction rows (optionally saved)
+    build_instruction_set(open_rows, mcq_rows) -> (instruction rows (optionally saved), quarantine)
     reset(spark, store)                        -> empty store
 
 ``embedder`` takes a text column to a vector column (:func:`folio.operators.chunks.model_embedder`);
@@ -16,7 +16,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import prompts as _prompts
@@ -26,9 +28,11 @@ from folio.operators import chunks as _chunks
 from folio.operators import generate as _generate
 from folio.operators import ingest as _ingest
 from folio.operators import instruct as _instruct
+from folio.operators import journal as _ask
 from folio.operators import questions as _questions
+from folio.operators import topic_tree as _tree
 from folio.operators import topics as _topics
-from folio.operators.pages import collection_text, ordered_concat, rejected_documents, split_pages
+from folio.operators.pages import ordered_concat, rejected_documents, split_pages
 
 
 def ingest(spark: SparkSession, documents: DataFrame, store: str, embedder=None) -> dict:
@@ -49,7 +53,7 @@ def ingest_files(spark: SparkSession, files: DataFrame, store: str, registry: st
     checked = _ingest.filter_supported(files.select("name", "content"), "name", ext)
     known = spark.read.parquet(registry) if _chunks.path_exists(spark, registry) else spark.createDataFrame([], "name string")
     named = checked.where("supported").select("name", "content", collection_name(F.col("name")).alias("collection"))
-    fresh = _ingest.new_files(named, known, "name", "collection")
+    fresh = _ingest.new_files(named, known, "name", "content")
     pages = materialize(extract_pages(fresh, "name", "content", extractor, keep=("collection",)), "pages")
     counts = _chunks.ingest_pages(spark, pages.where("error IS NULL"), store, embedder)
     done = pages.where("error IS NULL").select(F.col("source_id").alias("name")).distinct()
@@ -71,43 +75,93 @@ def _titles(chunks: DataFrame) -> DataFrame:
     return _topics.titles(chunks)
 
 
-def _generated(tasks: DataFrame, generator, n: int) -> tuple[DataFrame, DataFrame]:
-    """Questions of ``tasks(collection, topic, topic_rank, context, ...)`` from a generator:
-    render -> generate -> parse; ``(questions, quarantine)``."""
+def _journal(chunks: DataFrame, journal: str | None) -> str:
+    """The journal's folder: the caller's, which later runs go on with, or a new one in the shared checkpoint folder."""
+    from folio.session import scratch_path
+    return journal or scratch_path(chunks.sparkSession, f"journal-{uuid.uuid4().hex}")
+
+
+def _generated(tasks: DataFrame, texts: DataFrame, generator, n: int, journal: str) -> tuple[DataFrame, DataFrame]:
+    """Questions of ``tasks(collection, topic, topic_rank, context_id, ...)`` about their ``texts(context_id, context, context_sha)`` from
+    a generator: ask -> parse -> the first ``n`` of each task in the answer's order, numbered by ``question_pos``.
+    What fails, and questions beyond the ``n``-th, are in ``quarantine(collection, reason)``."""
     from folio.session import materialize
     keyed = materialize(tasks.withColumn("prompt_id", F.sha2(F.concat_ws("|", "collection", "topic"), 256)), "tasks")
-    prompt = _prompts.render(_prompts.QUESTION_TEMPLATE, n=F.lit(n), topic=F.col("topic"), context=F.col("context"))
-    made = materialize(_generate.batch_generate(keyed.select("prompt_id", prompt.alias("prompt")), generator), "generated")
+    before, after = _prompts.split_render(_prompts.QUESTION_TEMPLATE, "context", n=F.lit(n), topic=F.col("topic"))
+    asks = keyed.select("context_id", "prompt_id", before.alias("before"), after.alias("after"))
+    made = materialize(_ask.ask(texts, asks, generator, journal), "generated")
     raw = made.where("error IS NULL").select("prompt_id", F.col("response").alias("json"))
-    good, bad = _generate.parse_questions(raw, keys=("prompt_id",))
-    own = keyed.drop("context").withColumnRenamed("topic", "asked_topic")
-    reasons = bad.select("prompt_id", "reason").unionByName(made.where("error IS NOT NULL").select("prompt_id", F.col("error").alias("reason")))
-    return good.join(own, "prompt_id").drop("prompt_id"), reasons.join(own.select("prompt_id", "collection"), "prompt_id").select("collection", "reason")
-
+    good, bad = _generate.parse_questions(raw, keys=("prompt_id",), positions=True)
+    placed = materialize(good.withColumn("question_pos", F.row_number().over(Window.partitionBy("prompt_id").orderBy("item_pos"))).drop("item_pos"), "parsed")
+    own = keyed.drop("context_id").withColumnRenamed("topic", "asked_topic")
+    reasons = bad.select("prompt_id", "reason").unionByName(made.where("error IS NOT NULL").select("prompt_id", F.col("error").alias("reason"))).unionByName(
+        placed.where(F.col("question_pos") > n).select("prompt_id", F.lit(f"more than {n} questions").alias("reason")))
+    return (placed.where(F.col("question_pos") <= n).join(own, "prompt_id").drop("prompt_id"),
+            reasons.join(own.select("prompt_id", "collection"), "prompt_id").select("collection", "reason"))
+
+
+def _model_topics(chunks: DataFrame, generator, journal: str, max_chars: int, topics_from: str):
+    """``(topics, titles, pieces, quarantine)``: titles and topics by the generator (:mod:`folio.operators.topic_tree`), or, from
+    "terms", by the built-in weights of terms."""
+    from folio.session import materialize, stored
+    if topics_from == "generator":
+        lists, pieces, bad = _tree.topic_lists(chunks, generator, journal, max_chars)
+        topics, over = _tree.topic_rows(lists)
+        return materialize(topics, "model_topics"), lists, pieces, bad.unionByName(over)
+    if topics_from != "terms":
+        raise ValueError(f"topics come from the generator or from terms, not from {topics_from}")
+    topics = materialize(_topics.extract_topics(chunks), "topics")
+    without = chunks.select("collection").distinct().join(topics.select("collection"), "collection", "left_anti").select("collection", F.lit("no topics").alias("reason"))
+    return topics, _titles(chunks), stored(_tree.pieces_of(chunks, max_chars), "pieces"), without
 
-def generate_level_1(chunks: DataFrame, n: int = _questions.N_LEVEL_1, generator=None):
-    topics = _topics.extract_topics(chunks)
-    if generator is None:
-        q, quarantine = _questions.generate_level_1(chunks, topics, n)
-    else:
-        text = collection_text(chunks).select("collection", F.col("text").alias("context"))
-        q, quarantine = _generated(topics.select("collection", "topic", "topic_rank").join(text, "collection"), generator, n)
-    return q, _questions.quiz_metadata(q, _titles(chunks)), quarantine
 
+def generate_level_1(chunks: DataFrame, n: int = _questions.N_LEVEL_1, generator=None, journal: str | None = None,
+                     max_chars: int = _tree.MAX_CHARS, topics_from: str = "generator", tool: str = "generator"):
+    """``(questions, metadata, quarantine)``: ``n`` questions a topic about the whole document.
 
-def generate_level_2(chunks: DataFrame, n: int = _questions.N_LEVEL_2, generator=None, embedder=None):
+    With a ``generator`` title and topics come from it too, through prompts of at most ``max_chars`` of text
+    (``topics_from="terms"``: from the built-in weights); a topic's questions are asked about the whole text if that
+    fits, else about the piece that names the topic most often. ``journal``: a folder that keeps the answers, so that a
+    later call asks only for what is missing. ``quarantine(collection, reason)`` has what failed, questions beyond the
+    ``n``-th and collections without topics."""
+    if generator is None:
+        q, quarantine = _questions.generate_level_1(chunks, _topics.extract_topics(chunks), n)
+        return q, _questions.quiz_metadata(q, _titles(chunks)), quarantine
+    path = _journal(chunks, journal)
+    topics, titles, pieces, rejected = _model_topics(chunks, generator, path, max_chars, topics_from)
+    context_id = F.concat_ws(":", "collection", "block", "sub")
+    tasks = topics.select("collection", "topic", "topic_rank").join(_tree.topic_pieces(topics, pieces), ["collection", "topic"])
+    q, bad = _generated(tasks.select("collection", "topic", "topic_rank", context_id.alias("context_id")),
+                        pieces.select(context_id.alias("context_id"), F.col("text").alias("context"), "context_sha"), generator, n, path)
+    return q, _questions.quiz_metadata(q, titles, tool), rejected.unionByName(bad)
+
+
+def generate_level_2(chunks: DataFrame, n: int = _questions.N_LEVEL_2, generator=None, embedder=None, journal: str | None = None,
+                     max_chars: int = _tree.MAX_CHARS, topics_from: str = "generator", tool: str = "generator", k: int = 1):
+    """``(questions with source, metadata, quarantine)``: ``n`` questions a topic about its best page, or with a ``generator``
+    about its ``k`` best pages in their order; the other parameters are those of level 1."""
     from folio.session import materialize
-    topics = materialize(_topics.extract_topics(chunks), "topics")
-    tq = topics.select("collection", "topic", "topic_rank", F.concat_ws("|", "collection", "topic").alias("qid"))
-    best = retrieve(tq, chunks, k=1, text_col="topic", embedder=embedder).join(tq, ["qid", "collection"]).select(
-        "collection", "topic", "topic_rank", "page_number", "document", "confidence")
     if generator is None:
-        q, quarantine = _questions.generate_level_2(best.drop("topic_rank"), topics, chunks, n)
+        if k != 1:
+            raise ValueError("the built-in questions are about the best page: k is for a generator")
+        topics = materialize(_topics.extract_topics(chunks), "topics")
     else:
-        tasks = best.select("collection", "topic", "topic_rank", _chat.context_line(F.col("document"), F.col("page_number")).alias("context"),
-                            _questions.source_array().alias("source"))
-        q, quarantine = _generated(tasks, generator, n)
-    return q, _questions.quiz_metadata(q, _titles(chunks), rag=True), quarantine
+        path = _journal(chunks, journal)
+        topics, titles, _, rejected = _model_topics(chunks, generator, path, max_chars, topics_from)
+    tq = topics.select("collection", "topic", "topic_rank", F.concat_ws("|", "collection", "topic").alias("qid"))
+    best = retrieve(tq, chunks, k=k, text_col="topic", embedder=embedder).join(tq, ["qid", "collection"])
+    if generator is None:
+        q, quarantine = _questions.generate_level_2(best.select("collection", "topic", "page_number", "document", "confidence"), topics, chunks, n)
+        return q, _questions.quiz_metadata(q, _titles(chunks), rag=True), quarantine
+    found = best.groupBy("collection", "topic", "topic_rank", "qid").agg(        # k rows
+        ordered_concat(F.col("rank"), _chat.context_line(F.col("document"), F.col("page_number"))).alias("context"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "document", F.struct(F.col("page_number").cast("string").alias("page_number")).alias("metadata"), "confidence"))),
+                    lambda x: F.struct(x["document"].alias("document"), x["metadata"].alias("metadata"), x["confidence"].alias("confidence"))).cast(_chat.SEGMENTS).alias("source"))
+    found = materialize(found, "topic_pages")
+    q, bad = _generated(found.select("collection", "topic", "topic_rank", "source", F.col("qid").alias("context_id")),
+                        found.select(F.col("qid").alias("context_id"), "context", F.sha2("context", 256).alias("context_sha")), generator, n, path)
+    without = tq.join(found.select("qid"), "qid", "left_anti").select("collection", F.concat(F.lit("no page for topic: "), "topic").alias("reason"))
+    return q, _questions.quiz_metadata(q, titles, tool, rag=True), rejected.unionByName(without).unionByName(bad)
 
 
 def chat(spark: SparkSession, questions: DataFrame, chunks: DataFrame, k: int = _chat.CHAT_K,
@@ -144,13 +198,16 @@ def chat(spark: SparkSession, questions: DataFrame, chunks: DataFrame, k: int =
 
 
 def build_instruction_set(open_rows: DataFrame | None, mcq_rows: DataFrame | None,
-                          output_path: str | None = None) -> DataFrame:
-    sets = []
+                          output_path: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``(rows, quarantine)``: the instruction rows of both sets, and ``id, reason`` of open rows without an answer
+    (None without open rows)."""
+    sets, quarantine = [], None
     if mcq_rows is not None:
         sets.append(_instruct.instruct_mcq(mcq_rows))
     if open_rows is not None:
-        sets.append(_instruct.instruct_open(open_rows)[0])
-    return _instruct.merge(sets, output_path)
+        good, quarantine = _instruct.instruct_open(open_rows)
+        sets.append(good)
+    return _instruct.merge(sets, output_path), quarantine
 
 
 def reset(spark: SparkSession, store: str) -> None:

@@ -154,3 +154,27 @@ def page_window(pages: DataFrame, k: int = 1, range_pages: int = 64) -> DataFram
     w = Window.partitionBy("collection", "part").orderBy("page_number").rangeBetween(-k, k)
     own = fan.withColumn("window_text", F.array_join(F.collect_list("text").over(w), ""))
     return own.where(F.col("part") == range_of(n)).select("collection", "page_number", "window_text")
+
+
+PIECE_PAGES = 64
+
+
+def collection_pieces(chunks: DataFrame, max_chars: int, sep: str = " ") -> DataFrame:
+    """``collection, block, sub, glue, text``: a collection's text in ordered pieces of at most ``max_chars`` characters.
+
+    The pieces in the order of (block, sub), each but the first behind its ``glue``, are the
+    :func:`collection_text`. A block is a range of PIECE_PAGES page numbers; within it, pages (or
+    parts of pages, cut behind white space where there is some) are packed by a running length.
+    So no group holds more than a block of pages, however long the collection is, and texts are
+    shuffled once."""
+    half = max(1, max_chars // 2 - len(sep))
+    parts = F.regexp_extract_all("document", F.lit(rf"(?s).{{1,{half}}}(?:(?<=\s)|\z)|.{{1,{half}}}"), 0)
+    p = chunks.select("collection", "page_number", F.expr(f"page_number div {PIECE_PAGES}").cast("int").alias("block"),
+                      F.posexplode(F.when(F.length("document") <= half, F.array("document")).otherwise(parts)).alias("part", "text"))
+    before = Window.partitionBy("collection", "block").orderBy("page_number", "part").rowsBetween(Window.unboundedPreceding, -1)
+    size = half + len(sep)
+    p = p.withColumn("sub", (F.coalesce(F.sum(F.length("text") + len(sep)).over(before), F.lit(0)) / size).cast("int"))
+    glue = F.when(F.col("part") == 0, F.lit(sep)).otherwise(F.lit(""))
+    packed = p.groupBy("collection", "block", "sub").agg(F.min_by(glue, F.struct("page_number", "part")).alias("glue"),
+                                                         ordered_concat(F.struct("page_number", "part"), F.concat(glue, "text"), "").alias("text"))
+    return packed.select("collection", "block", "sub", "glue", F.expr("substr(text, length(glue) + 1)").alias("text"))

@@ -89,10 +89,10 @@ def test_custom_embedder_and_generator_end_to_end(spark):
                 out.append(json.dumps({"questions": [q]}))
             return out
         return fn
-    q1, meta, bad = api.generate_level_1(store, generator=quiz)
+    q1, meta, bad = api.generate_level_1(store, generator=quiz, topics_from="terms")
     assert q1.count() == meta.agg(F.sum("total_questions")).first()[0] > 0
     assert all("no water" in r.reason for r in bad.collect())
-    q2, _, _ = api.generate_level_2(store, generator=quiz, embedder=_embedder())
+    q2, _, _ = api.generate_level_2(store, generator=quiz, topics_from="terms", embedder=_embedder())
     first = q2.first()
     assert len(first.source) == 1 and first.source[0].document.startswith("Alpha title")
 
