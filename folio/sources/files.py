@@ -91,6 +91,38 @@ def extract_pages(files: DataFrame, id_col: str, content_col: str,
         run, T.StructType(PAGE_ROWS.fields + kept.fields))
 
 
+def pages_function(extractor: Extractor | None = None):
+    """The extractor as a table function ``(content) -> (page_number, text, error)``: one row a page, or one row with the
+    error of a file it fails on (null content gives no row). Arguments and rows travel in Arrow batches."""
+    ex = extractor or html_extractor()
+
+    class Pages:
+        def eval(self, content):
+            if content is None:
+                return
+            try:
+                raw = content.decode("utf-8") if isinstance(content, (bytes, bytearray)) else str(content)
+                pages = list(ex(raw))
+            except Exception as e:  # noqa: BLE001
+                yield None, None, repr(e)
+                return
+            for i, t in enumerate(pages, start=1):
+                yield i, t, None
+
+    return F.udtf(Pages, returnType="page_number int, text string, error string", useArrow=True)
+
+
+def register_pages_function(spark: SparkSession, name: str = "html_pages", extractor: Extractor | None = None) -> None:
+    """Makes the extractor known to SQL: ``SELECT f.name, p.* FROM files f, LATERAL html_pages(f.content) p``."""
+    spark.udtf.register(name, pages_function(extractor))
+
+
+def extract_pages_lateral(files: DataFrame, id_col: str, content_col: str, extractor: Extractor | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`extract_pages` by a lateral join with the table function."""
+    p = pages_function(extractor)(F.col(content_col).outer())
+    return files.lateralJoin(p).select(F.col(id_col).cast("string").alias("source_id"), "page_number", "text", "error", *keep)
+
+
 def extract_html_pages(pages_table: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` -> page rows of visible text, collection named from the url."""
     from folio.functions.text import collection_name

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,3 +61,32 @@ def stream_questions(spark: SparkSession, source_dir: str, glob: str, schema: T.
          .writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def stream_files(spark: SparkSession, source_dir: str, glob: str, store_path: str, registry: str, checkpoint: str, ext: str = ".html",
+                 extractor=None, embedder=None, max_files: int = 1000, rejects: str | None = None, name: Column | None = None) -> dict:
+    """Files as they arrive (``binaryFile``), each through the extension check, the registry of names, the extractor and the
+    store, until no file is left (``availableNow``); returns totals. ``rejects``: a folder for ``name, reason`` of what was
+    left out, one subfolder a batch, which a replay of the batch overwrites.
+
+    A file's name is the last part of its path, and its folder does not count, as with an upload (``name``: another column made of ``path``). Two files of one
+    name in one batch are decided by their content, in two batches by arrival."""
+    from folio import api
+    totals = {"batches": 0, "added": 0, "failed": 0, "rejected": 0}
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        files = batch.select((F.element_at(F.split("path", "/"), -1) if name is None else name).alias("name"), "content")
+        counts, left_out = api.ingest_files(batch.sparkSession, files, store_path, registry, ext, extractor, embedder)
+        totals["batches"] += 1
+        for k in ("added", "failed"):
+            totals[k] += counts[k]
+        totals["rejected"] += left_out.count()
+        if rejects:
+            left_out.write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+
+    q = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files)
+         .load(source_dir)
+         .writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return totals
