@@ -658,3 +658,61 @@ ORACLE["page_map_json"] = "WITH " + pages_cte() + """
 SELECT collection,
        CAST(to_json(map_from_entries(list((CAST(page_number AS VARCHAR), text) ORDER BY page_number))) AS VARCHAR) AS json
 FROM doc_pages GROUP BY collection"""
+
+
+# ---------------------------------------------------------------- generator path (the stand-in client), pieces, stored index
+
+MODEL_TOPICS = DOC_CHUNKS + "," + CTX + """,
+words AS (SELECT collection, unnest(w) AS topic, generate_subscripts(w, 1) AS pos
+          FROM (SELECT collection, list_filter(string_split_regex(lower(context), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 6) AS w FROM ctx)),
+firsts AS (SELECT collection, topic, min(pos) AS pos FROM words GROUP BY collection, topic),
+topics AS (SELECT collection, topic, CAST(row_number() OVER (PARTITION BY collection ORDER BY pos) AS INTEGER) AS topic_rank FROM firsts
+           QUALIFY row_number() OVER (PARTITION BY collection ORDER BY pos) <= 10),
+asked AS (SELECT *, unnest(range(1, 6)) AS i FROM topics)"""
+
+ORACLE["generate_level_1_model"] = "WITH " + MODEL_TOPICS + """
+SELECT collection, topic_rank, topic, CAST(i AS INTEGER) AS question_pos, i || '. Is ' || topic || ' named? True' AS question, CAST(i AS INTEGER) AS page_number FROM asked"""
+
+ORACLE["quiz_quarantine_model"] = "WITH " + MODEL_TOPICS + """
+SELECT collection, 'more than 5 questions' AS reason, count(*) AS n FROM topics GROUP BY collection
+UNION ALL SELECT DISTINCT collection, 'no topics', 1 FROM doc_chunks WHERE collection NOT IN (SELECT collection FROM topics)"""
+
+ORACLE["export_questions_model"] = "WITH " + MODEL_TOPICS + """,
+named AS (SELECT DISTINCT collection FROM doc_chunks),
+total AS (SELECT collection, count(*) AS n, 'Book of ' || min(topic) FILTER (topic_rank = 1) AS book_title FROM asked GROUP BY collection)
+SELECT collection, coalesce(book_title, 'Book of nothing') AS book_title, CAST(coalesce(n, 0) AS INTEGER) AS total_questions,
+       CAST(row_number() OVER (PARTITION BY collection ORDER BY topic_rank, i) - 1 AS INTEGER) AS pos, topic, i || '. Is ' || topic || ' named? True' AS question
+FROM named LEFT JOIN total USING (collection) LEFT JOIN asked USING (collection)"""
+
+ORACLE["collection_pieces"] = "WITH " + DOC_CHUNKS + "," + CTX + """
+SELECT collection, CAST(length(context) AS BIGINT) AS length, md5(context) AS text_md5 FROM ctx"""
+
+ORACLE["retrieve_pruned"] = ORACLE["retrieve_topk"]
+
+# visible text of HTML: scripts and styles out, block ends to line breaks, other tags to blanks, then the named characters
+_S = r"regexp_replace(regexp_replace({0}, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g')"
+_S = rf"regexp_replace(regexp_replace({_S}, '(?i)<\s*(br|/p|/div|/li|/h[1-6]|/tr|/title)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+for _name, _char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _S = f"replace({_S}, '&{_name};', '{_char}')"
+HTML_PAGES = rf"""
+lined AS (SELECT *, list_filter(list_transform(string_split({_S.format('html')}, chr(10)),
+                    lambda x: array_to_string(list_filter(string_split_regex(x, '[\s\x0b\x1c-\x1f\p{{Z}}\x{{85}}]+'), lambda y: y <> ''), ' ')), lambda x: x <> '') AS lines FROM raw),
+html_pages AS (SELECT * EXCLUDE (lines), CAST(n AS INTEGER) AS page_number, array_to_string(list_slice(lines, (n - 1) * 5 + 1, n * 5), chr(10)) AS text
+               FROM (SELECT *, unnest(range(1, greatest(CAST(ceil(len(lines) / 5.0) AS BIGINT), 1) + 1)) AS n FROM lined))"""
+
+ORACLE["extract_pages"] = f"""WITH raw AS (SELECT page_id, html, {coll_name('url')} AS collection FROM pages), {HTML_PAGES}
+SELECT CAST(page_id AS VARCHAR) AS source_id, page_number, text, CAST(NULL AS VARCHAR) AS error, collection FROM html_pages"""
+
+ORACLE["extract_pages_sql"] = ORACLE["extract_pages"]
+
+# files of one name: the smallest content; names of one collection: the smallest text of each page
+ORACLE["ingest_files"] = f"""WITH raw AS (SELECT url, {coll_name('url')} AS collection, min(html) AS html FROM pages WHERE ends_with(lower(url), '.html') GROUP BY url), {HTML_PAGES}
+SELECT DISTINCT collection, 'page_' || page_number AS chunk_id, page_number FROM html_pages WHERE {not_blank('text')}"""
+
+ORACLE["stream_files"] = f"""WITH raw AS (
+  SELECT 'set_' || (page_id // 50) || '_html' AS collection, string_agg(html || chr(10), '' ORDER BY page_id) AS html FROM pages GROUP BY page_id // 50), {HTML_PAGES}
+SELECT collection, 'page_' || page_number AS chunk_id, page_number, md5(text) AS text_md5 FROM html_pages WHERE {not_blank('text')}"""
+
+ORACLE["stream_sessions"] = f"""WITH {GREETING_ROWS}, t AS (SELECT conv_id, turn, role, text, {normalized('text')} AS normalized FROM conversations)
+SELECT conv_id, turn, role, false AS late, coalesce(role = 'user' AND reply IS NOT NULL, false) AS is_greeting, md5(text) AS text_md5,
+       CASE WHEN role = 'user' THEN reply END AS reply FROM t LEFT JOIN greetings ON normalized = greeting_key"""

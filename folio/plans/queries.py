@@ -276,6 +276,36 @@ def q_extract_pages(spark, sf):
     return extract_html_pages(p)
 
 
+@query("extract_pages_sql")
+def q_extract_pages_sql(spark, sf):
+    """The extractor as a table function in SQL."""
+    from folio.sources.files import register_pages_function
+    register_pages_function(spark)
+    p = read_table(spark, sf, "pages", "page_id", "url", "html")
+    return spark.sql("SELECT CAST(f.page_id AS STRING) AS source_id, p.page_number, p.text, p.error, f.collection FROM {files} f, LATERAL html_pages(f.html) p",
+                     files=p.select("page_id", "html", collection_name_expr(F.col("url")).alias("collection")))
+
+
+@query("stream_files")
+def q_stream_files(spark, sf):
+    """HTML files arrive in several micro-batches and go through the extractor into the store; then the stream starts
+    again with its checkpoint lost: every name is known and nothing is added. A file holds some fifty pages of the table."""
+    from folio.session import scratch_path
+    from folio.streaming.ingest import stream_files
+    import uuid
+    base = scratch_path(spark, f"stream-files-{uuid.uuid4().hex}")
+    p = read_table(spark, sf, "pages", "page_id", "html", spread=False)
+    named = p.select(F.concat(F.lit("set_"), F.expr("page_id div 50").cast("string"), F.lit(".html")).alias("file"), "page_id", F.col("html").alias("value"))
+    n = named.select("file").distinct().count()
+    named.repartition(max(1, min(n, 200)), "file").sortWithinPartitions("file", "page_id").drop("page_id").write.partitionBy("file").text(f"{base}/in")
+    name = F.regexp_extract("path", "/file=([^/]+)/", 1)
+    run = lambda at: stream_files(spark, f"{base}/in", "part-*", f"{base}/store", f"{base}/registry", f"{base}/{at}", max_files=-(-n // 3), name=name)
+    first, replay = run("checkpoint"), run("checkpoint-2")
+    if first["batches"] < min(n, 2) or replay["added"] != 0:
+        raise AssertionError(f"first run {first}, replay {replay}")
+    return chunks.read_store(spark, f"{base}/store").select("collection", "chunk_id", "page_number", F.md5("document").alias("text_md5"))
+
+
 # ---------------------------------------------------------------- topics and questions
 
 from folio.operators import questions as qn  # noqa: E402
@@ -418,6 +448,93 @@ def q_batch_generate(spark, sf):
     return gen.batch_generate(p, _offline_chat_generator)
 
 
+def _offline_quiz_generator():
+    """Stand-in client for quizzes: topics are the first ten different words of six letters or more, a merge takes them in
+    the order of its lists, and a topic gets one question more than asked for. Deterministic, no network."""
+    import json
+    import re
+
+    def topics(text):
+        return list(dict.fromkeys(w for w in re.split(r"[\W_]+", text.lower()) if len(w) >= 6))[:10]
+
+    def fn(prompts):
+        out = []
+        for p in prompts:
+            context = p.split("<<<\n", 1)[1].rsplit("\n>>>", 1)[0]
+            if p.startswith("Read the book text"):
+                found = topics(context)
+                out.append(json.dumps({"book_title": "Book of " + (found or ["nothing"])[0], "total_topics": len(found), "main_topics": found}))
+            elif p.startswith("The lines between"):
+                lists = [x[len("Topics: "):].split("; ") for x in context.split("\n") if x.startswith("Topics: ")]
+                found = list(dict.fromkeys(t for x in lists for t in x if t))[:10]
+                out.append(json.dumps({"book_title": "Book of " + (found or ["nothing"])[0], "total_topics": len(found), "main_topics": found}))
+            else:
+                n, topic = re.match(r'Write (\d+) multiple-choice questions about the topic "(.*)", using', p).groups()
+                named = topic in context.lower()
+                out.append(json.dumps({"questions": [
+                    {"topic": topic, "type": "MCQ", "question": f"{i}. Is {topic} named? {named}", "options": ["yes", "no", "both", "none"], "correct_answer": "A",
+                     "page_number": i, "explanation": f"Page {i}"} for i in range(1, int(n) + 2)]}))
+        return out
+    return fn
+
+
+MODEL_CHARS = 6000      # of text in a prompt; longer documents are read in pieces
+
+
+def _model_level_1(spark, sf):
+    from folio import api
+    return api.generate_level_1(fx.doc_chunks(spark, sf), generator=_offline_quiz_generator, max_chars=MODEL_CHARS)
+
+
+@query("generate_level_1_model")
+def q_generate_level_1_model(spark, sf):
+    """Level 1 with title, topics and questions from a generator (the deterministic stand-in)."""
+    q, _, _ = _model_level_1(spark, sf)
+    return q.select("collection", "topic_rank", "topic", "question_pos", "question", "page_number")
+
+
+@query("generate_level_2_model")
+def q_generate_level_2_model(spark, sf):
+    """Level 2 with a generator that is asked about each topic's three best pages."""
+    from folio import api
+    q, _, _ = api.generate_level_2(fx.doc_chunks(spark, sf), generator=_offline_quiz_generator, max_chars=MODEL_CHARS, k=3)
+    return q.select("collection", "topic", "question_pos", F.size("source").alias("n_pages"), F.col("source")[0]["metadata"]["page_number"].alias("best_page"),
+                    F.col("source")[0]["confidence"].alias("confidence"))
+
+
+@query("quiz_quarantine_model")
+def q_quiz_quarantine_model(spark, sf):
+    """What the generator's level 1 leaves out, counted: questions beyond the fifth, documents without topics."""
+    _, _, bad = _model_level_1(spark, sf)
+    return bad.groupBy("collection", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("export_questions_model")
+def q_export_questions_model(spark, sf):
+    """The generator's level 1 exported and read back, with its metadata."""
+    from folio.session import materialize, scratch_path
+    from folio.sinks import RESULT_SCHEMA, export_questions
+    import uuid
+    path = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    q, meta, _ = _model_level_1(spark, sf)
+    q = materialize(q, "questions")
+    export_questions(q, meta, path)
+    r = spark.read.schema(RESULT_SCHEMA).json(path)
+    return r.select("collection", F.col("metadata.book_title").alias("book_title"), F.col("metadata.total_questions").alias("total_questions"),
+                    F.posexplode_outer("questions").alias("pos", "q")).select("collection", "book_title", "total_questions", "pos", "q.topic", "q.question")
+
+
+@query("collection_pieces")
+def q_collection_pieces(spark, sf):
+    """Collection texts in pieces of at most 6,000 characters, counted from 1 and put together again by their lengths."""
+    p = pages.collection_pieces(fx.doc_chunks(spark, sf), MODEL_CHARS)
+    if p.where(F.length("text") > MODEL_CHARS).count():
+        raise AssertionError("a piece is longer than it may be")
+    first = F.min(F.struct("block", "sub", "glue"))["glue"]
+    return p.groupBy("collection").agg((F.sum(F.length("text") + F.length("glue")) - F.length(first)).cast("bigint").alias("length"),
+                                       F.md5(F.concat_ws("", F.expr("transform(array_sort(collect_list(struct(block, sub, glue, text))), (x, i) -> concat(if(i = 0, '', x.glue), x.text))"))).alias("text_md5"))
+
+
 def _questions_json(spark, sf):
     """Level-1 questions exported as one JSON document per collection (the generator's output shape)."""
     q = _level_1(spark, sf)[0]
@@ -690,7 +807,7 @@ def q_vector_distances(spark, sf):
 
 @query("stream_ingest")
 def q_stream_ingest(spark, sf):
-    """Documents arrive as several files that share some of them, one file a micro-batch; then the
+    """Documents arrive in three parts that share some of them, a part's files a micro-batch; then the
     stream starts again with its checkpoint lost: every file is offered again and nothing is
     added. The store then equals the batch ingest."""
     from folio.session import scratch_path
@@ -699,11 +816,12 @@ def q_stream_ingest(spark, sf):
     base = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
     d = read_table(spark, sf, "documents", spread=False).select(*[f.name for f in DOC_SCHEMA.fields])
     for part in range(3):
-        # every seventh document comes with two files
+        # every seventh document comes with two parts
         d.where((F.pmod("doc_id", F.lit(3)) == part) | ((F.pmod("doc_id", F.lit(7)) == 0) & (F.pmod("doc_id", F.lit(3)) == (part + 1) % 3))) \
-            .coalesce(1).write.mode("append").parquet(f"{base}/in")
-    first = stream_ingest(spark, f"{base}/in", "*.parquet", f"{base}/store", f"{base}/checkpoint", max_files=1)
-    replay = stream_ingest(spark, f"{base}/in", "*.parquet", f"{base}/store", f"{base}/checkpoint-2", max_files=1)
+            .write.parquet(f"{base}/in/{part}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/in").select("path").count()
+    run = lambda at: stream_ingest(spark, f"{base}/in/*", "*.parquet", f"{base}/store", f"{base}/{at}", max_files=files // 3)
+    first, replay = run("checkpoint"), run("checkpoint-2")
     if first["batches"] < 3 or replay["batches"] < 3 or replay["added"] != 0:
         raise AssertionError(f"first run {first}, replay {replay}")
     return chunks.read_store(spark, f"{base}/store").select("collection", "chunk_id", "page_number")
@@ -732,6 +850,22 @@ def q_stream_chat(spark, sf):
     return spark.read.parquet(f"{base}/out").select("conv_id", "turn", "rank", "chunk_id", "confidence")
 
 
+@query("stream_sessions")
+def q_stream_sessions(spark, sf):
+    """Conversation turns arrive out of order in three micro-batches (later turns first, some of them twice) and are logged in order."""
+    from folio.session import scratch_path
+    from folio.streaming.sessions import stream_sessions
+    import uuid
+    base = scratch_path(spark, f"stream-sessions-{uuid.uuid4().hex}")
+    c = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text", spread=False)
+    for part in range(3):
+        # a conversation's turns come by the remainder of their number, the larger remainders first
+        c.where((F.pmod("turn", F.lit(3)) == 2 - part) | ((part == 2) & (F.pmod("conv_id", F.lit(5)) == 0))).write.parquet(f"{base}/in/{part}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/in").select("path").count()
+    stream_sessions(spark, f"{base}/in/*", "*.parquet", f"{base}/out", f"{base}/checkpoint", max_files=-(-files // 3))
+    return spark.read.parquet(f"{base}/out").select("conv_id", "turn", "role", "late", "is_greeting", F.md5("text").alias("text_md5"), "reply")
+
+
 def _corpus_store(spark, sf, path):
     """The retrieval corpus written once: micro-batches read it, they do not embed it again."""
     fx.source_corpus(spark, sf).select("collection", "chunk_id", "doc_id", "page_number", "document", "embedding").write.parquet(path)
@@ -791,6 +925,46 @@ def q_retrieve_lsh(spark, sf):
         F.col("qid").alias("query_id"), "rank", F.col("cid").alias("neighbor_id"), "confidence", "recall")
 
 
+def _label_vectors(spark, sf, collection=None):
+    v = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    coll = F.concat(F.lit("label_"), F.col("label").cast("string")) if collection is None else F.lit(collection)
+    q = v.select(coll.alias("collection"), F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    return q, v.select(coll.alias("collection"), F.col("vec_id").alias("cid"), F.lit(0).alias("tie1"), F.col("vec_id").alias("tie2"), F.col("embedding").alias("vec"))
+
+
+@query("retrieve_pruned")
+def q_retrieve_pruned(spark, sf):
+    """``retrieve_topk`` from a stored cell index: cells that the triangle inequality rules out are not visited."""
+    from folio.operators import cells
+    from folio.session import scratch_path
+    import uuid
+    q, c = _label_vectors(spark, sf)
+    path = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    cells.build(c, path)
+    hits, _ = cells.search_exact(q, path, k=5, exclude_self=True)
+    return hits.select(F.col("qid").alias("query_id"), "rank", F.col("cid").alias("neighbor_id"), "confidence", F.round("distance", 6).alias("distance"))
+
+
+@query("retrieve_index")
+def q_retrieve_index(spark, sf):
+    """Approximate top 5 of all vectors, taken as one collection, from a stored index that got them in two appends, with
+    each query's recall against the exact search of the same index and the rows that one visited."""
+    from folio.operators import cells
+    from folio.session import materialize, scratch_path
+    import uuid
+    q, c = _label_vectors(spark, sf, "all")
+    path = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    cells.build(c.where("cid % 2 = 0"), path)
+    cells.append(c, path)
+    found = materialize(cells.search(q, path, k=5, exclude_self=True), "found")
+    exact, visits = cells.search_exact(q, path, k=5, exclude_self=True)
+    hit = found.select("qid", "cid", F.lit(1).alias("hit"))
+    recall = exact.join(hit, ["qid", "cid"], "left").groupBy("qid").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
+    seen = visits.select("qid", F.round(F.col("rows") / F.col("of_rows"), 4).alias("exact_visited"))
+    return found.join(recall, "qid").join(seen, "qid").select(
+        F.col("qid").alias("query_id"), "rank", F.col("cid").alias("neighbor_id"), "confidence", "recall", "exact_visited")
+
+
 # ---------------------------------------------------------------- end-to-end
 
 @query("chat")
