@@ -27,6 +27,7 @@ DEGREE = 32         # edges a point keeps
 BUILD_BEAM = 64
 ALPHA = 1.2
 BATCH = 512         # points inserted, or queries searched, at once
+MOST_TASKS = 20_000
 INDEX = "dim int, shard int, ids binary, vectors binary, edges binary, starts binary"
 
 
@@ -184,8 +185,10 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 def index(points: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     """A row for each shard of (point, dim, v): its ids, vectors, edges and entry points."""
-    sizes = points.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    dealt = points.join(sizes, "dim").select("dim", F.pmod(F.xxhash64("point"), F.col("shards")).cast("int").alias("shard"), "point", "v")
+    sizes = written(points.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "ann_sizes")
+    tasks = int(sizes.agg(F.sum("shards")).first()[0] or 1)      # a task for each shard, as building one is long
+    dealt = points.join(sizes, "dim").select("dim", F.pmod(F.xxhash64("point"), F.col("shards")).cast("int").alias("shard"), "point", "v").repartition(
+        min(4 * tasks, MOST_TASKS), "dim", "shard")
 
     def made(key, table):
         dim = key[0].as_py()
@@ -212,7 +215,10 @@ def shard_hits(shards: DataFrame, queries: DataFrame, k: int, width: int, block:
     dealt = queries.join(counts, "dim").select("dim", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int").alias("qb"), "query", "v")
     blocks = written(dealt.groupBy("dim", "qb").applyInArrow(packed, "dim int, qb int, queries binary, asked binary"), "ann_blocks")
     each = blocks.join(of, "dim").withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).drop("shards")
-    met = shards.join(counts, "dim").withColumn("qb", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks").join(each, ["dim", "shard", "qb"])
+    own = shards.join(counts, "dim").withColumn("qb", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    pairs = of.join(counts, "dim").agg(F.sum(F.col("shards") * F.col("blocks"))).first()[0] or 1
+    on, tasks = ["dim", "shard", "qb"], min(2 * pairs, MOST_TASKS)
+    met = own.repartition(tasks, *on).join(each.repartition(tasks, *on), on)
 
     def run(batches):
         for b in batches:
