@@ -112,30 +112,32 @@ def single_page(requests: DataFrame, pages: DataFrame, counts: DataFrame) -> Dat
 def page_interval(requests: DataFrame, pages: DataFrame, counts: DataFrame, k: int = 1) -> DataFrame:
     """Text of pages ``n-k .. n+k`` clamped to the document, no separator; ``n`` out of range rejected.
 
-    The range is expanded on the request side (at most ``2k+1`` rows per request) and met by an
-    equi join on ``(collection, page_number)`` — a unique key, so a document with very many
-    pages does not funnel into one task as a join on ``collection`` alone would.
+    An interval join by bins of ``2k+1`` pages: a page lies in one bin and an interval meets two at most, whatever
+    ``k`` is, so that is what is shuffled of a request. What a request finds in a bin is joined to one text where the
+    two meet, on ``(collection, bin)``, which holds ``2k+1`` pages and the requests about them, however long the document is.
     """
     # each different request once; repeated requests get its answer each
     once = requests.select("collection", "page_number").distinct()
     r = (once.join(counts, "collection", "left")
          .withColumn("reason", F.when(F.col("n_pages").isNull(), F.lit("unknown collection"))
                      .when(F.col("page_number") < 1, F.lit("page number below 1"))
-                     .when(F.col("page_number") > F.col("n_pages"), F.lit("invalid page number"))))
-    wanted = r.select("collection", "page_number", "reason",
-                      F.explode(F.when(F.col("reason").isNull(), F.sequence(
-                          F.greatest(F.lit(1), F.col("page_number") - k),
-                          F.least(F.col("n_pages"), F.col("page_number") + k)))
-                          .otherwise(F.array(F.lit(None).cast("int")))).alias("p_page"))
-    p = pages.select("collection", F.col("page_number").alias("p_page"), F.col("text").alias("p_text"))
-    joined = wanted.join(p, ["collection", "p_page"], "left")
-    answer = (joined.groupBy(F.col("collection").alias("of_collection"), F.col("page_number").alias("of_page"), "reason")
-              .agg(ordered_concat(F.col("p_page"), F.col("p_text"), "").alias("text")))
-    same = F.col("collection").eqNullSafe(F.col("of_collection")) & F.col("page_number").eqNullSafe(F.col("of_page"))
-    return requests.select("collection", "page_number").join(answer, same).select(
+                     .when(F.col("page_number").isNull() | (F.col("page_number") > F.col("n_pages")), F.lit("invalid page number"))))
+    r = r.select("collection", "page_number", "reason", F.greatest(F.lit(1), F.col("page_number") - k).alias("lo"), F.least(F.col("n_pages"), F.col("page_number") + k).alias("hi"))
+    width = 2 * k + 1
+    bins = F.array_distinct(F.array(F.expr(f"lo div {width}"), F.expr(f"hi div {width}")))
+    asked = r.where(F.col("reason").isNull()).select("collection", "page_number", "lo", "hi", F.explode(bins).alias("bin"))
+    p = pages.select("collection", F.expr(f"page_number div {width}").alias("bin"), F.col("page_number").alias("p_page"), F.col("text").alias("p_text"))
+    met = asked.join(p, ["collection", "bin"]).where(F.col("p_page").between(F.col("lo"), F.col("hi")))
+    parts = met.groupBy("collection", "bin", "page_number").agg(ordered_concat(F.col("p_page"), F.col("p_text"), "").alias("part"))      # where they met
+    texts = parts.groupBy(F.col("collection").alias("of_collection"), F.col("page_number").alias("of_page")).agg(ordered_concat(F.col("bin"), F.col("part"), "").alias("text"))
+    reasons = r.select(F.col("collection").alias("r_collection"), F.col("page_number").alias("r_page"), "reason")
+    same = F.col("collection").eqNullSafe(F.col("r_collection")) & F.col("page_number").eqNullSafe(F.col("r_page"))
+    answered = requests.select("collection", "page_number").join(reasons, same).join(
+        texts, (F.col("collection") == F.col("of_collection")) & (F.col("page_number") == F.col("of_page")), "left")
+    return answered.select(
         "collection", "page_number",
         F.when(F.col("reason").isNull(), F.lit("ok")).otherwise(F.lit("rejected")).alias("status"),
-        "reason", F.when(F.col("reason").isNull(), F.col("text")).alias("text"))
+        "reason", F.when(F.col("reason").isNull(), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def page_window(pages: DataFrame, k: int = 1, range_pages: int = 64) -> DataFrame:

@@ -716,3 +716,11 @@ SELECT collection, 'page_' || page_number AS chunk_id, page_number, md5(text) AS
 ORACLE["stream_sessions"] = f"""WITH {GREETING_ROWS}, t AS (SELECT conv_id, turn, role, text, {normalized('text')} AS normalized FROM conversations)
 SELECT conv_id, turn, role, false AS late, coalesce(role = 'user' AND reply IS NOT NULL, false) AS is_greeting, md5(text) AS text_md5,
        CASE WHEN role = 'user' THEN reply END AS reply FROM t LEFT JOIN greetings ON normalized = greeting_key"""
+
+ORACLE["page_interval_wide"] = "WITH " + pages_cte() + "," + DOC_COUNTS + "," + PAGE_REQUESTS + """,
+texts AS (SELECT r.collection, r.page_number, string_agg(p.text, '' ORDER BY p.page_number) AS text
+          FROM (SELECT DISTINCT collection, page_number FROM requests) r JOIN doc_pages p ON p.collection = r.collection AND p.page_number BETWEEN r.page_number - 500 AND r.page_number + 500
+          GROUP BY r.collection, r.page_number)
+SELECT collection, page_number, CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, reason,
+       CASE WHEN reason IS NULL THEN CAST(length(text) AS INTEGER) END AS length, CASE WHEN reason IS NULL THEN md5(text) END AS text_md5
+FROM checked LEFT JOIN texts USING (collection, page_number)"""

@@ -242,6 +242,13 @@ def q_page_interval(spark, sf):
                                pages.page_counts(fx.documents(spark, sf)), k=1)
 
 
+@query("page_interval_wide")
+def q_page_interval_wide(spark, sf):
+    """Up to 500 pages on both sides, by their length and hash."""
+    got = pages.page_interval(_page_requests(spark, sf), fx.doc_pages(spark, sf), pages.page_counts(fx.documents(spark, sf)), k=500)
+    return got.select("collection", "page_number", "status", "reason", F.length("text").alias("length"), F.md5("text").alias("text_md5"))
+
+
 @query("page_window")
 def q_page_window(spark, sf):
     return pages.page_window(fx.doc_pages(spark, sf), k=1)
