@@ -13,6 +13,7 @@ bijections for any round function. DataFrame operations only; no join and no shu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -24,16 +25,26 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
-CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}(?:\1\d{3}(?!\d))?|\d{6}\1\d{4,5}))(?![\d-]*\d)"
+# card numbers in one piece or as cards print them; a group of three digits or more beside them makes it a row of numbers
+CARD = (r"(?<![\d-])(?<!\d{3}[ -])(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}(?:\1\d{3}(?!\d))?|\d{6}\1\d{4,5})|\d{6}([ -])\d{4}\2\d{6})"
+        r"(?![\d-]*\d| \d{3})")
+# issuers' prefixes and lengths (ISO/IEC 7812 ranges as published by the networks).
+ISSUERS = (r"4(?:\d{12}|\d{15}|\d{18})", r"5[1-5]\d{14}", r"2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}", r"3[47]\d{13}", r"3(?:0[0-5]|[689]\d)\d{11,16}",
+           r"6(?:011|4[4-9]\d|5\d\d)\d{12,15}", r"35(?:2[89]|[3-8]\d)\d{12,15}", r"(?:62|81)\d{14,17}", r"(?:50|5[6-9]|6\d)\d{11,17}", r"220[0-4]\d{12,15}")
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)"
 LAND = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"     # ITU country codes; none begins another
 NATIONAL = r"(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}"
 PHONE = rf"(?<![\d(])(?:(?:\+\d{{1,3}}[ .-]?)?{NATIONAL}|{LAND}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d){{6,12}})(?!\d)"
-DATE = r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})(?![\d/-]|\.\d)"
-# other groupings of a card's digits: a run of groups, in which the one that fits is looked for
-GROUPED = r"(?<![\d+-])(?=(?:\d[ -]?){12}\d)\d{3,16}([ -])(?:\d{3,16}\4){0,5}\d{1,16}(?!\d)"
+DATE = r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)"
 SECRET = r"(?<=[\"'=: ])[0-9a-f]{32,64}(?![0-9A-Za-z])"
-PERSONAL = "|".join((EMAIL, IBAN, IPV4, CARD, SSN, PHONE, DATE, GROUPED, SECRET))
+
+
+def numbered(pattern: str, before: int) -> str:
+    """The pattern with its back references moved on by the groups before it."""
+    return re.sub(r"\\([1-9])", lambda m: f"\\{int(m[1]) + before}", pattern)
+
+
+PERSONAL = "|".join((EMAIL, IBAN, IPV4, numbered(CARD, 0), SSN, PHONE, numbered(DATE, 2), SECRET))
 DAYS = (270, 271)                       # dates are permuted within windows of 270 * 271 days
 FIRST_DAY = "1900-01-01"
 
@@ -70,9 +81,11 @@ def permute_text(s: Column, key: str, tweak: Column) -> Column:
         def step(v, r):
             odd = r % 2
             other = F.when(odd == 0, F.slice(v, half + 1, F.size(v))).otherwise(F.slice(v, F.lit(1), half))
-            return let(_draw(key, tweak, r, F.array_join(other.cast("array<string>"), ",")),
-                       lambda d: F.transform(v, lambda x, i: F.when((i < half) == (odd == 0),
-                                             (x + _hex(d, 4 * (i % 16) + 1, 4) + F.floor(i / 16)) % F.get(chars, i)["size"]).otherwise(x)))
+            # a digest has draws for sixteen places, the next sixteen have one of their own
+            seen = F.array_join(other.cast("array<string>"), ",")
+            draws = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 16).cast("int")), lambda j: _draw(key, tweak, r, F.concat_ws(":", j.cast("string"), seen)))
+            return let(draws, lambda d: F.transform(v, lambda x, i: F.when((i < half) == (odd == 0),
+                                                    (x + _hex(F.get(d, F.floor(i / 16).cast("int")), 4 * (i % 16) + 1, 4)) % F.get(chars, i)["size"]).otherwise(x)))
         values = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.transform(chars, lambda c: c["v"]), step)
         return F.array_join(F.zip_with(chars, values, lambda c, v: F.coalesce(F.char(c["base"] + v), c["c"])), "")
 
@@ -110,27 +123,16 @@ def refill(shape: Column, digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    """The groups in a row that pass as a card, of several four fours, else the most digits, are replaced."""
-    mark = F.regexp_extract(m, "[ -]", 0)
-
-    def row(groups, at, n):
-        own = F.slice(groups, at + 1, n)
-        digits, shape = F.array_join(own, ""), F.call_function("array_join", own, mark)
-        return F.struct(shape.rlike(r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}$").alias("fours"), F.char_length(digits).alias("n_digits"),
-                        (-at).alias("before"), n.alias("n"), digits.alias("digits"), shape.alias("shape"))
-
-    def changed(x):
-        body = permute_text(F.substring(x["digits"], F.lit(1), x["n_digits"] - 1), key, F.lit("card"))
+    """All digits are the card's, or all but a last group of three behind four fours (its check code)."""
+    def changed(shape):
+        digits = F.regexp_replace(shape, "[ -]", "")
+        valid = digits.rlike("^(?:" + "|".join(ISSUERS) + ")$") & (luhn_sum(digits, 0) % 10 == 0)
+        body = permute_text(F.substring(digits, F.lit(1), F.char_length(digits) - 1), key, F.lit("card"))
         new = let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(b, 1), F.lit(10)).cast("string")))
-        return let(new, lambda d: refill(x["shape"], d))
+        return F.when(valid, let(new, lambda d: refill(shape, d)))
 
-    def replaced(groups):
-        rows = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda at: F.transform(
-            F.sequence(F.lit(1), F.size(groups) - at), lambda n: row(groups, at, n))))
-        fit = F.filter(rows, lambda x: x["n_digits"].between(13, 19) & (luhn_sum(x["digits"], 0) % 10 == 0) & x["digits"].rlike("[1-9]"))
-        return let(F.array_max(fit), lambda x: F.when(x.isNotNull(), F.call_function("array_join", F.concat(
-            F.slice(groups, F.lit(1), -x["before"]), F.array(changed(x)), F.slice(groups, x["n"] - x["before"] + 1, F.size(groups))), mark)))
-    return let(F.split(m, "[ -]"), replaced)
+    code = F.regexp_extract(m, r"^(?:\d{4}[ -]){4}\d{3}$", 0)
+    return let(changed(m), lambda whole: F.coalesce(whole, F.when(code != "", F.concat(changed(F.substring(m, 1, 19)), F.substring(m, 20, 4)))))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -201,9 +203,9 @@ def pseudonym(m: Column, key: str) -> Column:
     def whole(p):
         return m.rlike(f"^(?:{p})$")
     kinds = [("email", EMAIL, F.concat(permute_text(F.substring_index(m, "@", 1), key, F.lit("email")), F.lit("@"), F.substring_index(m, "@", -1))),
-             ("iban", IBAN, _iban(m, key)), ("ipv4", IPV4, _ipv4(m, key)), ("card", f"{CARD}|" + GROUPED.replace(r"\4", r"\2"), _card(m, key)), ("ssn", SSN, _ssn(m, key)),
+             ("iban", IBAN, _iban(m, key)), ("ipv4", IPV4, _ipv4(m, key)), ("card", CARD, _card(m, key)), ("ssn", SSN, _ssn(m, key)),
              ("phone", PHONE, _phone(m, key)),
-             ("date", DATE.replace(r"\2", r"\1").replace(r"\3", r"\2"), _date(m, key)),
+             ("date", DATE, _date(m, key)),
              ("secret", r"[0-9a-f]{32,64}", permute_text(m, key, F.lit("secret")))]
     new = F.lit(None).cast("struct<kind:string,value:string>")
 
