@@ -3,12 +3,14 @@
 A signature is a common word (the anchor) with the chain of content words that follow it. So that
 texts in other languages and tables have anchors too, one in eight other words counts as common,
 picked by its hash. A text's
-fingerprint is the set of its signatures' hashes, sorted, 8 hex digits each. Likeness is the
-Jaccard coefficient of two sets. Sets are partitioned by length, so that sets whose partitions are
-not neighbours cannot reach ``least``, and are given 0 without being compared.
-
-DataFrame operations only. A text is split once, its anchors are marked, and one look-ahead pattern
-collects the chain behind every mark.
+fingerprint is the set of its signatures' hashes, sorted, 8 hex digits each, so its length grows with
+the text's. Likeness is the Jaccard coefficient of two sets. :func:`similar` finds all pairs of a
+likeness or more: sets are partitioned by length so that only neighbouring partitions can hold
+such pairs, postings of each set's rarest signatures bring candidates together, size and place
+bounds prune them, and the sets decide.
+
+DataFrame operations only. A text is split once, runs of anchors are written without blanks, and one
+pattern takes each run with the chain behind it, in time linear in the text.
 """
 
 from __future__ import annotations
@@ -29,10 +31,9 @@ ANCHORS = (
 ).split()
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ONE_IN = 8      # so many words have one more anchor among them, picked by hash
-CHAIN = 2       # content words of a chain
-REACH = 64      # anchors that may stand before each word of a chain
-CHAINED = "\x01([^ ]+)(?=" + (rf"(?: \x01[^ ]+){{0,{REACH}}}+ ([^\x01 ][^ ]*)" * CHAIN) + ")"
-LEAST = 0.05    # likeness below which sets need not be compared
+# anchors are written with \x05 behind them, content words with a blank on both sides
+CHAINED = "(?<![^ ])([^ ]*\x05) ([^ ]+) (?=[^ ]* ([^ ]+))"
+LEAST = 0.8     # likeness of a pair that :func:`similar` returns
 FIRST_KEY = -(1 << 63)
 
 
@@ -41,10 +42,15 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     its words as signatures; one without words has none."""
     words, sigs, kept = f"{out}_words", f"{out}_sigs", df.columns
     df = df.withColumn(words, F.array_remove(F.split(F.lower(text), BETWEEN), ""))
-    # anchors get a mark; each is then replaced by itself and its chain between two other marks
-    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(ANCHORS) | (F.pmod(F.hash(w), F.lit(ONE_IN)) == 0), F.concat(F.lit("\x01"), w)).otherwise(w)), " ")
-    chained = F.regexp_replace(marked, CHAINED, "\x02$1" + "".join(f" ${k + 2}" for k in range(CHAIN)) + "\x03")
-    df = df.withColumn(sigs, F.transform(F.regexp_extract_all(chained, F.lit("\x02([^\x03]*)\x03"), 1), lambda c: F.hash(c)))
+    anchor = lambda w: w.isin(ANCHORS) | (F.pmod(F.hash(w), F.lit(ONE_IN)) == 0)
+    marked = F.array_join(F.transform(words, lambda w: F.when(anchor(w), F.concat(w, F.lit("\x05"))).otherwise(F.concat(F.lit(" "), w, F.lit(" ")))), "")
+    runs = F.regexp_extract_all(F.regexp_replace(marked, CHAINED, "\x02$1\x04$2 $3\x03"), F.lit("\x02([^\x03]*)\x03"), 1)
+
+    def of_run(run):
+        chain = F.substring_index(run, "\x04", -1)
+        own = F.array_distinct(F.array_remove(F.split(F.substring_index(run, "\x04", 1), "\x05"), ""))
+        return F.transform(own, lambda w: F.hash(F.concat_ws(" ", w, chain)))
+    df = df.withColumn(sigs, F.flatten(F.transform(runs, of_run)))
     full = F.when(F.size(sigs) > 0, F.col(sigs)).otherwise(F.transform(words, lambda w: F.hash(w)))
     return df.select(*kept, F.sort_array(F.array_distinct(full)).alias(out))
 
@@ -54,14 +60,45 @@ def spelt(sigs: str) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
-def likeness(a: str, b: str, least: float = LEAST) -> Column:
-    """Jaccard coefficient of two sets, 0 if their lengths rule out ``least``, 1 if both are empty."""
-    def part(s):
-        return F.floor(F.ln(F.greatest(F.size(s), F.lit(1))) / math.log(1 / least))
+def likeness(a: str, b: str) -> Column:
+    """Jaccard coefficient of two sets, 1 if both are empty."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(
-        (F.abs(part(a) - part(b)) > 1) | (F.least(F.size(a), F.size(b)) < least * F.greatest(F.size(a), F.size(b))), 0.0).otherwise(
-        F.transform(F.array(both), lambda i: i / (F.size(a) + F.size(b) - i))[0])
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.transform(F.array(both), lambda i: i / (F.size(a) + F.size(b) - i))[0])
+
+
+def similar(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(pairs, members)``: (a, b, likeness) of all different signature sets of ``least`` likeness or more, a < b, and
+    (doc_id, cls): each row's set, named by its smallest doc_id.
+
+    Equal sets are one class, so copies are not paired with each other. A set of n signatures must share one of its
+    n - ceil(least n) + 1 rarest with any set that is so like it; sets lie in partitions of the logarithm of n, and such a
+    set lies in the same or the next one. Null texts are empty, empty sets are one class without pairs, a null doc_id
+    counts as the smallest, an empty table gives empty tables."""
+    if not 0 < least <= 1:
+        raise ValueError("a likeness lies over 0 and not over 1")
+    own = with_signatures(docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(FIRST_KEY)).alias("id"), text_of(text).alias("text")), "text", "sigs")
+    own = written(own.select("id", "sigs", F.sha2(F.array_join(F.col("sigs").cast("array<string>"), ","), 256).alias("sha")), "sigs")
+    sets = written(own.groupBy("sha").agg(F.min("id").alias("cls"), F.first("sigs").alias("sigs")), "sets")
+    named = sets.where(F.size("sigs") > 0).select("cls", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    rare = written(named.groupBy("sig").agg(F.count("*").alias("df")), "rarity")
+    # a set's signatures by rarity: their places, of which only the prefix is kept
+    order = F.transform(F.array_sort(F.collect_list(F.struct("df", "sig"))), lambda x: x["sig"])
+    ordered = named.join(rare, "sig").groupBy("cls", "n").agg(order.alias("by"))
+    keep = (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
+    part = F.floor(F.ln("n") / -math.log(least) + 1e-9) if least < 1 else F.col("n")
+    posting = written(ordered.select("cls", "n", part.alias("part"), F.posexplode(F.slice("by", F.lit(1), keep)).alias("at", "sig")), "postings")
+    a = posting.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("part").alias("own_part"))
+    b = posting.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "sig", "part")
+    # the smaller set looks into its own and the next partition; of equal sizes the smaller class does
+    met = a.join(b, ["sig", "part"]).where((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * least / (1 + least) - 1e-9)
+    near = met.where((F.col("n_a") >= least * F.col("n_b") - 1e-9) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need))
+    cand = near.select("a", "b").distinct()
+    full = cand.join(sets.select(F.col("cls").alias("a"), F.col("sigs").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("sigs").alias("y")), "b")
+    pairs = full.select("a", "b", likeness("x", "y").alias("likeness")).where(F.col("likeness") >= least - 1e-12)
+    null_of = lambda c: F.when(F.col(c) != FIRST_KEY, F.col(c))
+    return (pairs.select(null_of("a").alias("p"), null_of("b").alias("q"), "likeness").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "likeness"),
+            own.join(sets.select("sha", "cls"), "sha").select(null_of("id").alias("doc_id"), null_of("cls").alias("cls")))
 
 
 def preceding(keys: DataFrame) -> DataFrame:
@@ -76,7 +113,7 @@ def preceding(keys: DataFrame) -> DataFrame:
     return dealt.join(edge, "part").select("key", F.coalesce(F.lag("key").over(w), "edge_key").alias("to"), F.coalesce(F.lag("n").over(w), "edge_n").alias("to_n"))
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every
     row of ``docs``.
 
@@ -96,4 +133,4 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     return pair.select(
         F.when(F.col("key") != FIRST_KEY, F.col("key")).alias("doc_id"), F.col("n").cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spelt("sigs").alias("fingerprint"), spelt("edited_sigs").alias("edited_fingerprint"),
-        likeness("sigs", "edited_sigs", least).alias("near_edited"), likeness("sigs", "next_sigs", least).alias("near_next"))
+        likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"))
