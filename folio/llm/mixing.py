@@ -74,18 +74,32 @@ def plan(sized: DataFrame, entropy: float | None = None, repeats: float | None =
                      (F.col("tokens") * (blocks - F.floor(blocks))).alias("rest"))
     quota = written(quota, "quota")
     mine = sized.join(_small(quota), sized["source"].eqNullSafe(quota["mix_source"]))
-    keyed = mine.where("rest > 0").select("mix_source", "rest", "tokens", key_of(F.col("whole"), F.col("doc"), F.col("hash"), seed).alias("key"))
-    keyed = keyed.withColumn("cell", F.shiftright("key", 64 - CELL_BITS))
-    cells = keyed.groupBy("mix_source", "cell").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))
+    keyed = mine.where("rest > 0").select("mix_source", "rest", "tokens", "salt", key_of(F.col("whole"), F.col("doc"), F.col("hash"), seed).alias("key"))
+    # the key at which each source's rest ends; copies of a document have one key, and the last ones of them are told apart by their salt
+    ends = written(_ends(keyed, "key"), "cuts")
+    at_end = keyed.drop("rest").join(_small(ends.select(F.col("source").alias("of"), F.col("at").alias("of_key"), "left")),
+                                     F.col("mix_source").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")))
+    several = at_end.groupBy(F.col("mix_source").alias("n_source")).agg(F.count("*").alias("n")).where("n > 1").select("n_source")
+    repeated = at_end.join(_small(written(several, "several")), F.col("mix_source").eqNullSafe(F.col("n_source")))
+    copies = written(_ends(repeated.select("mix_source", F.col("left").alias("rest"), "tokens", "salt"), "salt"), "copies")
+    cut = ends.select("source", F.col("at").alias("cut")).join(copies.select(F.col("source").alias("c_source"), F.col("at").alias("cut_salt")), F.col("source").eqNullSafe(F.col("c_source")), "left")
+    return written(quota.join(cut.drop("c_source"), F.col("mix_source").eqNullSafe(F.col("source")), "left").select("mix_source", "weight", "whole", "cut", "cut_salt"), "mix")
+
+
+def _ends(rows: DataFrame, key: str) -> DataFrame:
+    """(source, at, left): the ``key`` with which the tokens of (mix_source, rest, tokens, key), in its order, reach ``rest``, and what of it
+    was left before that key; none where they do not reach it. A task holds the different keys of one of 4096 cells."""
+    keys = rows.groupBy("mix_source", F.col(key).alias("at")).agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))       # copies are one
+    keys = written(keys.withColumn("cell", F.shiftright("at", 64 - CELL_BITS)), "keys")
+    cells = keys.groupBy("mix_source", "cell").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("mix_source").orderBy("cell")      # 4096 rows a source at most
     cells = cells.withColumn("end", F.sum("tokens").over(upto))
     cut = cells.where((F.col("end") >= F.col("rest")) & (F.col("end") - F.col("tokens") < F.col("rest"))).select(
         F.col("mix_source").alias("cut_source"), F.col("cell").alias("cut_cell"), (F.col("rest") - F.col("end") + F.col("tokens")).alias("left"))
-    last = keyed.join(_small(written(cut, "cuts")), F.col("mix_source").eqNullSafe(F.col("cut_source")) & (F.col("cell") == F.col("cut_cell")))
-    order = Window.partitionBy("mix_source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    last = keys.join(_small(written(cut, "cells")), F.col("mix_source").eqNullSafe(F.col("cut_source")) & (F.col("cell") == F.col("cut_cell")))
+    order = Window.partitionBy("mix_source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     taken = last.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0))).where(F.col("before") < F.col("left"))
-    ends = taken.groupBy(F.col("mix_source").alias("end_source")).agg(F.max("key").alias("cut"))
-    return written(quota.join(ends, F.col("mix_source").eqNullSafe(F.col("end_source")), "left").select("mix_source", "weight", "whole", "cut"), "mix")
+    return taken.groupBy(F.col("mix_source").alias("source")).agg(F.max(F.struct("at", (F.col("left") - F.col("before")).alias("left"))).alias("end")).select("source", "end.at", "end.left")
 
 
 def key_of(block: Column, doc: Column, text_hash: Column, seed: int) -> Column:
@@ -98,13 +112,20 @@ def _small(sources: DataFrame) -> DataFrame:
 
 
 def sized_rows(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    return docs.select(F.col(source).alias("source"), F.col(doc_id).alias("doc"), F.xxhash64(text_of(text)).alias("hash"), tokens_of(text).alias("tokens"))
+    return docs.select(F.col(source).alias("source"), F.col(doc_id).alias("doc"), F.xxhash64(text_of(text)).alias("hash"), tokens_of(text).alias("tokens"),
+                       salt_of().alias("salt"))
 
 
-def taken_blocks(mix: DataFrame, seed: int, doc: Column, text_hash: Column) -> Column:
-    """The blocks (0, 1, ...) in which a row joined with its source's row of ``mix`` appears."""
+def salt_of() -> Column:
+    """Tells copies apart: from a row's place in the scan, which is the same whenever the same files are read."""
+    return F.xxhash64(F.monotonically_increasing_id())
+
+
+def taken_blocks(seed: int, doc: Column, text_hash: Column, salt: Column) -> Column:
+    """The blocks (0, 1, ...) in which a row joined with its source's row of the mix appears."""
     every = F.sequence(F.lit(0), F.col("whole"))
-    return F.filter(every, lambda b: (b < F.col("whole")) | (key_of(b, doc, text_hash, seed) <= F.col("cut")))
+    key = lambda b: key_of(b, doc, text_hash, seed)
+    return F.filter(every, lambda b: (b < F.col("whole")) | (key(b) < F.col("cut")) | ((key(b) == F.col("cut")) & (salt <= F.coalesce("cut_salt", F.lit((1 << 63) - 1)))))
 
 
 def mixture(docs: DataFrame, entropy: float | None = None, repeats: float | None = 2.0, budget: float | None = None,
@@ -113,13 +134,13 @@ def mixture(docs: DataFrame, entropy: float | None = None, repeats: float | None
     (block, position) is its order within its source.
 
     A null source is a source of its own; a null doc_id is a value like any other; repeated rows
-    count and are taken each for itself; sources without any token (empty or null texts alone) give
+    count and are taken each for itself, so that a block ends with the document that fills its quota, a copy or not; sources without any token (empty or null texts alone) give
     no share and are taken once, as block 0; an empty table gives an empty table; other columns are
     not read."""
     sized = written(sized_rows(docs, doc_id, source, text), "sized")
     mix = plan(sized, entropy, repeats, budget, seed)
     rows = sized.join(_small(mix), sized["source"].eqNullSafe(mix["mix_source"]), "left")
-    blocks = F.when(F.col("whole").isNull(), F.array(F.lit(0))).otherwise(taken_blocks(mix, seed, F.col("doc"), F.col("hash")))
+    blocks = F.when(F.col("whole").isNull(), F.array(F.lit(0))).otherwise(taken_blocks(seed, F.col("doc"), F.col("hash"), F.col("salt")))
     return rows.select("*", F.explode(blocks).alias("block")).select(
         F.col("doc").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), "block",
         key_of(F.col("block"), F.col("doc"), F.col("hash"), seed).alias("position"))
@@ -130,11 +151,11 @@ def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     """The rows of ``docs``, each as often as it is taken, with their own columns. Texts stay where
     they are: rows meet only the table of sources."""
     sized = written(sized_rows(docs, doc_id, source, text), "sized")
-    mix = plan(sized, entropy, repeats, budget, seed).select("mix_source", "whole", "cut")
+    mix = plan(sized, entropy, repeats, budget, seed).select("mix_source", "whole", "cut", "cut_salt")
     names = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
-    own = docs.withColumnsRenamed(names)
+    own = docs.withColumnsRenamed(names).withColumn("mix_salt", salt_of())
     rows = own.join(_small(mix), F.col(names[source]).eqNullSafe(F.col("mix_source")), "left")
-    blocks = taken_blocks(mix, seed, F.col(names[doc_id]), F.xxhash64(text_of(names[text])))
+    blocks = taken_blocks(seed, F.col(names[doc_id]), F.xxhash64(text_of(names[text])), F.col("mix_salt"))
     blocks = F.when(F.col("whole").isNull(), F.array(F.lit(0))).otherwise(blocks)
     taken = rows.select(*names.values(), F.explode(blocks).alias("mix_block"))
     return taken.select(*[F.col(n).alias(c) for c, n in names.items()])
