@@ -210,8 +210,7 @@ def _finish(batches):
 def rollup(nodes: DataFrame, path_rows: DataFrame, fit: int = FIT) -> DataFrame:
     """(depth, h1, h2, n_leaves, saved_tokens): the sums of ``leaf`` and ``saved`` over each node's subtree."""
     large = f"n > greatest({fit}, {nodes.count()} div {MOST_LARGE})"      # so there are MOST_LARGE at most, and they may be broadcast
-    zero = F.lit(0).cast("bigint")
-    state = nodes.select(zero.alias("c1"), zero.alias("c2"), *KEY, "p1", "p2", "conv", "w", "leaf", "saved", zero.alias("s_leaf"), zero.alias("s_saved"))
+    state = nodes.select(*[F.col("top").alias(c) for c in ("c1", "c2")], *KEY, "p1", "p2", "conv", "w", "leaf", "saved", *[F.col("top").alias(c) for c in ("s_leaf", "s_saved")])
     done = []
     while True:
         sizes = written(state.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.max("w").alias("most")).where(large), "trie_large")
@@ -311,12 +310,13 @@ def trie(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     kids = bare.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("p1").alias("h1"), F.col("p2").alias("h2")).agg(F.count("*").alias("n_children"))
     nodes = written(bare.join(kids, KEY, "left").select(
         *KEY, "p1", "p2", "conv", "n_convs", F.coalesce("n_children", zero).alias("n_children"), F.col("n_children").isNull().cast("bigint").alias("leaf"),
-        ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved"), (F.col("turns") - F.col("n_convs") * (F.col("depth") - 1)).alias("w")), "trie_nodes")
+        ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved"), (F.col("turns") - F.col("n_convs") * (F.col("depth") - 1)).alias("w"),
+        zero.alias("top")), "trie_nodes")       # the component of the root, for a start
     sums = written(rollup(nodes, rows, fit), "trie_sums")
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("conv").alias("parent_conv_id"), "n_children").where("n_children > 0")
     total = nodes.count()
-    named = hot_join(nodes.where("depth > 0").drop("n_children", "leaf", "saved", "w"), parents.withColumnRenamed("n_children", "matches"), ["depth", "p1", "p2"], total)
+    named = hot_join(nodes.where("depth > 0").drop("n_children", "leaf", "saved", "w", "top"), parents.withColumnRenamed("n_children", "matches"), ["depth", "p1", "p2"], total)
     parent = written(named.select(*KEY, "parent_conv_id"), "trie_parents")
     empty = hashlib.sha256(b"").hexdigest()
-    return nodes.join(sums, KEY).join(parent, KEY, "left").join(ends(convs, rows), KEY, "left").select(
-        F.col("conv").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256"))
+    return nodes.join(sums.withColumnRenamed("saved_tokens", "saved_below"), KEY).join(parent, KEY, "left").join(ends(convs, rows), KEY, "left").select(
+        F.col("conv").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_below").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(empty)).alias("ends_sha256"))
