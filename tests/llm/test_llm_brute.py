@@ -35,7 +35,7 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("key", ["op3_decontamination", "op6_chat", "op8_url_rules"])
+@pytest.mark.parametrize("key", ["op3_decontamination", "op6_chat", "op8_url_rules", "op11_trie"])
 def test_sql_twin(got, key):
     from folio.llm.oracle import ORACLE
     from folio.plans.check import compare, duck
@@ -45,7 +45,7 @@ def test_sql_twin(got, key):
 
 def test_contract_of_every_query(got, docs):
     from folio.llm.queries import QUERIES
-    assert sorted({int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES}) == list(range(1, 11))
+    assert sorted({int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES}) == list(range(1, 14))
     for key in ("op1_pii", "op2_token_counts", "op3_decontamination", "op4_spotsigs", "op5_simhash", "op9_quality", "op10_token_ids"):
         assert sorted(got(key).doc_id) == docs.doc_id.tolist(), key
 
