@@ -7,7 +7,8 @@ edges and never adds any; rounds stop when a round leaves the edges unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folio.llm.common import discard, written
@@ -27,20 +28,24 @@ def _stars(e: DataFrame) -> DataFrame:
             .union(low.select("b", F.col("m").alias("s"))).distinct())
 
 
-def _mark(e: DataFrame):
-    return e.agg(F.count("*"), F.sum(F.xxhash64("b", "s").cast("decimal(38,0)"))).first()
+def _written(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and checksum, from the one job that writes them."""
+    seen = Observation()
+    out = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("b", "s").cast("decimal(38,0)")).alias("sum")), "edges")
+    try:
+        return out, (seen.get["n"], seen.get["sum"])
+    except Py4JJavaError:       # the plan turned out empty, so nothing was observed
+        return out, (0, None)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node each node of an edge reaches. Nodes without an edge to
     another node are not in the result; null ends and loops are left out."""
-    e = written(edges.where(F.col(a) != F.col(b))
-                .select(F.greatest(a, b).alias("b"), F.least(a, b).alias("s")).distinct(), "edges")
-    mark = _mark(e)
-    while True:
+    e, mark = _written(edges.where(F.col(a) != F.col(b))
+                       .select(F.greatest(a, b).alias("b"), F.least(a, b).alias("s")).distinct())
+    while mark[0]:
         # edges never grow in number, so a round's table needs no more files than its rows fill
-        new = written(_stars(e).coalesce(max(1, mark[0] // EDGES_A_FILE)), "edges")
-        new_mark = _mark(new)
+        new, new_mark = _written(_stars(e).coalesce(max(1, mark[0] // EDGES_A_FILE)))
         discard(e)
         e = new
         if new_mark == mark:

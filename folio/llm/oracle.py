@@ -41,16 +41,36 @@ FROM t GROUP BY conv_id
 _HOST = _LOWER.format(r"regexp_extract({0}, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")
 _PATH = r"coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '')"
 
+
+
+def _resolved(href: str, base: str) -> str:
+    """The url that ``href`` names on a page of url ``base``; NULL if none."""
+    own, rest = (rf"regexp_extract({href}, '(?s)^([^?#]*)(.*)$', {k})" for k in (1, 2))
+    folder = rf"regexp_replace({_PATH.format(base)}, '[^/]*$', '')"
+    path = f"CASE WHEN {own} = '' THEN {_PATH.format(base)} WHEN starts_with({own}, '/') THEN {own} ELSE CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {own} END"
+    # segments one after the other: none for ., one back for ..
+    kept = (f"list_reduce(list_prepend('', list_slice(string_split(regexp_replace({path}, '(/\\.\\.?)$', '\\1/'), '/'), 2, NULL)), "
+            "lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END)")
+    clean = f"CASE WHEN regexp_matches({path}, '/\\.\\.?(?:/|$)') THEN CASE WHEN {kept} = '' THEN '/' ELSE {kept} END ELSE {path} END"
+    query = rf"CASE WHEN {own} = '' AND NOT starts_with({rest}, '?') THEN regexp_extract({base}, '(?s)\?[^#]*') ELSE '' END"
+    scheme = "'^[A-Za-z][A-Za-z0-9+.-]*:'"
+    return (f"CASE WHEN regexp_matches({href}, {scheme[:-1]}//') THEN {href} WHEN regexp_matches({href}, {scheme}) THEN NULL WHEN starts_with({href}, '//') THEN 'http:' || {href} "
+            f"WHEN regexp_matches({base}, {scheme[:-1]}//') THEN 'http://' || {_HOST.format(base)} || {clean} || {query} || {rest} END")
+
+
 ORACLE["op8_url_rules"] = rf"""
-WITH RECURSIVE rules(verdict, host, path) AS (VALUES
+WITH RECURSIVE based AS (
+  SELECT url, html, CASE WHEN tag = '' THEN url ELSE coalesce({_resolved("replace(tag, '&amp;', '&')", 'url')}, url) END AS base
+  FROM (SELECT url, html, coalesce(regexp_extract(html, '(?is)<base\s(?:[^>]*\s)?href\s*=\s*["'']?([^"''\s>]+)', 1), '') AS tag FROM pages)),
+rules(verdict, host, path) AS (VALUES
   ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 tags AS (
-  SELECT url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical["''\s>][^>]*>?')), '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1) AS href FROM pages
-  UNION ALL
-  SELECT url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["''\s][^>]*>')), '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages),
+  SELECT url, base, replace(href, '&amp;', '&') AS href FROM (
+    SELECT url, base, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical["''\s>][^>]*>?')), '(?is)href\s*=\s*["'']?([^"''\s>]+)', 1) AS href FROM based
+    UNION ALL
+    SELECT url, base, regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["''\s][^>]*>')), '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1) FROM based)),
 named AS (
-  SELECT url AS a, CASE WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN 'http://' || {_HOST.format('url')} || href ELSE href END AS target
-  FROM tags WHERE href <> '' AND url IS NOT NULL
+  SELECT url AS a, {_resolved('href', 'base')} AS target FROM tags WHERE href <> '' AND url IS NOT NULL AND {_resolved('href', 'base')} IS NOT NULL
   UNION SELECT url, url FROM pages WHERE url IS NOT NULL),
 cut AS (
   SELECT a, target, {_HOST.format('target')} AS host, regexp_replace({_PATH.format('target')}, '(?:/index)?\.html?$|/+$', '', 'g') AS path,

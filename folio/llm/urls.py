@@ -1,7 +1,7 @@
 """URL block and allow rules with redirect equivalence.
 
 Urls that redirect to or name the same canonical page are aliases. Their edges come from
-``<link rel="canonical">`` and ``<meta http-equiv="refresh">`` of the page and from the url's own
+``<link rel="canonical">`` and ``<meta http-equiv="refresh">`` of the page (``&amp;`` read as ``&``) and from the url's own
 canonical form (no scheme, fragment, tracking parameter, trailing slash or .html). Connected
 components of these edges carry a block on one alias to those that no rule names.
 
@@ -22,7 +22,7 @@ CANONICAL_TAG = r"(?is)<link\s[^>]*rel\s*=\s*[\"']?canonical[\"'\s>][^>]*>?"
 REFRESH_TAG = r"(?is)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh[\"'\s][^>]*>"
 BASE_TAG = r"(?is)<base\s(?:[^>]*\s)?href\s*=\s*[\"']?([^\"'\s>]+)"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
-RULES_BROADCAST = 100_000
+RULES_BROADCAST = 64 << 20      # bytes of rules, as texts with some room for each
 
 
 def host_of(url: Column) -> Column:
@@ -73,9 +73,10 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     hrefs = F.concat(
         F.transform(F.regexp_extract_all(h, F.lit(CANONICAL_TAG), 0), lambda t: F.regexp_extract(t, r"(?is)href\s*=\s*[\"']?([^\"'\s>]+)", 1)),
         F.transform(F.regexp_extract_all(h, F.lit(REFRESH_TAG), 0), lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)", 1)))
-    base = F.coalesce(resolved(F.nullif(F.regexp_extract(h, BASE_TAG, 1), F.lit("")), u), u)
+    base = F.coalesce(resolved(F.nullif(F.replace(F.regexp_extract(h, BASE_TAG, 1), F.lit("&amp;"), F.lit("&")), F.lit("")), u), u)
     named = pages.where(h.rlike(r"(?i)canonical|refresh")).select(u.alias("a"), base.alias("base"), F.explode(hrefs).alias("href")).where("href != ''")
-    target = named.select("a", resolved(F.col("href"), F.col("base")).alias("target")).where("target IS NOT NULL")
+    href = F.replace("href", F.lit("&amp;"), F.lit("&"))
+    target = named.select("a", resolved(href, F.col("base")).alias("target")).where("target IS NOT NULL")
     return own.union(target.select("a", canonical_form(F.col("target")).alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct()
 
 
@@ -83,10 +84,13 @@ def explicit_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, rule, verdict): the longest rule that fits each url of (url, host, path); of equal
     rules allow wins. ``rules``: (verdict, host, path)."""
     r = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
-    if rules.count() <= RULES_BROADCAST:
+    size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 100).alias("bytes"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
+    if (size["bytes"] or 0) <= RULES_BROADCAST:
         r = F.broadcast(r)
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # no more of a host's suffixes than the longest host of a rule has labels
+    first = F.greatest(F.lit(1), F.size(labels) - (size["labels"] or 1) + 1)
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = urls.select("url", "path", F.explode(suffixes).alias("rule_host")).join(r, "rule_host").where(F.expr("startswith(path, rule_path)"))
     rule = F.concat("rule_host", "rule_path")
     best = F.max(F.struct(F.char_length(rule).alias("n"), (F.col("rule_verdict") == "allow").alias("allow"), rule.alias("rule"), F.col("rule_verdict").alias("verdict")))
