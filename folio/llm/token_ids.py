@@ -20,7 +20,7 @@ import re
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ BLOCK_IDS = 1 << 18             # a block is closed by the document that reaches
 SEGMENT_IDS = 1 << 22           # and a segment by the block that reaches so many
 LANES = 1024
 STEPS = 128                     # a block of fewer than LANES * STEPS ids gets fewer lanes
-SLICE = 4 << 20                 # bytes of text that are encoded at once
-CACHE_PIECES = 700_000         # pieces a Python worker remembers
+SLICE = 6 << 20                 # bytes of text that are encoded at once
+CACHE_PIECES = 1_000_000       # pieces a Python worker remembers
 BLOCK = pa.struct([("n_docs", pa.int64()), ("n_ids", pa.int64()), ("states", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())])
 ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int32())), ("freqs", pa.list_(pa.int32())),
                    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(BLOCK))])
@@ -94,18 +94,19 @@ class Encoder:
             some = plain[k:k + (1 << 16)]
             lines = [p[1:] if p[0] in "\0\n" else " " + p for p in some]
             got = self._each(["\n".join(lines[j:j + 2048]) + "\n" for j in range(0, len(lines), 2048)])
-            ids = np.fromiter((i for g in got for i in g), np.int32)
+            ids = np.fromiter(chain.from_iterable(got), np.int32, sum(map(len, got)))
             ends = np.flatnonzero(ids == self.line_break[0])
-            sizes = np.diff(ends, prepend=-1) - 1
-            self._remember(some, np.delete(ids, ends), sizes)
+            self._remember(some, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1, [p[0] == "\n" for p in some])
         for k in range(0, len(odd), 4096):
             some = odd[k:k + 4096]
-            got = self._each([p[1:] if p[:1] == "\0" else p[1:] if p[:1] == "\n" and PLAIN(p) else p if p[:1] == "\n" else " " + p for p in some])
-            self._remember(some, np.array([i for g in got for i in g], np.int32), np.array([len(g) for g in got], np.int64))
-
-    def _remember(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        # a plain piece behind a line break was encoded without it
-        breaks = np.array([p[:1] == "\n" and PLAIN(p) is not None for p in pieces])
+            behind = [p[:1] == "\n" and PLAIN(p) is not None for p in some]
+            got = self._each([p[1:] if p[:1] == "\0" or b else p if p[:1] == "\n" else " " + p for p, b in zip(some, behind)])
+            sizes = np.array([len(g) for g in got], np.int64)
+            self._remember(some, np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes, behind)
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray, behind: list[bool]) -> None:
+        """``behind``: which plain pieces stand behind a line break, without which they were encoded."""
+        breaks = np.array(behind, bool)
         if breaks.any():
             ids = np.insert(ids, (np.cumsum(sizes) - sizes)[breaks], self.line_break[0])
             sizes = sizes + breaks
@@ -234,11 +235,14 @@ class Table:
 
 def pack(part: int, segment: int, first: int, doc_ids: list, lengths: list[int], ids: list[np.ndarray], ends: list[int]) -> dict:
     """The row of a segment; ``ids`` by document, ``ends``: the number of documents up to each block's end."""
-    values, counts = np.unique(np.concatenate(ids), return_counts=True)
-    freqs = scaled(values, counts)
+    every = np.concatenate(ids)
+    counts = np.bincount(every)
+    values = np.flatnonzero(counts)
+    freqs = scaled(values, counts[values])
     table, blocks = Table(values, freqs), []
+    upto = np.cumsum([0, *lengths])
     for i, j in zip([0, *ends], ends):
-        own = np.concatenate(ids[i:j])
+        own = every[upto[i]:upto[j]]
         states, words = table.encode(own, min(LANES, max(1, len(own) // STEPS)))
         block = {"n_docs": j - i, "n_ids": len(own), "states": states.astype("<u8").tobytes(), "words": words.astype("<u4").tobytes()}
         blocks.append(block | {"crc32": checksum(block, doc_ids[i:j], lengths[i:j])})
@@ -282,12 +286,11 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, doc_id
         for b in batches:
             for piece in slices(b, 1, SLICE):
                 got, sizes = e.texts(piece.column(1), end)
-                at = 0
-                for d, n in zip(piece.column(0).to_pylist(), sizes.tolist()):
-                    ids.append(got[at:at + n].astype(np.int32))
+                for d, n, own in zip(piece.column(0).to_pylist(), sizes.tolist(), np.split(got, np.cumsum(sizes)[:-1])):
+                    ids.append(own)
                     doc_ids.append(d)
                     lengths.append(n)
-                    at, inside, open_ = at + n, inside + n, open_ + n
+                    inside, open_ = inside + n, open_ + n
                     if open_ >= BLOCK_IDS:
                         ends.append(len(ids))
                         open_ = 0
