@@ -75,7 +75,7 @@ def op9_quality(spark, sf):
 
 @query
 def op10_token_ids(spark, sf):
-    return token_ids.round_trip(table(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_ids.round_trip(table(spark, sf, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), remember=1_000_000, slice_bytes=6 << 20)
 
 
 @query

@@ -39,8 +39,8 @@ BLOCK_IDS = 1 << 18             # a block is closed by the document that reaches
 SEGMENT_IDS = 1 << 22           # and a segment by the block that reaches so many
 LANES = 1024
 STEPS = 128                     # a block of fewer than LANES * STEPS ids gets fewer lanes
-SLICE = 6 << 20                 # bytes of text that are encoded at once
-CACHE_PIECES = 1_000_000       # pieces a Python worker remembers
+SLICE = 4 << 20                 # bytes of text that are encoded at once
+CACHE_PIECES = 700_000         # pieces a Python worker remembers
 BLOCK = pa.struct([("n_docs", pa.int64()), ("n_ids", pa.int64()), ("states", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64())])
 ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int32())), ("freqs", pa.list_(pa.int32())),
                    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(BLOCK))])
@@ -56,9 +56,9 @@ CUT = re.compile(r"(?<=\S)(?=[ \n])")
 class Encoder:
     """Ids of whole texts through the tokenizers library, with the pieces seen lately remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE_PIECES):
         from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
+        self.library, self.remember = Tokenizer.from_file(path), remember
         self.line_break = self._each(["\n"])[0]
         if len(self.line_break) != 1 or [i for w in (" a", "b", " c") for i in [*self._each([w])[0], *self.line_break]] != self._each([" a\nb\n c\n"])[0]:
             raise ValueError("line breaks do not part pre-tokens in this tokenizer")
@@ -76,7 +76,7 @@ class Encoder:
     def forget(self) -> None:
         """Keep the pieces that several batches held, at most half of what may be remembered."""
         pieces, hits, least = list(self.seen), self.hits[:len(self.seen)], 2
-        while np.count_nonzero(hits >= least) > CACHE_PIECES // 2:
+        while np.count_nonzero(hits >= least) > self.remember // 2:
             least *= 2
         keep = np.flatnonzero(hits >= least)
         ids, sizes = self.flat[ragged(self.at[keep], self.size[keep])], self.size[keep]
@@ -139,7 +139,7 @@ class Encoder:
 
     def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end``, and how many each has."""
-        if len(self.seen) > CACHE_PIECES:
+        if len(self.seen) > self.remember:
             self.forget()
         if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
@@ -172,10 +172,10 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int = CACHE_PIECES) -> Encoder:
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, remember)
 
 
 # ---------------------------------------------------------------- rANS
@@ -268,23 +268,25 @@ def unpack(row: dict):
 
 # ---------------------------------------------------------------- jobs
 
-def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, doc_id: str = "doc_id", text: str = "text",
+              remember: int = CACHE_PIECES, slice_bytes: int = SLICE) -> None:
     """Write the ids of every whole text, each followed by ``end``, in ascending doc_id order.
 
     ``tokenizer``: a tokenizers file every executor has. Null counts as the empty text (one id: the
     end), rows of one doc_id are ordered by their text, a null doc_id comes first, an empty table
     gives files without rows, other columns are not read. A task holds one segment's ids, the
-    remembered pieces and one Arrow batch."""
+    remembered pieces and one Arrow batch; ``remember`` pieces and ``slice_bytes`` of text at once trade memory for time, the
+    ids are the same."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
 
     def encode(batches):
-        e, part = encoder(tokenizer), TaskContext.get().partitionId()
+        e, part = encoder(tokenizer, remember), TaskContext.get().partitionId()
         segment, first, inside, open_, ids, doc_ids, lengths, ends = 0, 0, 0, 0, [], [], [], []
 
         def close():
             return pa.RecordBatch.from_pylist([pack(part, segment, first, doc_ids, lengths, ids, ends)], ARROW)
         for b in batches:
-            for piece in slices(b, 1, SLICE):
+            for piece in slices(b, 1, slice_bytes):
                 got, sizes = e.texts(piece.column(1), end)
                 for d, n, own in zip(piece.column(0).to_pylist(), sizes.tolist(), np.split(got, np.cumsum(sizes)[:-1])):
                     ids.append(own)
@@ -334,9 +336,10 @@ def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFr
     return got.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end: int = 0, doc_id: str = "doc_id", text: str = "text",
+               remember: int = CACHE_PIECES, slice_bytes: int = SLICE) -> DataFrame:
     """Write the files into the shared checkpoint folder and read them back."""
     spark = docs.sparkSession
     folder = scratch_path(spark, f"token-ids-{uuid.uuid4().hex}")
-    write_ids(docs, tokenizer, folder, end, doc_id, text)
+    write_ids(docs, tokenizer, folder, end, doc_id, text, remember, slice_bytes)
     return read_ids(spark, folder)
