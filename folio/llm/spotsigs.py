@@ -31,8 +31,8 @@ ANCHORS = (
 ).split()
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ONE_IN = 8      # so many words have one more anchor among them, picked by hash
-# anchors are written with \x05 behind them, content words with a blank on both sides
-CHAINED = "(?<![^ ])([^ ]*\x05) ([^ ]+) (?=[^ ]* ([^ ]+))"
+# anchors are written between \x06 and \x05, content words between blanks; a run is taken where it begins
+CHAINED = "\x06(?<![^ ]\x06)([^ ]++) ([^ ]++) (?=[^ ]*+ ([^ ]++))"
 LEAST = 0.8     # likeness of a pair that :func:`similar` returns
 FIRST_KEY = -(1 << 63)
 
@@ -43,12 +43,12 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     words, sigs, kept = f"{out}_words", f"{out}_sigs", df.columns
     df = df.withColumn(words, F.array_remove(F.split(F.lower(text), BETWEEN), ""))
     anchor = lambda w: w.isin(ANCHORS) | (F.pmod(F.hash(w), F.lit(ONE_IN)) == 0)
-    marked = F.array_join(F.transform(words, lambda w: F.when(anchor(w), F.concat(w, F.lit("\x05"))).otherwise(F.concat(F.lit(" "), w, F.lit(" ")))), "")
+    marked = F.array_join(F.transform(words, lambda w: F.when(anchor(w), F.concat(F.lit("\x06"), w, F.lit("\x05"))).otherwise(F.concat(F.lit(" "), w, F.lit(" ")))), "")
     runs = F.regexp_extract_all(F.regexp_replace(marked, CHAINED, "\x02$1\x04$2 $3\x03"), F.lit("\x02([^\x03]*)\x03"), 1)
 
     def of_run(run):
         chain = F.substring_index(run, "\x04", -1)
-        own = F.array_distinct(F.array_remove(F.split(F.substring_index(run, "\x04", 1), "\x05"), ""))
+        own = F.array_distinct(F.array_remove(F.split(F.translate(F.substring_index(run, "\x04", 1), "\x06", ""), "\x05"), ""))
         return F.transform(own, lambda w: F.hash(F.concat_ws(" ", w, chain)))
     df = df.withColumn(sigs, F.flatten(F.transform(runs, of_run)))
     full = F.when(F.size(sigs) > 0, F.col(sigs)).otherwise(F.transform(words, lambda w: F.hash(w)))
