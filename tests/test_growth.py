@@ -1,6 +1,10 @@
 """What tables of many files, long texts and many equal distances must not change or make large."""
 
 import pytest
+from pyspark.sql import functions as F
+
+from folio.operators import questions as qn
+from folio.operators import topics as tp
 
 
 def _tables(spark, path, files):
@@ -18,3 +22,39 @@ def test_streams_read_tables_of_several_files(spark, tmp_path, name):
     from folio.plans.queries import QUERIES
     got = QUERIES[name](spark, _tables(spark, str(tmp_path), 3)).collect()
     assert len(got) == {"stream_chat": 36, "stream_chat_log": 12}[name]
+
+
+def _chunks(spark, pages):
+    rows = [("c", i, f"alpha{i % 7} beta{i % 5} gamma delta epsilon. word{i} alpha{i % 7}!") for i in range(1, pages + 1)]
+    return spark.createDataFrame(rows, "collection string, page_number int, document string")
+
+
+def test_topics_of_a_collection_of_many_pages_are_those_of_one_task(spark, monkeypatch):
+    c = _chunks(spark, 40)
+    whole = sorted(tp.extract_topics(c).collect(), key=str)
+    monkeypatch.setattr(tp, "WHOLE_PAGES", 10)
+    assert whole and sorted(tp.extract_topics(c).collect(), key=str) == whole
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_do_not_go_through_the_questions(spark):
+    """Without their sources level 2 questions carry no page, and level 1's window no words."""
+    c = _chunks(spark, 12)
+    t = spark.createDataFrame([("c", i + 1, w) for i, w in enumerate(["gamma", "delta", "epsilon", "alpha1"])], "collection string, topic_rank int, topic string")
+    pages = c.where("page_number = 1").crossJoin(t.select("topic")).withColumn("confidence", F.lit(1.0))
+    q, _ = qn.generate_level_2(pages, t, c)
+    assert {r["topic"] for r in q.collect()} == {"gamma", "delta", "epsilon", "alpha1"}
+    joined = _plan(q.groupBy("collection").count()).split("Join ")[1].split("\n")[1]
+    assert "hits" in joined and "document#" not in joined.split("slice(")[0]
+    one, _ = qn.generate_level_1(c, t)
+    window = _plan(one).split("Window ")[1].split("Generate")[0]
+    assert "cores" not in window.split("\n", 1)[1]
+
+
+def test_spoilt_questions_are_parsed_from_stored_answers(spark, tmp_path):
+    from folio.plans.queries import QUERIES
+    df = QUERIES["parse_quarantine"](spark, _tables(spark, str(tmp_path), 1))
+    assert "Window" not in _plan(df)
