@@ -1,5 +1,7 @@
 """What tables of many files, long texts and many equal distances must not change or make large."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,50 @@ def test_spoilt_questions_are_parsed_from_stored_answers(spark, tmp_path):
     from folio.plans.queries import QUERIES
     df = QUERIES["parse_quarantine"](spark, _tables(spark, str(tmp_path), 1))
     assert "Window" not in _plan(df)
+
+
+def test_equal_distances_are_ranked_tile_by_tile(monkeypatch):
+    """Copies are all equally near: what is ranked at once stays bounded."""
+    from folio.operators import retrieve
+    seen, rank = [], retrieve._topk_index
+    monkeypatch.setattr(retrieve, "_topk_index", lambda q, *a: seen.append(len(q)) or rank(q, *a))
+    ids = np.arange(8192)
+    got = retrieve._block_candidates(np.arange(300), np.ones((300, 4)), ids, ids, ids, np.ones((8192, 4)), retrieve.KnnConfig(k=3))
+    assert max(seen) <= 1 << 20 and sum(seen) == 300 * 8192
+    assert len(got[0]) == 900 and set(got[1]) == {0, 1, 2}
+
+
+def test_hits_of_a_group_are_the_nearest_of_the_asked_cells(monkeypatch):
+    from folio.operators import cells
+    from folio.operators.retrieve import KnnConfig
+    monkeypatch.setattr(cells, "MERGE_AT", 50)
+    monkeypatch.setattr(cells, "TILE_CELLS", 64)
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.standard_normal((60, 8)), 3, axis=0).astype(np.float32)        # three copies of each
+    c = pd.DataFrame({"collection": ["a", "b"] * 90, "cell": rng.integers(0, 6, 180), "cid": rng.permutation(180), "tie1": 0, "tie2": rng.integers(0, 9, 180), "vec": list(v)})
+    q = pd.DataFrame({"collection": ["a", "b", "a", "gone"] * 10, "qid": np.arange(40), "cells": [rng.permutation(6)[:3] for _ in range(40)], "vec": list(rng.standard_normal((40, 8)).astype(np.float32))})
+    got = cells._group_hits(q, c, KnnConfig(k=4, exclude_self=True))
+    for _, x in q.iterrows():
+        own = c[(c["collection"] == x["collection"]) & c["cell"].isin(x["cells"]) & (c["cid"] != x["qid"])].copy()
+        own["d"] = [round(1 - float(np.dot(r.astype(float), x["vec"].astype(float)) / np.linalg.norm(r.astype(float)) / np.linalg.norm(x["vec"].astype(float))), 9) for r in own["vec"]]
+        best = own.sort_values(["d", "tie1", "tie2", "cid"])["cid"].tolist()[:4]
+        assert sorted(got[got["qid"] == x["qid"]]["cid"]) == sorted(best)
+
+
+def test_a_query_gets_its_hits_once_a_group_not_once_a_cell(spark, tmp_path, monkeypatch):
+    from folio.operators import cells
+    from folio.operators.retrieve import KnnConfig, knn
+    monkeypatch.setattr(cells, "GROUP_ROWS", 150)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 40)
+    rng = np.random.default_rng(6)
+    rows = [("abc"[i % 3] if i % 9 else "a", i, 0, i, [float(x) for x in rng.standard_normal(8)]) for i in range(600)]
+    c = spark.createDataFrame(rows, "collection string, cid long, tie1 int, tie2 long, vec array<float>")
+    q = c.select("collection", F.col("cid").alias("qid"), "vec")
+    path = f"{tmp_path}/index"
+    cells.build(c, path, cells=12)
+    asked = cells._plan(q, path, 3, 12, "first").select("collection", "qid", "vec", F.col("first").alias("cells"))
+    assert cells._in_cells(asked, path, "vec", "vec", KnnConfig(k=3)).groupBy("qid").count().agg(F.max("count")).first()[0] <= 3 * 2
+    hits, visits = cells.search_exact(q, path, k=3, exclude_self=True)
+    key = lambda df: sorted((r["qid"], r["rank"], r["cid"], round(r["distance"], 7)) for r in df.collect())
+    assert key(hits) == key(knn(q, c, KnnConfig(k=3, exclude_self=True)))
+    assert visits.count() == 600
