@@ -50,6 +50,34 @@ def test_each_prompt_is_asked_once(spark, tmp_path):
     assert again == {"old": got["3:x"]["response"], "new": str(len("x: new."))} and len(calls(folder)) == 15
 
 
+def test_a_wave_leaves_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(journal, "WAVE_TASKS", 3)
+    texts, asks = tables(spark, [(str(i), f"text {i}") for i in range(40)], [(str(i), f"{i}:{t}", f"{t}: ", ".") for i in range(40) for t in "xy"])
+    folder, path = str(tmp_path / "calls"), str(tmp_path / "journal")
+    assert all(r["response"] for r in journal.ask(texts, asks, counting(folder), path, wave=40, per_task=1).collect())
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) <= 2 * 3 and len(calls(folder)) == 80
+
+
+def test_a_topic_goes_to_the_piece_that_names_it_most(spark):
+    pieces = spark.createDataFrame([("c", 0, 0, "Äpfel und Birnen"), ("c", 0, 1, "äpfel ÄPFEL birnen"), ("c", 1, 0, "birnen äpfel äpfel"), ("d", 0, 0, "x")], "collection string, block int, sub int, text string")
+    topics = spark.createDataFrame([("c", "Äpfel"), ("c", "birnen"), ("c", "kirschen"), ("d", "x")], "collection string, topic string")
+    got = {(r["collection"], r["topic"]): (r["block"], r["sub"]) for r in topic_tree.topic_pieces(topics, pieces).collect()}
+    assert got == {("c", "Äpfel"): (0, 1), ("c", "birnen"): (0, 0), ("c", "kirschen"): (0, 0), ("d", "x"): (0, 0)}
+
+
+def test_good_items_pass_whatever_their_id_and_number(spark):
+    from folio.operators.generate import parse_questions
+    good = {"topic": "t", "type": "MCQ", "question": "q", "options": ["a"], "correct_answer": "A", "page_number": 1, "explanation": "e"}
+    odd = [good, good | {"id": 7}, good | {"id": None}, good | {"id": [1, "x"]}, good | {"options": []}, good | {"page_number": "3"}, good | {"page_number": 2.0},
+           good | {"page_number": 2.5}, good | {"page_number": True}, good | {"page_number": None}, good | {"options": None}, good | {"topic": None}, good | {"id: STRING, x": "y"}, [1]]
+    raw = spark.createDataFrame([(i, json.dumps({"questions": [q]})) for i, q in enumerate(odd)] + [(100, '{"questions": {"a": 1}}'), (101, '{"questions": null}'), (102, "no"), (103, None)], "n int, json string")
+    kept, bad = parse_questions(raw, keys=("n",))
+    assert {r["n"]: r["page_number"] for r in kept.collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 3, 6: 2}
+    number, invalid = "page_number is not an integer", "invalid JSON"
+    assert {r["n"]: r["reason"] for r in bad.collect()} == {7: number, 8: number, 9: number, 10: "options is not a list of strings", 11: "topic is not a string",
+                                                           12: "unexpected field: id: STRING, x", 13: "not a JSON object", 100: invalid, 101: invalid, 102: invalid, 103: invalid}
+
+
 def test_only_failed_prompts_are_asked_again(spark, tmp_path):
     texts, asks = tables(spark, [(str(i), f"text {i}") for i in range(12)], [(str(i), str(i), "", "") for i in range(12)])
     folder, path = str(tmp_path / "calls"), str(tmp_path / "journal")
