@@ -107,3 +107,21 @@ def test_a_query_gets_its_hits_once_a_group_not_once_a_cell(spark, tmp_path, mon
     key = lambda df: sorted((r["qid"], r["rank"], r["cid"], round(r["distance"], 7)) for r in df.collect())
     assert key(hits) == key(knn(q, c, KnnConfig(k=3, exclude_self=True)))
     assert visits.count() == 600
+
+
+def test_a_filter_on_links_does_not_multiply_their_steps(spark):
+    from folio.llm import urls
+    p = spark.createDataFrame([(1, "http://a.com/x/y.html", "<base href='/q/'><link rel=canonical href='./z/../k?x&amp;y'>"), (2, "http://b.com/", None)], "page_id long, url string, html string")
+    found = urls.link_edges(p).where("a != b")
+    assert _plan(found).count("regexp_extract") < 200
+    assert {tuple(r) for r in found.collect()} == {("http://a.com/x/y.html", "a.com/x/y"), ("http://a.com/x/y.html", "a.com/q/k?x&y"), ("http://b.com/", "b.com")}
+
+
+def test_an_encoder_that_forgets_gives_memory_back(monkeypatch):
+    import pyarrow as pa
+    import public_tokenizers
+    from folio.llm import token_ids
+    e = token_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"), remember=2)
+    calls, first = [], e.texts(pa.array(["one two three four", "one two"]), 0)[0].tolist()
+    monkeypatch.setattr(token_ids, "release", lambda: calls.append(1))
+    assert e.texts(pa.array(["one two three four", "one two"]), 0)[0].tolist() == first and calls == [1]
