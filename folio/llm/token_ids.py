@@ -82,6 +82,7 @@ class Encoder:
         ids, sizes = self.flat[ragged(self.at[keep], self.size[keep])], self.size[keep]
         self.clear()
         self._add([pieces[k] for k in keep], ids, sizes)
+        release()
 
     def learn(self, pieces: list[str]) -> None:
         """A piece with NUL in front stands for what follows it, one with a line break in front for
@@ -163,6 +164,11 @@ class Encoder:
         return np.insert(ids, upto, end), np.diff(upto, prepend=0) + 1
 
 
+def release() -> None:
+    """Give back what Arrow holds of the memory that is free: a worker is kept between tasks, and its pool with it."""
+    pa.default_memory_pool().release_unused()
+
+
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places first, first + 1, ... of each run, one run after the other."""
     total = np.cumsum(size)
@@ -303,6 +309,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, doc_id
             if open_:
                 ends.append(len(ids))
             yield close()
+        release()
 
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SEGMENT).write.parquet(folder)
 
@@ -331,6 +338,7 @@ def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFr
                         out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids)))
                     at += len(ids)
                     yield pa.RecordBatch.from_arrays(out, ["part", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
+        release()
 
     got = segments.mapInArrow(decode, schema).join(F.broadcast(bases), F.col("part") == F.col("of"))
     return got.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
