@@ -33,6 +33,7 @@ from folio.functions.vector import confidence as confidence_expr
 
 QUERY_TILE = 1024
 TILE_CELLS = 1 << 20   # distance-matrix cells per tile (8 MB of doubles), all of which may be equally near
+NORMS = (1e-100, 1e100)  # lengths whose squares and quotients are normal doubles
 
 
 @dataclass(frozen=True)
@@ -75,20 +76,80 @@ def _topk_index(q, cid, t1, t2, key, k):
     """Indices of the first ``k`` rows per ``q`` ordered by (key, t1, t2, cid)."""
     if len(q) == 0:
         return np.array([], dtype=np.int64)
-    ccode = pd.factorize(cid, sort=True)[0]
-    order = np.lexsort((ccode, t2, t1, key, q))
+    order = np.lexsort((t2, t1, key, q))
+    same = np.ones(len(q) - 1, dtype=bool)
+    for x in (q, key, t1, t2):
+        xs = x[order]
+        same &= xs[1:] == xs[:-1]
+    if same.any() or pd.isna(t2).any() or pd.isna(t1).any():   # only then do the ids decide
+        order = np.lexsort((pd.factorize(cid, sort=True)[0], t2, t1, key, q))
     qs = q[order]
     start = np.searchsorted(qs, qs, side="left")
     return order[(np.arange(len(qs)) - start) < k]
 
 
+def _near_candidates(qids, Q, cids, t1, t2, C, cfg: KnnConfig, self_ids):
+    """:func:`_block_candidates` for cosine: products of unit vectors in single precision leave few cells, whose distances
+    are then computed in double precision. None where lengths or ``k`` do not allow it.
+
+    Cells are taken in chunks: ``k`` chunks hold a cell each that is as near as the k-th best chunk's best, so no cell that is
+    farther by more than the error of two products is among the ``k`` best."""
+    qn, cn = np.sqrt(np.einsum("ij,ij->i", Q, Q)), np.sqrt(np.einsum("ij,ij->i", C, C))
+    q_ok, c_ok = ((x >= NORMS[0]) & (x <= NORMS[1]) for x in (qn, cn))
+    if not (q_ok.all() and c_ok.all()):
+        return None
+    n, d = C.shape
+    width = 128 if n >= 1 << 13 else 32
+    chunks = -(-n // width)
+    if chunks < max(16, 4 * cfg.k):
+        return None
+    margin = np.float32(4 * (d + 8) * 2.0 ** -24 + 1e-8)
+    U = (Q / qn[:, None]).astype(np.float32)
+    V = np.zeros((chunks * width, d), dtype=np.float32)
+    V[:n] = C / cn[:, None]
+    V = np.ascontiguousarray(V.T)
+    out = []
+    tile = max(1, min(QUERY_TILE, 2 * TILE_CELLS // (chunks * width)))
+    for s in range(0, Q.shape[0], tile):
+        S = U[s:s + tile] @ V
+        S[:, n:] = -2
+        if cfg.exclude_self:
+            S[:, :n][self_ids[s:s + tile][:, None] == cids[None, :]] = -2
+        S = S.reshape(len(S), chunks, width)
+        best = S.max(axis=2)
+        bound = np.maximum(np.partition(best, chunks - cfg.k, axis=1)[:, chunks - cfg.k] - margin, np.float32(-1.5))
+        r, g = np.nonzero(best >= bound[:, None])
+        if len(r) * width > S.size // 4:   # very many are equally near
+            out.append(_dense_candidates(qids[s:s + tile], Q[s:s + tile], cids, t1, t2, C, cfg, self_ids[s:s + tile]))
+            continue
+        i, j = np.nonzero(S[r, g] >= bound[r][:, None])
+        r, c = r[i], g[i] * width + j
+        if len(r) == 0:
+            continue
+        D = np.concatenate([_pair_dist(Q[s + r[a:a + PAIR_BUDGET]], C[c[a:a + PAIR_BUDGET]], cfg.metric,
+                                       qn[s + r[a:a + PAIR_BUDGET]], cn[c[a:a + PAIR_BUDGET]]) for a in range(0, len(r), PAIR_BUDGET)])
+        key = _round9(D)
+        keep = _topk_index(r, cids[c], t1[c], t2[c], key, cfg.k)
+        r, c = r[keep], c[keep]
+        out.append((qids[s + r], cids[c], t1[c], t2[c], D[keep], key[keep]))
+    return [x for x in out if x is not None]
+
+
 def _block_candidates(qids, Q, cids, t1, t2, C, cfg: KnnConfig, self_ids=None):
     """Top-k candidates of each query against one corpus block; returns flat arrays.
 
     ``self_ids`` (default ``qids``) are compared with ``cids`` when ``exclude_self`` is set."""
+    self_ids = qids if self_ids is None else self_ids
+    out = _near_candidates(qids, Q, cids, t1, t2, C, cfg, self_ids) if cfg.metric == "cosine" else None
+    if out is None:
+        return _dense_candidates(qids, Q, cids, t1, t2, C, cfg, self_ids)
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(6)) if out else None
+
+
+def _dense_candidates(qids, Q, cids, t1, t2, C, cfg: KnnConfig, self_ids):
+    """:func:`_block_candidates` by all distances in double precision."""
     out = []
     n = C.shape[0]
-    self_ids = qids if self_ids is None else self_ids
     tile = max(1, min(QUERY_TILE, TILE_CELLS // max(n, 1)))
     for s in range(0, Q.shape[0], tile):
         Qt = Q[s:s + tile]
