@@ -46,7 +46,8 @@ ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.i
                    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(BLOCK))])
 SEGMENT = ("part int, segment int, first bigint, n_ids bigint, ids array<int>, freqs array<int>, doc_ids array<bigint>, lengths array<bigint>, "
            "blocks array<struct<n_docs:bigint,n_ids:bigint,states:binary,words:binary,crc32:bigint>>")
-PLAIN = re.compile(r"[\0\n]?\S+").fullmatch
+ROW_GROUPS = {"parquet.block.size": str(16 << 20), **{f"parquet.{x}.size.row.check.{y}": "1" for x in ("block", "page") for y in ("min", "max")}}
+PLAIN = re.compile(r"(?!\0\Z)[\0\n]?\S+").fullmatch     # a mark alone is the empty piece, which would be an empty line
 INSIDE = r"[\s\v\p{Z}\x{1c}-\x{1f}\x{85}][ \n]|\x00"     # white space before a cut, or our own mark
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -311,7 +312,8 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, doc_id
             yield close()
         release()
 
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SEGMENT).write.parquet(folder)
+    # a row is megabytes: Parquet looks at its size row by row (it would after 100), and a reader holds a row group of few of them
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SEGMENT).write.options(**ROW_GROUPS).parquet(folder)
 
 
 def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:
